@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import naming
 from ..functions.lsn import SEGMENT_BYTES
@@ -216,7 +217,7 @@ def chain_members(backups: DataFrame, backup_id: str) -> DataFrame:
         current = row["parent_backup_id"]
     ordered = list(reversed(chain))
     return backups.sparkSession.createDataFrame(
-        list(zip(ordered, range(len(ordered)))), backups.select("backup_id").schema.add("seq", "int")
+        list(zip(ordered, range(len(ordered)))), T.StructType([backups.schema["backup_id"], T.StructField("seq", T.IntegerType())])
     )
 
 
