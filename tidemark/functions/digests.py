@@ -14,12 +14,13 @@ _OPENING = '"Manifest-Checksum": "'
 
 def manifest_checksum_ok(content: Column | str) -> Column:
     """SHA-256 of the bytes before the checksum field equals the recorded hex."""
-    # Latin-1 maps every byte to one character, so offsets are byte offsets.
-    text = F.decode(col(content), "ISO-8859-1")
+    # A binary column cast to text keeps its bytes, and the search compares bytes,
+    # so the prefix is exact whatever the encoding of the paths in it.
+    text = col(content).cast("string")
     prefix = F.substring_index(text, _MARK, 1)
-    recorded = F.substring_index(F.substring(text, F.instr(text, _OPENING) + len(_OPENING), F.lit(65)), '"', 1)
-    present = (F.instr(text, _MARK) > 0) & (F.instr(text, _OPENING) > 0)
-    matches = F.sha2(F.encode(prefix, "ISO-8859-1"), 256) == F.lower(recorded)
+    rest = F.substring_index(F.substring_index(text, _OPENING, 2), _OPENING, -1)
+    present = text.contains(_OPENING) & rest.contains('"')
+    matches = F.sha2(prefix.cast("binary"), 256) == F.lower(F.substring_index(rest, '"', 1))
     return F.coalesce(present & matches, F.lit(False))
 
 

@@ -20,9 +20,19 @@ def _only(contents: DataFrame, filename: str) -> DataFrame:
     return split_backup_path(contents).where(F.col("path") == filename)
 
 
+def _once(df: DataFrame, **columns: Column) -> DataFrame:
+    """Add columns that are computed one time per row.
+
+    Filters and projections are not merged into a generator, so a parsed
+    document is not parsed again for each later use.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(n) for n, c in columns.items()]))))
+
+
 def _decoded(contents: DataFrame, schema: T.StructType) -> DataFrame:
-    text = F.decode("content", "UTF-8")
-    return contents.withColumn("_raw", text).withColumn("_doc", F.from_json("_raw", schema, _JSON_OPTIONS))
+    # The cast keeps broken bytes, which the JSON reader then reports; decode() would fail the job.
+    raw = F.col("content").cast("string")
+    return _once(contents.withColumn("_raw", raw), _doc=F.from_json("_raw", schema, _JSON_OPTIONS))
 
 
 def _unknown_keys(raw: Column, struct: T.StructType) -> Column:
@@ -90,9 +100,7 @@ def scan_sidecars(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Decoded sidecars, and ``(backup_id, error)`` for those that do not decode."""
     docs = _decoded(_only(contents, naming.SIDECAR_NAME), SIDECAR_JSON)
     segment_type = SIDECAR_JSON["wal_segments"].dataType.elementType
-    docs = docs.withColumn(
-        "error", _strict_error(F.col("_raw"), F.col("_doc"), SIDECAR_JSON, "wal_segments", segment_type)
-    )
+    docs = _once(docs, error=_strict_error(F.col("_raw"), F.col("_doc"), SIDECAR_JSON, "wal_segments", segment_type))
     d = F.col("_doc")
 
     def text(name):
@@ -135,9 +143,7 @@ def scan_checkpoints(
     docs = _decoded(_only(contents, naming.CHECKPOINT_NAME), schema)
     strict = _strict_error(F.col("_raw"), F.col("_doc"), schema, "files", file_type)
     wrong_version = F.col("_doc.version").isNull() | (F.col("_doc.version") != CHECKPOINT_VERSION)
-    docs = docs.withColumn(
-        "error", F.coalesce(strict, F.when(wrong_version, "unsupported checkpoint version"))
-    )
+    docs = _once(docs, error=F.coalesce(strict, F.when(wrong_version, "unsupported checkpoint version")))
     good, d = docs.where(F.col("error").isNull()), F.col("_doc")
     lsn = d["start_lsn"]
     checkpoints = good.select(

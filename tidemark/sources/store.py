@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import naming
+from ..joins import bounded_broadcast
 from ..operators.wal import classify_push
 from ..schemas import REPLICAS
 from .codecs import content_digests
@@ -151,11 +152,17 @@ def archive_ingest(incoming: DataFrame, archive: str, batch: str) -> DataFrame:
     """
     spark = incoming.sparkSession
     known = read_archive(spark, archive, except_batch=batch)
+    # Names arrive nearly in order: bounds on the name let the scan skip old row groups,
+    # and only rows of arriving names are left to be shuffled.
+    names = incoming.select("tli", "name").distinct()
+    low, high = incoming.agg(F.min("name"), F.max("name")).first()
+    known = known.where(F.col("name").between(low, high)).join(bounded_broadcast(names), ["tli", "name"], "left_semi")
     verdict = classify_push(incoming, known.select("tli", "name", "sha256"))
     sizes = incoming.groupBy("tli", "name", "sha256").agg(F.max("size").alias("size"))
     fresh = verdict.where(F.col("status") == "new").join(sizes, ["tli", "name", "sha256"])
     (
         fresh.select("name", "sha256", "size", "tli")
+        .sortWithinPartitions("tli", "name")
         .write.mode("overwrite")
         .partitionBy("tli")
         .parquet(f"{archive.rstrip('/')}/batch={batch}")

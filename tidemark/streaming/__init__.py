@@ -1,0 +1,4 @@
+from .ingest import ingest_stream, progress_stream, read_progress
+from .watch import archive_lag, replica_liveness, watch_required
+
+__all__ = ["archive_lag", "ingest_stream", "progress_stream", "read_progress", "replica_liveness", "watch_required"]
