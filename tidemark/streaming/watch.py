@@ -12,49 +12,74 @@ ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvi
 
 def _processor():
     """The stateful processor, built as a closure so that tasks need no package import."""
+    import numpy as np
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
 
+    def ranges_of(tli, numbers):
+        """Runs of consecutive numbers as (tli, first, last)."""
+        numbers = np.unique(numbers)
+        cut = np.flatnonzero(np.diff(numbers) > 1)
+        first = numbers[np.concatenate(([0], cut + 1))]
+        last = numbers[np.concatenate((cut, [len(numbers) - 1]))]
+        return [(int(tli), int(a), int(b)) for a, b in zip(first, last)]
+
+    def without(span, seen):
+        """What is left of one range after some of its numbers were seen."""
+        tli, low, high = span
+        hit = seen[(seen >= low) & (seen <= high)]
+        first, last = np.concatenate(([low], hit + 1)), np.concatenate((hit - 1, [high]))
+        return [(tli, int(a), int(b)) for a, b in zip(first, last) if a <= b]
+
     class Outstanding(StatefulProcessor):
-        """Keeps the segments a backup still waits for; shrinks as they arrive."""
+        """Keeps the segment ranges a backup still waits for; they shrink as segments arrive."""
 
         def init(self, handle):
             self.handle = handle
-            self.open = handle.getMapState("open", "tli BIGINT, seg_no BIGINT", "waiting BOOLEAN")
+            self.open = handle.getValueState("open", "tli ARRAY<BIGINT>, low ARRAY<BIGINT>, high ARRAY<BIGINT>")
+
+        def load(self):
+            value = self.open.get()
+            return [] if value is None else list(zip(*value))
+
+        def store(self, spans):
+            self.open.update(tuple(list(c) for c in zip(*spans)))
 
-        def handleInitialState(self, key, initial, timers):
-            for tli, seg_no in zip(initial["tli"], initial["seg_no"]):
-                self.open.updateValue((int(tli), int(seg_no)), (True,))
-            deadline = int(initial["deadline"].iloc[0].timestamp() * 1000)
+        def handleInitialState(self, key, initialState, timerValues):
+            spans = self.load()
+            for tli, part in initialState.groupby("tli"):
+                spans += ranges_of(tli, part["seg_no"].to_numpy())
+            self.store(spans)
+            deadline = int(initialState["deadline"].iloc[0].timestamp() * 1000)
             if deadline not in [int(t) for t in self.handle.listTimers()]:
                 self.handle.registerTimer(deadline)
 
-        def handleInputRows(self, key, rows, timers):
-            was_open = self.open.exists()
+        def handleInputRows(self, key, rows, timerValues):
+            spans = self.load()
+            waiting = bool(spans)
             for batch in rows:
-                for segment in zip(batch["tli"], batch["seg_no"]):
-                    segment = (int(segment[0]), int(segment[1]))
-                    if self.open.containsKey(segment):
-                        self.open.removeKey(segment)
-            if was_open and next(iter(self.open.keys()), None) is None:
+                for tli, part in batch.groupby("tli"):
+                    seen = np.unique(part["seg_no"].to_numpy())
+                    spans = [r for s in spans for r in (without(s, seen) if s[0] == tli else [s])]
+            if spans:
+                self.store(spans)
+            elif waiting:
                 self.open.clear()
                 for timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer)
-                yield pd.DataFrame({
-                    "backup_id": [key[0]], "status": ["complete"],
-                    "tli": pd.array([None], dtype="Int64"), "seg_no": pd.array([None], dtype="Int64"),
-                })
+                nothing = pd.array([None], dtype="Int64")
+                yield pd.DataFrame({"backup_id": [key[0]], "status": ["complete"], "tli": nothing, "seg_no": nothing})
 
-        def handleExpiredTimer(self, key, timers, expired):
-            missing = list(self.open.keys())
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+            spans = self.load()
             self.open.clear()
-            if missing:
-                yield pd.DataFrame({
-                    "backup_id": [key[0]] * len(missing),
-                    "status": ["timeout"] * len(missing),
-                    "tli": pd.array([m[0] for m in missing], dtype="Int64"),
-                    "seg_no": pd.array([m[1] for m in missing], dtype="Int64"),
-                })
+            for tli, low, high in spans:
+                for start in range(low, high + 1, 10000):
+                    numbers = np.arange(start, min(start + 10000, high + 1))
+                    yield pd.DataFrame({
+                        "backup_id": [key[0]] * len(numbers), "status": ["timeout"] * len(numbers),
+                        "tli": pd.array([tli] * len(numbers), dtype="Int64"), "seg_no": pd.array(numbers, dtype="Int64"),
+                    })
 
         def close(self):
             pass
