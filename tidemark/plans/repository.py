@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from ..functions import naming
 from ..functions.lsn import SEGMENT_BYTES
+from ..joins import bounded_broadcast
 from ..operators import catalog as cat
 from ..operators.chains import RESTORE_MAX_DEPTH, resolve_chains
 from ..operators.prune import prune_objects, prune_segments, prune_summary
@@ -17,9 +18,8 @@ from ..operators.retention import Policy, kept_fulls, low_water, retention_plan
 from ..operators.verify import mismatches, verify_files, verify_summary
 from ..operators.wal import required_segments
 from ..session import materialize
-from ..sources.codecs import content_digests
 from ..sources.metadata import manifest_files, scan_manifests, scan_sidecars, wal_ranges
-from ..sources.objects import scan_contents, scan_objects, scan_segments, split_backup_path
+from ..sources.objects import scan_contents, scan_objects, scan_segments, split_backup_path, stored_digests
 
 
 @dataclass(frozen=True)
@@ -44,11 +44,12 @@ def open_repository(
     seg_bytes: int = SEGMENT_BYTES,
     inventory: DataFrame | None = None,
 ) -> Repository:
-    objects = scan_objects(spark, root, temp_marker=temp_marker, inventory=inventory)
-    segments = scan_segments(
-        scan_objects(spark, root, prefix=naming.WAL_DIR, temp_marker=temp_marker, inventory=inventory), seg_bytes
-    )
-    metadata = scan_contents(spark, root, names=[naming.MANIFEST_NAME, naming.SIDECAR_NAME], temp_marker=temp_marker)
+    # One listing serves everything that follows.
+    objects = materialize(scan_objects(spark, root, temp_marker=temp_marker, inventory=inventory))
+    archived = scan_objects(spark, root, prefix=naming.WAL_DIR, temp_marker=temp_marker, inventory=inventory)
+    segments = scan_segments(materialize(archived), seg_bytes)
+    names = [naming.MANIFEST_NAME, naming.SIDECAR_NAME]
+    metadata = materialize(scan_contents(spark, root, names=names, objects=objects))
     manifests = scan_manifests(metadata)
     sidecars, errors = scan_sidecars(metadata)
     headers = cat.manifest_header(manifest_files(manifests), wal_ranges(manifests))
@@ -62,19 +63,21 @@ def verify(
     """``(summary, mismatches)``: every recorded file is read and hashed again."""
     repo = open_repository(spark, root, temp_marker)
     manifests, ids = repo.manifests, cat.distinct_backup_ids(repo.objects)
-    prefix = ""
     if backup_id is not None:
-        prefix = backup_id
         manifests, ids = manifests.where(F.col("backup_id") == backup_id), ids.where(F.col("backup_id") == backup_id)
     codecs = repo.sidecars.select(
         "backup_id", "codec", (F.size(F.coalesce("recipients", F.array().cast("array<string>"))) > 0).alias("encrypted")
     )
-    compressed = codecs.where(F.col("codec") != "none").limit(1).count() > 0
-    bodies = split_backup_path(scan_contents(spark, root, prefix=prefix, temp_marker=temp_marker)).where(
+    stored = split_backup_path(repo.objects.withColumn("location", F.col("path"))).where(
         ~F.col("path").isin(naming.MANIFEST_NAME, naming.SIDECAR_NAME, naming.CHECKPOINT_NAME)
     )
-    # A body is hashed where it is read; from here on only digests move.
-    digests = content_digests(bodies.drop("size"), compressed)
+    # The codec joins the listing, not the bodies; encrypted bodies are not decoded.
+    readable = codecs.select("backup_id", F.when(F.col("encrypted"), "none").otherwise(F.col("codec")).alias("codec"))
+    listed = stored.join(bounded_broadcast(readable), "backup_id")
+    if not full:
+        wanted = manifest_files(manifests).where(F.col("sha256").isNotNull()).select("backup_id", "path")
+        listed = listed.join(wanted, ["backup_id", "path"], "left_semi")
+    digests = stored_digests(listed.select("backup_id", "path", "location", "codec"), root)
     files = manifest_files(manifests).join(codecs.select("backup_id"), "backup_id", "left_semi")
     checked = materialize(verify_files(files, digests, codecs, full))
     flags = (

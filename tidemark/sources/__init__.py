@@ -2,11 +2,13 @@ from .codecs import content_digests, decode_contents, detected_codec, dual_diges
 from .metadata import manifest_files, scan_checkpoints, scan_manifests, scan_sidecars, wal_ranges
 from .objects import (
     filter_source_tree,
+    read_bodies,
     scan_contents,
     scan_objects,
     scan_segments,
     split_backup_path,
     split_unsafe,
+    stored_digests,
     visible_objects,
 )
 from .pages import PAGE_BYTES, explode_blocks, scan_incremental_files

@@ -28,31 +28,84 @@ def detected_codec(content: Column | str) -> Column:
     return out.otherwise("none")
 
 
-def _body_reader():
-    """The decoder, built as a closure so that tasks need no package import."""
+DIGEST_FIELDS = [
+    T.StructField("stored_size", T.LongType()),
+    T.StructField("stored_sha256", T.StringType()),
+    T.StructField("plain_size", T.LongType()),
+    T.StructField("plain_sha256", T.StringType()),
+    T.StructField("error", T.StringType()),
+]
+
+
+def _decoder():
+    """Opens a decoding stream; a closure, so that tasks need no package import."""
     import pyarrow as pa
 
     arrow_name = {"gzip": "gzip", "bzip2": "bz2", "zstd": "zstd", "lz4": "lz4"}
 
-    def chunks(codec, buffer):
-        if codec in (None, "", "none"):
-            yield memoryview(buffer)
-            return
-        with pa.CompressedInputStream(pa.BufferReader(buffer), arrow_name[codec]) as stream:
-            while True:
-                part = stream.read(4 << 20)
-                if not part:
-                    return
-                yield part
+    def decoded(codec, source):
+        return pa.CompressedInputStream(source, arrow_name[codec])
+
+    return decoded
+
 
-    return chunks
+def digest_function():
+    """``digest(stream, codec)``: both digests of one body in one pass, chunk by chunk."""
+    decoded = _decoder()
+
+    def digest(stream, codec, chunk=4 << 20):
+        import hashlib
+
+        import pyarrow as pa
+
+        stored, stored_size = hashlib.sha256(), 0
+
+        class Tap:
+            """Hashes the stored bytes on their way into the decoder."""
+
+            closed = False
+
+            def read(self, n=-1):
+                nonlocal stored_size
+                part = stream.read(chunk if n is None or n < 0 else n)
+                stored.update(part)
+                stored_size += len(part)
+                return part
+
+            def readable(self):
+                return True
+
+            def close(self):
+                pass
+
+        tap, plain, plain_size, error = Tap(), None, 0, None
+        if codec not in (None, "", "none"):
+            plain = hashlib.sha256()
+            try:
+                with decoded(codec, pa.PythonFile(tap, mode="r")) as body:
+                    while part := body.read(chunk):
+                        plain.update(part)
+                        plain_size += len(part)
+            except KeyError:
+                error = f"unknown codec {codec}"
+            except (OSError, pa.ArrowInvalid) as exc:
+                error = f"decompress: {exc}"
+        while tap.read(chunk):
+            pass
+        if error:
+            return stored_size, stored.hexdigest(), None, None, error
+        if plain is None:
+            plain, plain_size = stored, stored_size
+        return stored_size, stored.hexdigest(), plain_size, plain.hexdigest(), None
+
+    return digest
 
 
 def decode_contents(contents: DataFrame, codec: str = "codec") -> DataFrame:
     """Replace ``content`` by its decoded form; ``error`` tells why it is NULL."""
     keep = [f for f in contents.schema.fields if f.name != "content"]
     schema = T.StructType([*keep, T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
-    chunks = _body_reader()
+    decoded = _decoder()
 
     def decode(batches):
         import pyarrow as pa
@@ -61,16 +114,19 @@ def decode_contents(contents: DataFrame, codec: str = "codec") -> DataFrame:
             bodies, errors = [], []
             column, codecs = batch.column("content"), batch.column(codec)
             for i in range(batch.num_rows):
-                name, value = codecs[i].as_py(), column[i]
+                name, value, body, error = codecs[i].as_py(), column[i], None, None
                 try:
-                    bodies.append(None if not value.is_valid else b"".join(chunks(name, value.as_buffer())))
-                    errors.append(None)
+                    if value.is_valid and name in (None, "", "none"):
+                        body = value.as_py()
+                    elif value.is_valid:
+                        with decoded(name, pa.BufferReader(value.as_buffer())) as stream:
+                            body = stream.read()
                 except KeyError:
-                    bodies.append(None)
-                    errors.append(f"unknown codec {name}")
+                    error = f"unknown codec {name}"
                 except (OSError, pa.ArrowInvalid) as exc:
-                    bodies.append(None)
-                    errors.append(f"decompress: {exc}")
+                    error = f"decompress: {exc}"
+                bodies.append(body)
+                errors.append(error)
             columns = [batch.column(f.name) for f in keep]
             yield pa.RecordBatch.from_arrays(
                 [*columns, pa.array(bodies, pa.binary()), pa.array(errors, pa.string())],
@@ -87,49 +143,23 @@ def dual_digest(contents: DataFrame, codec: str = "codec") -> DataFrame:
     never handed back, so a row leaves as a few hundred bytes.
     """
     keep = [f for f in contents.schema.fields if f.name != "content"]
-    schema = T.StructType([
-        *keep,
-        T.StructField("stored_size", T.LongType()),
-        T.StructField("stored_sha256", T.StringType()),
-        T.StructField("plain_size", T.LongType()),
-        T.StructField("plain_sha256", T.StringType()),
-        T.StructField("error", T.StringType()),
-    ])
-    chunks = _body_reader()
+    schema = T.StructType([*keep, *DIGEST_FIELDS])
+    digest_stream = digest_function()
 
     def digest(batches):
-        import hashlib
-
         import pyarrow as pa
 
         for batch in batches:
-            out = [[] for _ in range(5)]
+            found = []
             column, codecs = batch.column("content"), batch.column(codec)
             for i in range(batch.num_rows):
-                name, value = codecs[i].as_py(), column[i]
-                if not value.is_valid:
-                    row = (None, None, None, None, "no content")
+                if column[i].is_valid:
+                    found.append(digest_stream(pa.BufferReader(column[i].as_buffer()), codecs[i].as_py()))
                 else:
-                    buffer = value.as_buffer()
-                    stored = hashlib.sha256(memoryview(buffer)).hexdigest()
-                    plain, size, error = hashlib.sha256(), 0, None
-                    try:
-                        for part in chunks(name, buffer):
-                            plain.update(part)
-                            size += len(part)
-                    except KeyError:
-                        error = f"unknown codec {name}"
-                    except (OSError, pa.ArrowInvalid) as exc:
-                        error = f"decompress: {exc}"
-                    row = (buffer.size, stored, None, None, error) if error else (
-                        buffer.size, stored, size, plain.hexdigest(), None)
-                for target, cell in zip(out, row):
-                    target.append(cell)
+                    found.append((None, None, None, None, "no content"))
             types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(f.name) for f in keep] + [pa.array(v, t) for v, t in zip(out, types)],
-                names=[f.name for f in schema.fields],
-            )
+            cells = [pa.array([row[k] for row in found], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([batch.column(f.name) for f in keep] + cells, names=schema.names)
 
     return contents.mapInArrow(digest, schema)
 

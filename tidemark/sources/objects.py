@@ -2,34 +2,14 @@
 
 from __future__ import annotations
 
-import re
-
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import naming
 from ..functions.lsn import SEGMENT_BYTES, segment_no_of_name
-from ..joins import bounded_broadcast
-from ..schemas import CONTENTS, OBJECTS
-
-
-def _files(spark: SparkSession, root: str, prefix: str, glob: str | None = None) -> DataFrame | None:
-    """The binary-file source below ``root/prefix`` with paths relative to ``root``."""
-    root = root.rstrip("/")
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    try:
-        files = reader.load(f"{root}/{prefix}" if prefix else root)
-    except AnalysisException as exc:
-        if exc.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-    # Listed paths are qualified (file:/x, s3a://b/x); cut after the root's own text.
-    anchor = re.sub("^file:/+", "/", root)
-    cut = F.instr(F.col("path"), anchor) + len(anchor) + 1
-    return files.withColumn("path", F.substring("path", cut, F.length("path")))
+from ..schemas import OBJECTS
+from .codecs import DIGEST_FIELDS, digest_function
 
 
 def visible_objects(objects: DataFrame, prefix: str = "", temp_marker: str | None = None) -> DataFrame:
@@ -41,6 +21,66 @@ def visible_objects(objects: DataFrame, prefix: str = "", temp_marker: str | Non
     return objects.where(~F.col("path").startswith("wal/") & (F.col("path") != "wal"))
 
 
+def _open_store():
+    """Opens a root in a task; a closure, so that tasks need no package import."""
+
+    def open_store(root):
+        from pyarrow import fs
+
+        if "://" in root or root.startswith("file:"):
+            filesystem, base = fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
+        else:
+            filesystem, base = fs.LocalFileSystem(), root
+        return filesystem, base.rstrip("/")
+
+    return open_store
+
+
+def _tasks(spark: SparkSession, per_core: int = 1) -> int:
+    # An explicit number: AQE would judge listing rows by their few bytes and merge them
+    # into one task, while each of them stands for a directory or a body to read.
+    return per_core * spark.sparkContext.defaultParallelism
+
+
+def _expand(root: str, recursive: bool, skip: tuple[str, ...]):
+    open_store = _open_store()
+
+    def expand(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        from pyarrow import fs
+
+        store, base = open_store(root)
+        for batch in batches:
+            directories = []
+            folder = batch.column("folder")
+            for i in range(batch.num_rows):
+                if folder[i].as_py():
+                    directories.append(batch.column("path")[i].as_py())
+            yield batch.filter(pc.invert(folder))
+            for directory in directories:
+                selector = fs.FileSelector(f"{base}/{directory}" if directory else base, allow_not_found=True, recursive=recursive)
+                found = [
+                    (info.path[len(base) + 1 :], info)
+                    for info in store.get_file_info(selector)
+                    if info.type == fs.FileType.File or (info.type == fs.FileType.Directory and not recursive)
+                ]
+                found = [(path, info) for path, info in found if path not in skip]
+                for start in range(0, len(found), 4096):
+                    part = found[start : start + 4096]
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([p for p, _ in part], pa.string()),
+                            pa.array([x.size if x.is_file else None for _, x in part], pa.int64()),
+                            pa.array([x.mtime for _, x in part], pa.timestamp("us", tz="UTC")),
+                            pa.array([not x.is_file for _, x in part], pa.bool_()),
+                        ],
+                        names=["path", "size", "mod_time", "folder"],
+                    )
+
+    return expand
+
+
 def scan_objects(
     spark: SparkSession,
     root: str,
@@ -50,16 +90,50 @@ def scan_objects(
 ) -> DataFrame:
     """Recursive listing ``(path, size, mod_time)``; a missing prefix gives no rows.
 
-    Bodies are never read. For stores with very many objects pass the store's
-    own ``inventory`` table, which spares the driver the listing.
+    Tasks list the directories, two levels one by one and the rest recursively,
+    so neither the driver nor one task holds the listing of a large repository.
+    (Spark's file index would drop empty files and names starting with ``_`` or
+    ``.``, which a backup has to account for.) ``inventory`` takes the place of
+    the listing where the store publishes one.
     """
     if inventory is not None:
         return visible_objects(inventory.select("path", "size", "mod_time"), prefix, temp_marker)
-    files = _files(spark, root, prefix)
-    if files is None:
-        return spark.createDataFrame([], OBJECTS)
-    listed = files.select("path", F.col("length").alias("size"), F.col("modificationTime").alias("mod_time"))
-    return visible_objects(listed, prefix, temp_marker)
+    schema = OBJECTS + ", folder BOOLEAN"
+    skip = () if prefix else (naming.WAL_DIR,)
+    rows = spark.createDataFrame([(prefix.strip("/"), None, None, True)], schema).coalesce(1)
+    for recursive in (False, False, True):
+        rows = rows.mapInArrow(_expand(root, recursive, skip), schema)
+        if not recursive:
+            rows = rows.repartition(_tasks(spark), "path")
+    return visible_objects(rows.where(~F.col("folder")).drop("folder"), prefix, temp_marker)
+
+
+def read_bodies(objects: DataFrame, root: str) -> DataFrame:
+    """``(…, content)`` of listed objects; an object that has gone meanwhile is left out.
+
+    For bodies that fit a row, such as metadata. ``stored_digests`` streams
+    bodies of any size.
+    """
+    spark = objects.sparkSession
+    schema = T.StructType([*objects.schema.fields, T.StructField("content", T.BinaryType())])
+    open_store = _open_store()
+
+    def read(batches):
+        import pyarrow as pa
+
+        store, base = open_store(root)
+        for batch in batches:
+            for i in range(batch.num_rows):
+                try:
+                    with store.open_input_stream(f"{base}/{batch.column('path')[i].as_py()}", compression=None) as stream:
+                        body = stream.read()
+                except FileNotFoundError:
+                    continue
+                yield pa.RecordBatch.from_arrays(
+                    [*batch.slice(i, 1).columns, pa.array([body], pa.binary())], names=schema.names
+                )
+
+    return objects.repartition(_tasks(spark), "path").mapInArrow(read, schema)
 
 
 def scan_contents(
@@ -69,22 +143,49 @@ def scan_contents(
     paths: DataFrame | None = None,
     names: list[str] | None = None,
     temp_marker: str | None = None,
+    objects: DataFrame | None = None,
 ) -> DataFrame:
-    """Bodies ``(path, size, content)``.
+    """Bodies ``(path, size, content)`` of a listing, cut down before anything is opened.
 
-    ``names`` keeps files with these basenames and is applied while listing, so
-    no other body is opened. ``paths`` is a table of wanted paths: it is joined
-    by broadcast while it is small, since a shuffle would move the bodies.
+    ``names`` keeps files with these basenames, ``paths`` is a table of wanted
+    paths, ``objects`` a listing that already exists.
     """
-    files = _files(spark, root, prefix, "{" + ",".join(names) + "}" if names else None)
-    if files is None:
-        return spark.createDataFrame([], CONTENTS)
-    contents = visible_objects(
-        files.select("path", F.col("length").alias("size"), "content"), prefix, temp_marker
-    )
+    objects = scan_objects(spark, root, prefix, temp_marker) if objects is None else objects
+    if names:
+        objects = objects.where(naming.basename("path").isin(*names))
     if paths is not None:
-        contents = contents.join(bounded_broadcast(paths.select("path").distinct()), "path", "left_semi")
-    return contents
+        objects = objects.join(paths.select("path").distinct(), "path", "left_semi")
+    return read_bodies(objects.select("path", "size"), root)
+
+
+def stored_digests(objects: DataFrame, root: str, codec: str = "codec", location: str = "location") -> DataFrame:
+    """Stored and plain size and SHA-256 of listed objects, streamed in the tasks.
+
+    ``location`` names the column with the path below ``root``; ``codec`` the
+    column with the codec. Rows are spread over many tasks by path, so a backup
+    that owns most objects is read by all of them, and no body has to fit a row.
+    """
+    spark = objects.sparkSession
+    schema = T.StructType([*objects.schema.fields, *DIGEST_FIELDS])
+    open_store, digest_stream = _open_store(), digest_function()
+
+    def digest(batches):
+        import pyarrow as pa
+
+        store, base = open_store(root)
+        for batch in batches:
+            found = []
+            for i in range(batch.num_rows):
+                try:
+                    with store.open_input_stream(f"{base}/{batch.column(location)[i].as_py()}", compression=None) as stream:
+                        found.append(digest_stream(stream, batch.column(codec)[i].as_py()))
+                except FileNotFoundError:
+                    found.append((None, None, None, None, "not found"))
+            types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string()]
+            cells = [pa.array([row[k] for row in found], t) for k, t in enumerate(types)]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *cells], names=schema.names)
+
+    return objects.repartition(_tasks(spark, per_core=4), location).mapInArrow(digest, schema)
 
 
 def split_backup_path(objects: DataFrame) -> DataFrame:

@@ -18,8 +18,7 @@ from ..functions import naming
 from ..joins import bounded_broadcast
 from ..operators.wal import classify_push
 from ..schemas import REPLICAS
-from .codecs import content_digests
-from .objects import scan_contents
+from .objects import scan_objects, stored_digests
 
 _PARTS = "part STRING, size BIGINT, sha256 STRING"
 
@@ -36,8 +35,11 @@ class SnapshotInfo:
 
 def part_digests(spark: SparkSession, data_dir: str) -> DataFrame:
     """``(part, size, sha256)`` of the stored files below a data directory."""
-    digests = content_digests(scan_contents(spark, data_dir), compressed=False)
-    return digests.select(F.col("path").alias("part"), F.col("stored_size").alias("size"), F.col("stored_sha256").alias("sha256"))
+    files = scan_objects(spark, data_dir).where(~naming.basename("path").rlike("^[._]"))
+    digests = stored_digests(files.select("path", F.lit("none").alias("codec")), data_dir, location="path")
+    return digests.select(
+        F.col("path").alias("part"), F.col("stored_size").alias("size"), F.col("stored_sha256").alias("sha256")
+    )
 
 
 def publish_snapshot(df: DataFrame, root: str, info: SnapshotInfo, partition_by: list[str] | None = None) -> None:
