@@ -14,9 +14,9 @@ from tidemark.session import build_session  # noqa: E402
 def spark():
     session = build_session(
         "tidemark-tests",
-        "local[8]",
+        "local[4]",
         **{
-            "spark.sql.shuffle.partitions": "8",
+            "spark.sql.shuffle.partitions": "4",
             "spark.driver.memory": "4g",
             "spark.checkpoint.dir": tempfile.mkdtemp(prefix="spark-", dir="/tmp"),
         },

@@ -32,17 +32,16 @@ def manifest_header(files: DataFrame, ranges: DataFrame) -> DataFrame:
     return totals.join(first, "backup_id", "full_outer").withColumn("files", F.coalesce("files", F.lit(0)))
 
 
-def build_catalog(
-    objects: DataFrame, sidecars: DataFrame, sidecar_errors: DataFrame, headers: DataFrame
-) -> tuple[DataFrame, DataFrame]:
+def build_catalog(objects: DataFrame, sidecars: DataFrame, headers: DataFrame) -> tuple[DataFrame, DataFrame]:
     """``(backups, warnings)``. A backup without a readable sidecar becomes a warning.
 
-    What the sidecar says about type and parent wins over what the id suggests.
+    ``sidecars`` has one row per sidecar with an ``error`` column. What a sidecar
+    says about type and parent wins over what the id suggests.
     """
-    ids = distinct_backup_ids(objects)
     meta = sidecars.select(
         "backup_id",
         F.lit(True).alias("_has"),
+        "error",
         F.col("type").alias("_type"),
         F.col("parent_backup_id").alias("_parent"),
         "server",
@@ -52,9 +51,9 @@ def build_catalog(
         "system_identifier",
     )
     head_columns = ["start_lsn", "stop_lsn", "timeline", "start_time", "stop_time", "files", "bytes"]
-    found = ids.join(meta, "backup_id", "left")
+    found = distinct_backup_ids(objects).join(meta, "backup_id", "left")
     backups = (
-        found.where(F.col("_has"))
+        found.where(F.col("_has") & F.col("error").isNull())
         .join(headers.select("backup_id", *head_columns), "backup_id", "left")
         .select(
             "backup_id",
@@ -68,11 +67,8 @@ def build_catalog(
             "system_identifier",
         )
     )
-    warnings = (
-        found.where(F.col("_has").isNull())
-        .select("backup_id")
-        .join(sidecar_errors, "backup_id", "left")
-        .select("backup_id", F.coalesce("error", F.lit("sidecar missing")).alias("error"))
+    warnings = found.where(F.col("_has").isNull() | F.col("error").isNotNull()).select(
+        "backup_id", F.coalesce("error", F.lit("sidecar missing")).alias("error")
     )
     return backups, warnings
 

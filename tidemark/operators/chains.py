@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..joins import bounded_broadcast
 from ..session import materialize
 
 RESTORE_MAX_DEPTH = 64
@@ -29,8 +32,12 @@ def resolve_chains(backups: DataFrame, max_depth: int | None = None) -> DataFram
     """``(backup_id, chain_id, depth, status)`` for every backup.
 
     Each round doubles the distance a pointer spans, so a chain of depth d takes
-    about log2(d) joins. Settled backups leave the probing side. The state is
-    checkpointed per round, because the next round reads it twice.
+    about log2(d) joins. Settled backups leave the probing side and are written
+    once. Each round is checkpointed, because the next one reads it twice.
+
+    Many backups may point at one parent. The parent side has one row per id, so
+    the probing side is the only one that can be skewed, and it is the side a
+    left join lets AQE split.
 
     ``status`` is ok, missing_parent, no_parent, cycle or too_deep; ``chain_id``
     is NULL unless a root was found. With ``max_depth`` a chain of more backups
@@ -48,12 +55,12 @@ def resolve_chains(backups: DataFrame, max_depth: int | None = None) -> DataFram
         )
     )
     open_rows = F.col("status").isNull()
-    sizes = state.agg(F.count(F.lit(1)), F.count_if(open_rows)).first()
-    total, active = sizes[0], sizes[1]
+    total, left = state.agg(F.count(F.lit(1)), F.count_if(open_rows)).first()
+    settled, active = [state.where(~open_rows)], state.where(open_rows)
     span = 1
     limit = min(total, max_depth) if max_depth else total
-    while active and span <= limit:
-        target = state.select(
+    while left and span <= limit:
+        target = reduce(DataFrame.unionByName, settled, active).select(
             F.col("id").alias("ptr"),
             F.lit(True).alias("_found"),
             F.col("ptr").alias("_ptr"),
@@ -61,16 +68,23 @@ def resolve_chains(backups: DataFrame, max_depth: int | None = None) -> DataFram
             F.col("root").alias("_root"),
             F.col("status").alias("_status"),
         )
-        stepped = state.where(open_rows).join(target, "ptr", "left").select(
-            "id",
-            F.col("_ptr").alias("ptr"),
-            (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
-            F.col("_root").alias("root"),
-            F.when(F.col("_found").isNull(), "missing_parent").otherwise(F.col("_status")).alias("status"),
+        if left * 8 < total:
+            # Few pointers are left: find their targets by a scan instead of a full shuffle.
+            target = target.join(bounded_broadcast(active.select("ptr").distinct()), "ptr", "left_semi")
+        stepped = materialize(
+            active.join(target, "ptr", "left").select(
+                "id",
+                F.col("_ptr").alias("ptr"),
+                (F.col("depth") + F.coalesce("_depth", F.lit(0))).alias("depth"),
+                F.col("_root").alias("root"),
+                F.when(F.col("_found").isNull(), "missing_parent").otherwise(F.col("_status")).alias("status"),
+            )
         )
-        state = materialize(state.where(~open_rows).unionByName(stepped))
-        active = state.where(open_rows).limit(1).count()
+        settled.append(stepped.where(~open_rows))
+        active = stepped.where(open_rows)
+        left = active.count()
         span *= 2
+    state = reduce(DataFrame.unionByName, settled, active)
     status = F.when(open_rows, "too_deep" if max_depth else "cycle").otherwise(F.col("status"))
     if max_depth:
         status = F.when((status == "ok") & (F.col("depth") >= max_depth), "too_deep").otherwise(status)

@@ -18,7 +18,7 @@ from ..operators.retention import Policy, kept_fulls, low_water, retention_plan
 from ..operators.verify import mismatches, verify_files, verify_summary
 from ..operators.wal import required_segments
 from ..session import materialize
-from ..sources.metadata import manifest_files, scan_manifests, scan_sidecars, wal_ranges
+from ..sources.metadata import decode_sidecars, manifest_files, manifest_headers, scan_manifests
 from ..sources.objects import scan_contents, scan_objects, scan_segments, split_backup_path, stored_digests
 
 
@@ -32,7 +32,6 @@ class Repository:
     segments: DataFrame
     manifests: DataFrame
     sidecars: DataFrame
-    sidecar_errors: DataFrame
     backups: DataFrame
     warnings: DataFrame
 
@@ -51,10 +50,10 @@ def open_repository(
     names = [naming.MANIFEST_NAME, naming.SIDECAR_NAME]
     metadata = materialize(scan_contents(spark, root, names=names, objects=objects))
     manifests = scan_manifests(metadata)
-    sidecars, errors = scan_sidecars(metadata)
-    headers = cat.manifest_header(manifest_files(manifests), wal_ranges(manifests))
-    backups, warnings = cat.build_catalog(objects, sidecars, errors, headers)
-    return Repository(spark, root, objects, segments, manifests, sidecars, errors, backups, warnings)
+    documents = decode_sidecars(metadata)
+    backups, warnings = cat.build_catalog(objects, documents, manifest_headers(manifests))
+    sidecars = documents.where(F.col("error").isNull()).drop("error")
+    return Repository(spark, root, objects, segments, manifests, sidecars, backups, warnings)
 
 
 def verify(

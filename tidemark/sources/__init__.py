@@ -1,5 +1,13 @@
 from .codecs import content_digests, decode_contents, detected_codec, dual_digest
-from .metadata import manifest_files, scan_checkpoints, scan_manifests, scan_sidecars, wal_ranges
+from .metadata import (
+    decode_sidecars,
+    manifest_files,
+    manifest_headers,
+    scan_checkpoints,
+    scan_manifests,
+    scan_sidecars,
+    wal_ranges,
+)
 from .objects import (
     filter_source_tree,
     read_bodies,

@@ -71,6 +71,31 @@ def scan_manifests(contents: DataFrame) -> DataFrame:
     )
 
 
+def manifest_headers(manifests: DataFrame) -> DataFrame:
+    """Files, bytes, oldest and newest file time and first log range per manifest.
+
+    Each manifest is one row, so this folds its arrays in place: no explode, no
+    shuffle. (``manifest_header`` gives the same from exploded tables.)
+    """
+    times = F.transform(
+        "files", lambda f: F.try_to_timestamp(f["Last-Modified"], F.lit("yyyy-MM-dd HH:mm:ss 'GMT'"))
+    )
+    total = F.aggregate(
+        "files", F.lit(0).cast("bigint"), lambda acc, f: acc + F.coalesce(f["Size"], F.lit(0)).cast("bigint")
+    )
+    first = F.try_element_at("ranges", F.lit(1))
+    return _once(manifests.where("readable"), times=times).select(
+        "backup_id",
+        F.coalesce(F.array_size("files"), F.lit(0)).cast("bigint").alias("files"),
+        F.coalesce(total, F.lit(0)).alias("bytes"),
+        F.array_min("times").alias("start_time"),
+        F.array_max("times").alias("stop_time"),
+        first["Timeline"].alias("timeline"),
+        parse_lsn(first["Start-LSN"]).alias("start_lsn"),
+        parse_lsn(first["End-LSN"]).alias("stop_lsn"),
+    )
+
+
 def manifest_files(manifests: DataFrame) -> DataFrame:
     file = F.col("f")
     return manifests.select("backup_id", F.explode("files").alias("f")).select(
@@ -96,8 +121,8 @@ def wal_ranges(manifests: DataFrame) -> DataFrame:
 # --- sidecars -------------------------------------------------------------
 
 
-def scan_sidecars(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Decoded sidecars, and ``(backup_id, error)`` for those that do not decode."""
+def decode_sidecars(contents: DataFrame) -> DataFrame:
+    """One row per sidecar; ``error`` is NULL or tells why it does not decode."""
     docs = _decoded(_only(contents, naming.SIDECAR_NAME), SIDECAR_JSON)
     segment_type = SIDECAR_JSON["wal_segments"].dataType.elementType
     docs = _once(docs, error=_strict_error(F.col("_raw"), F.col("_doc"), SIDECAR_JSON, "wal_segments", segment_type))
@@ -106,8 +131,9 @@ def scan_sidecars(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
     def text(name):
         return F.nullif(d[name], F.lit("")).alias(name)
 
-    sidecars = docs.where(F.col("error").isNull()).select(
+    return docs.select(
         "backup_id",
+        "error",
         d["version"].alias("version"),
         text("server"),
         text("compression"),
@@ -124,7 +150,13 @@ def scan_sidecars(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
             lambda s: F.struct(s["name"].alias("name"), s["size"].alias("size"), bytes_to_hex(s["sha256"]).alias("sha256")),
         ).alias("wal_segments"),
     )
-    return sidecars, docs.where(F.col("error").isNotNull()).select("backup_id", "error")
+
+
+def scan_sidecars(contents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Decoded sidecars, and ``(backup_id, error)`` for those that do not decode."""
+    docs = decode_sidecars(contents)
+    good = docs.where(F.col("error").isNull()).drop("error")
+    return good, docs.where(F.col("error").isNotNull()).select("backup_id", "error")
 
 
 # --- resume checkpoints ---------------------------------------------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import functions as fn
 from tidemark import operators as op
 from tidemark.plans import plan_prune, restore_plan
-from tidemark.sources import manifest_files, scan_checkpoints, scan_manifests, scan_sidecars, wal_ranges
+from tidemark.sources import decode_sidecars, manifest_files, manifest_headers, scan_checkpoints, scan_manifests, scan_sidecars, wal_ranges
 
 from .registry import query
 from .views import NOW, BASE_LSN, BASE_SEG, S, _seg, with_views
@@ -352,9 +352,7 @@ def build_catalog(v: S):
 
 def _catalog(v: S):
     contents = v.repo_contents()
-    m = scan_manifests(contents)
-    good, bad = scan_sidecars(contents)
-    return op.build_catalog(v.repo_objects(), good, bad, op.manifest_header(manifest_files(m), wal_ranges(m)))
+    return op.build_catalog(v.repo_objects(), decode_sidecars(contents), manifest_headers(scan_manifests(contents)))
 
 
 @query(with_views(
