@@ -4,7 +4,6 @@ import json
 import os
 
 import pytest
-from pyspark.sql import functions as F
 
 from tests.builder import Builder, day, flip_middle, segment
 from tidemark import operators as op
@@ -218,4 +217,3 @@ def test_checkpoint_with_foreign_version_field(spark, repo):
     assert bad.count() == 0
     good, _, bad = scan_checkpoints(contents)
     assert good.count() == 0 and "my_version" in bad.first()["error"]
-    assert F.col is not None

@@ -49,11 +49,11 @@ def changed_in_windows(
     first, last = F.col("_b") * bucket, F.col("_b") * bucket + (bucket - 1)
     inside = (F.col("start_lsn") <= first) & (last < F.col("end_lsn"))
     marked = changed.select("tli", "lsn", *key, int_div("lsn", bucket).alias("_b"))
-    # Both shapes drop repeats of a block inside a bucket before anything is joined.
     per_bucket = marked.select("tli", "_b", *key).distinct()
     on = ["tli", "_b"]
-    whole = spans.where(inside).select("window_id", *on).join(per_bucket, on).select("window_id", *key)
-    edges = spans.where(~inside).join(marked.distinct(), on)
+    # While the windows are few they travel to the changes, which then stay in place.
+    whole = per_bucket.join(bounded_broadcast(spans.where(inside).select("window_id", *on)), on).select("window_id", *key)
+    edges = marked.join(bounded_broadcast(spans.where(~inside)), on)
     edges = edges.where((F.col("lsn") >= F.col("start_lsn")) & (F.col("lsn") < F.col("end_lsn")))
     return whole.unionByName(edges.select("window_id", *key)).distinct()
 

@@ -56,12 +56,11 @@ def newest_chains(fulls: DataFrame, n: int, partition_by: str | None = None, sal
 
 def one_per_bucket(fulls: DataFrame, bucket: Column, n: int) -> DataFrame:
     """Ids of the newest full in each of the buckets 0..n-1; equal times: smallest id."""
-    best = F.max_by(F.col("backup_id"), F.col("stop_time"))
-    rows = fulls.where(F.col("stop_time").isNotNull()).select("backup_id", "stop_time", bucket.alias("_bucket"))
-    # Two fixed-width steps: the newest time of a bucket, then the smallest id at that time.
-    rows = rows.where(F.col("_bucket").between(0, n - 1))
-    by_time = rows.groupBy("_bucket", "stop_time").agg(F.min("backup_id").alias("backup_id"))
-    return by_time.groupBy("_bucket").agg(best.alias("backup_id")).select("backup_id")
+    dated = fulls.where(F.col("stop_time").isNotNull()).select("backup_id", "stop_time", bucket.alias("_bucket"))
+    # A minimum over (time backwards, id): every task sends one row per bucket.
+    newest_first = F.struct((-F.unix_micros("stop_time")).alias("t"), F.col("backup_id"))
+    best = dated.where(F.col("_bucket").between(0, n - 1)).groupBy("_bucket").agg(F.min(newest_first).alias("best"))
+    return best.select(F.col("best.backup_id").alias("backup_id"))
 
 
 def kept_fulls(backups: DataFrame, policy: Policy, partition_by: str | None = None) -> DataFrame:

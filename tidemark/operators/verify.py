@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..joins import bounded_broadcast
+
 
 def verify_files(files: DataFrame, digests: DataFrame, codecs: DataFrame | None = None, full: bool = False) -> DataFrame:
     """One row per recorded file with ``status`` and both hashes.
@@ -35,11 +37,11 @@ def verify_files(files: DataFrame, digests: DataFrame, codecs: DataFrame | None
     if codecs is None:
         rows = rows.withColumn("_codec", F.lit("none")).withColumn("_encrypted", F.lit(False))
     else:
-        # One row per backup; a backup owning most files is split by AQE on this side.
+        # One row per backup: while that is small the file rows are not shuffled a second time.
         per_backup = codecs.select(
             "backup_id", F.col("codec").alias("_codec"), F.coalesce("encrypted", F.lit(False)).alias("_encrypted")
         )
-        rows = rows.join(per_backup, "backup_id", "left")
+        rows = rows.join(bounded_broadcast(per_backup), "backup_id", "left")
     plain_stored = F.col("_codec") == "none"
     actual = F.when(plain_stored, F.col("stored_sha256")).when(
         F.col("_codec") == F.col("_seen"), F.col("plain_sha256")

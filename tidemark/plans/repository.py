@@ -77,7 +77,7 @@ def verify(
         wanted = manifest_files(manifests).where(F.col("sha256").isNotNull()).select("backup_id", "path")
         listed = listed.join(wanted, ["backup_id", "path"], "left_semi")
     digests = stored_digests(listed.select("backup_id", "path", "location", "codec"), root)
-    files = manifest_files(manifests).join(codecs.select("backup_id"), "backup_id", "left_semi")
+    files = manifest_files(manifests).join(bounded_broadcast(codecs.select("backup_id")), "backup_id", "left_semi")
     checked = materialize(verify_files(files, digests, codecs, full))
     flags = (
         ids.join(manifests.select("backup_id", "readable", "checksum_ok"), "backup_id", "left")

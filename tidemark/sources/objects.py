@@ -42,38 +42,77 @@ def _tasks(spark: SparkSession, per_core: int = 1) -> int:
     return per_core * spark.sparkContext.defaultParallelism
 
 
-def _expand(root: str, recursive: bool, skip: tuple[str, ...]):
+def _walker(root: str):
+    """``walk(directory, recursive)`` yields ``(path, size, mtime, folder)`` in a task."""
     open_store = _open_store()
 
+    def mounted(base, directory, recursive):
+        # scandir hands out entries one by one, however many a directory has.
+        import os
+
+        waiting = [directory]
+        while waiting:
+            folder = waiting.pop()
+            try:
+                entries = os.scandir(os.path.join(base, folder))
+            except FileNotFoundError:
+                continue
+            with entries:
+                for entry in entries:
+                    path = f"{folder}/{entry.name}" if folder else entry.name
+                    try:
+                        if entry.is_dir():
+                            if recursive:
+                                waiting.append(path)
+                            else:
+                                yield path, None, None, True
+                        else:
+                            stat = entry.stat()
+                            yield path, stat.st_size, int(stat.st_mtime * 1_000_000), False
+                    except FileNotFoundError:
+                        continue
+
+    def walk(directory, recursive):
+        from pyarrow import fs
+
+        store, base = open_store(root)
+        if isinstance(store, fs.LocalFileSystem):
+            yield from mounted(base, directory, recursive)
+            return
+        selector = fs.FileSelector(f"{base}/{directory}" if directory else base, allow_not_found=True, recursive=recursive)
+        for info in store.get_file_info(selector):
+            path = info.path[len(base) + 1 :]
+            if info.is_file:
+                yield path, info.size, info.mtime_ns // 1000 if info.mtime_ns else None, False
+            elif not recursive:
+                yield path, None, None, True
+
+    return walk
+
+
+def _expand(root: str, recursive: bool, skip: tuple[str, ...]):
+    walk = _walker(root)
+
     def expand(batches):
+        from itertools import islice
+
         import pyarrow as pa
         import pyarrow.compute as pc
-        from pyarrow import fs
 
-        store, base = open_store(root)
         for batch in batches:
-            directories = []
             folder = batch.column("folder")
-            for i in range(batch.num_rows):
-                if folder[i].as_py():
-                    directories.append(batch.column("path")[i].as_py())
+            directories = batch.column("path").filter(folder).to_pylist()
             yield batch.filter(pc.invert(folder))
             for directory in directories:
-                selector = fs.FileSelector(f"{base}/{directory}" if directory else base, allow_not_found=True, recursive=recursive)
-                found = [
-                    (info.path[len(base) + 1 :], info)
-                    for info in store.get_file_info(selector)
-                    if info.type == fs.FileType.File or (info.type == fs.FileType.Directory and not recursive)
-                ]
-                found = [(path, info) for path, info in found if path not in skip]
-                for start in range(0, len(found), 4096):
-                    part = found[start : start + 4096]
+                found = (row for row in walk(directory, recursive) if row[0] not in skip)
+                while part := list(islice(found, 4096)):
+                    path, size, mtime, is_folder = zip(*part)
                     yield pa.RecordBatch.from_arrays(
                         [
-                            pa.array([p for p, _ in part], pa.string()),
-                            pa.array([x.size if x.is_file else None for _, x in part], pa.int64()),
-                            pa.array([x.mtime for _, x in part], pa.timestamp("us", tz="UTC")),
-                            pa.array([not x.is_file for _, x in part], pa.bool_()),
+                            pa.array(path, pa.string()),
+                            pa.array(size, pa.int64()),
+                            pa.array(mtime, pa.int64()).cast(pa.timestamp("us", tz="UTC")),
+                            pa.array(is_folder, pa.bool_()),
                         ],
                         names=["path", "size", "mod_time", "folder"],
                     )
@@ -94,7 +133,8 @@ def scan_objects(
     so neither the driver nor one task holds the listing of a large repository.
     (Spark's file index would drop empty files and names starting with ``_`` or
     ``.``, which a backup has to account for.) ``inventory`` takes the place of
-    the listing where the store publishes one.
+    the listing where the store publishes one; prefer it for object stores with
+    very many objects under one prefix, which page through their keys in order.
     """
     if inventory is not None:
         return visible_objects(inventory.select("path", "size", "mod_time"), prefix, temp_marker)

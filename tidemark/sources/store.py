@@ -9,8 +9,7 @@ from __future__ import annotations
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
-from pyspark.errors import AnalysisException, PySparkException
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,10 +17,9 @@ from ..functions import naming
 from ..joins import bounded_broadcast
 from ..operators.wal import classify_push
 from ..schemas import REPLICAS
+from ..session import materialize
 from .objects import scan_objects, stored_digests
 
-_PARTS = "part STRING, size BIGINT, sha256 STRING"
-
 
 @dataclass(frozen=True)
 class SnapshotInfo:
@@ -103,31 +101,30 @@ def read_snapshot(spark: SparkSession, root: str, backup_id: str) -> DataFrame:
 def write_fan_out(df: DataFrame, targets: dict[str, str], backup_id: str, data_object: str = "data") -> DataFrame:
     """Write the same rows to every target; a failing one is dropped, others go on.
 
-    The rows are computed once and kept on executor disks for the writes, which
-    run side by side. Raises only if no target committed.
+    The rows are computed once, for the first target that commits. The others
+    read that copy, side by side, so all copies agree even if executors are lost
+    in between. Raises only if no target committed.
     """
     spark = df.sparkSession
-    kept = df.persist(StorageLevel.DISK_ONLY)
-    kept.count()
 
-    def write(item):
-        name, path = item
+    def write(name, rows):
+        path = f"{targets[name].rstrip('/')}/{backup_id}/{data_object}"
         try:
-            kept.write.mode("error").parquet(f"{path.rstrip('/')}/{backup_id}/{data_object}")
-            return (name, backup_id, data_object, "committed", None)
-        except (PySparkException, OSError, ValueError) as exc:
-            return (name, backup_id, data_object, "failed", str(exc).splitlines()[0][:500])
-        except Exception as exc:  # Java errors arrive as Py4J exceptions
-            return (name, backup_id, data_object, "failed", type(exc).__name__)
-
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, len(targets))) as pool:
-            rows = list(pool.map(write, targets.items()))
-    finally:
-        kept.unpersist()
-    if not any(r[3] == "committed" for r in rows):
-        raise RuntimeError("no target committed: " + "; ".join(f"{r[0]}: {r[4]}" for r in rows))
-    return spark.createDataFrame(rows, REPLICAS)
+            rows.write.mode("error").parquet(path)
+            return path, (name, backup_id, data_object, "committed", None)
+        except Exception as exc:  # whatever a store raises, the other targets go on
+            return None, (name, backup_id, data_object, "failed", str(exc).splitlines()[0][:500])
+
+    results, waiting, copy = [], list(targets), None
+    while waiting and copy is None:
+        copy, row = write(waiting.pop(0), df)
+        results.append(row)
+    if copy is None:
+        raise RuntimeError("no target committed: " + "; ".join(f"{r[0]}: {r[4]}" for r in results))
+    if waiting:
+        with ThreadPoolExecutor(max_workers=len(waiting)) as pool:
+            results += [row for _, row in pool.map(lambda name: write(name, spark.read.parquet(copy)), waiting)]
+    return spark.createDataFrame(results, REPLICAS)
 
 
 # --- log archive ----------------------------------------------------------
@@ -153,15 +150,18 @@ def archive_ingest(incoming: DataFrame, archive: str, batch: str) -> DataFrame:
     duplicate nor lose segments. Conflicts are returned, never written.
     """
     spark = incoming.sparkSession
+    # Repeats collapse first; everything below reads this reduced batch.
+    pushed = materialize(
+        incoming.groupBy("tli", "name", "sha256").agg(F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"))
+    )
     known = read_archive(spark, archive, except_batch=batch)
     # Names arrive nearly in order: bounds on the name let the scan skip old row groups,
     # and only rows of arriving names are left to be shuffled.
-    names = incoming.select("tli", "name").distinct()
-    low, high = incoming.agg(F.min("name"), F.max("name")).first()
-    known = known.where(F.col("name").between(low, high)).join(bounded_broadcast(names), ["tli", "name"], "left_semi")
-    verdict = classify_push(incoming, known.select("tli", "name", "sha256"))
-    sizes = incoming.groupBy("tli", "name", "sha256").agg(F.max("size").alias("size"))
-    fresh = verdict.where(F.col("status") == "new").join(sizes, ["tli", "name", "sha256"])
+    low, high = pushed.agg(F.min("name"), F.max("name")).first()
+    names = bounded_broadcast(pushed.select("tli", "name").distinct())
+    known = known.where(F.col("name").between(low, high)).join(names, ["tli", "name"], "left_semi")
+    verdict = materialize(classify_push(pushed, known.select("tli", "name", "sha256")))
+    fresh = verdict.where(F.col("status") == "new").join(pushed.drop("copies"), ["tli", "name", "sha256"])
     (
         fresh.select("name", "sha256", "size", "tli")
         .sortWithinPartitions("tli", "name")

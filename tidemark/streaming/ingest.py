@@ -28,6 +28,8 @@ def ingest_stream(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
+        if batch.isEmpty():
+            return
         fresh = batch
         if low_water_seg is not None:
             late = F.coalesce(F.col("seg_no") < low_water_seg, F.lit(False))
@@ -35,9 +37,9 @@ def ingest_stream(
             fresh = batch.where(~late)
         verdict = archive_ingest(fresh, archive, str(batch_id))
         target = f"{side_dir}/conflicts/batch={batch_id}"
-        verdict.where(F.col("status") == "conflict").write.mode("overwrite").parquet(target)
-        found = batch.sparkSession.read.parquet(target).limit(1).count()
-        if found:
+        conflicts = verdict.where(F.col("status") == "conflict")
+        conflicts.write.mode("overwrite").parquet(target)
+        if not conflicts.isEmpty():
             log.error("batch %s: segments pushed again with other content, see %s", batch_id, target)
 
     return incoming.writeStream.foreachBatch(write)

@@ -49,7 +49,7 @@ def stream_ingest(v: S):
 _LAG = """SELECT event_id AS marker_id, ts AS written_at,
                  CASE WHEN event_id % 30 <> 0 AND event_id % 7 <= 5 THEN ts + (event_id % 7) * INTERVAL 1 MINUTE END AS seen_at,
                  event_id % 30 <> 0 AND event_id % 7 <= 5 AS reached
-          FROM events WHERE event_id % 10 = 0 AND ts <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events)"""
+          FROM events WHERE event_id % 10 = 0 AND ts <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
 
 
 @query(_LAG)
@@ -60,8 +60,8 @@ def stream_archive_lag(v: S):
     later = F.col("ts") + F.make_dt_interval(mins=(i % 7).cast("int"))
     arrivals = _stream(v).where((i % 10 == 0) & (i % 30 != 0)).select(*key, later.alias("ts"))
     out = _to_table(archive_lag(markers, arrivals, "5 minutes"), v)
-    # The last markers stay open until event time moves on; the hour before the end is left out.
-    end = v.table("events").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 1 HOUR")).alias("t")).scalar()
+    # The last markers stay open until event time moves on; the day before the end is left out.
+    end = v.table("events").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 1 DAY")).alias("t")).scalar()
     return out.where(F.col("written_at") <= end)
 
 
