@@ -17,7 +17,7 @@ class IdentityMismatch(RuntimeError):
     pass
 
 
-def _check_identity(spark: SparkSession, root: str, info: SnapshotInfo) -> None:
+def check_identity(spark: SparkSession, root: str, info: SnapshotInfo) -> None:
     if not info.system_identifier:
         return
     current = spark.createDataFrame(
@@ -32,7 +32,7 @@ def _check_identity(spark: SparkSession, root: str, info: SnapshotInfo) -> None:
 
 def backup_full(df: DataFrame, root: str, info: SnapshotInfo) -> None:
     """Identity check, then data, then the manifest."""
-    _check_identity(df.sparkSession, root, info)
+    check_identity(df.sparkSession, root, info)
     publish_snapshot(df, root, info)
 
 
@@ -41,7 +41,7 @@ def backup_incremental(df: DataFrame, root: str, info: SnapshotInfo, key: list[s
     if not info.parent_backup_id:
         raise ValueError("an incremental snapshot needs a parent")
     spark = df.sparkSession
-    _check_identity(spark, root, info)
+    check_identity(spark, root, info)
     parent = restore_table(spark, root, info.parent_backup_id, key)
     publish_snapshot(incremental_snapshot(parent, df, key), root, info)
 

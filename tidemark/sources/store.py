@@ -20,6 +20,9 @@ from ..schemas import REPLICAS
 from ..session import materialize
 from .objects import scan_objects, stored_digests
 
+# Directory level of snapshots that were written step by step.
+STEP = "_step"
+
 
 @dataclass(frozen=True)
 class SnapshotInfo:
@@ -50,6 +53,12 @@ def publish_snapshot(df: DataFrame, root: str, info: SnapshotInfo, partition_by:
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{target}/data")
+    write_manifest(spark, root, info)
+
+
+def write_manifest(spark: SparkSession, root: str, info: SnapshotInfo) -> None:
+    """Digest the data files as stored and publish the snapshot."""
+    target = f"{root.rstrip('/')}/{info.backup_id}"
     meta = {
         "type": F.lit(info.type),
         "parent_backup_id": F.lit(info.parent_backup_id).cast("string"),
@@ -95,7 +104,7 @@ def read_snapshot(spark: SparkSession, root: str, backup_id: str) -> DataFrame:
         spark.read.parquet(f"{root}/{backup_id}/manifest")
     except AnalysisException as exc:
         raise LookupError(f"snapshot {backup_id} is not published") from exc
-    return spark.read.parquet(f"{root}/{backup_id}/data")
+    return spark.read.parquet(f"{root}/{backup_id}/data").drop(STEP)
 
 
 def write_fan_out(df: DataFrame, targets: dict[str, str], backup_id: str, data_object: str = "data") -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import types as T
 
 from tidemark import functions as fn
 from tidemark import operators as op
-from tidemark.plans import backup_full, backup_incremental, restore_table, verify_snapshots
+from tidemark.plans import backup_full, backup_incremental, backup_resumable, restore_table, resume_state, verify_snapshots
 from tidemark.session import scratch_path
 from tidemark.sources import (
     content_digests,
@@ -487,6 +487,36 @@ def fan_out(v: S):
     return v.spark.read.parquet(f"{root}/c/x/data").withColumn("copies", F.lit(done))
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+def resumed_snapshot(v: S):
+    """A run dies after most steps, one stored step is damaged; the rerun completes it."""
+    root, info = scratch_path(v.spark, "snapshots"), SnapshotInfo("20260101T000000F")
+    rows = v.table("orders").drop("o_orderdate").withColumn("part", F.concat(F.lit("p"), F.col("o_custkey") % 40))
+    backup_resumable(rows.where("part <> 'p7'"), root, info, "part", steps=4)
+    crashed = SnapshotInfo("20260102T000000F")
+    for piece in ("data", "progress"):
+        for k in range(4):
+            source = v.spark.read.parquet(f"{root}/20260101T000000F/{piece}/_step={k}")
+            if piece == "data" and k == 1:
+                source = source.where("o_orderkey % 100 <> 3")
+            if k != 3:
+                source.write.parquet(f"{root}/20260102T000000F/{piece}/_step={k}")
+    backup_resumable(rows, root, crashed, "part", steps=4)
+    return read_snapshot(v.spark, root, "20260102T000000F").drop("part")
+
+
+@query(with_views(
+    """SELECT path, CASE WHEN n % 5 = 0 THEN 'source_changed' ELSE 'reusable' END AS status
+       FROM (SELECT 'p' || (o_custkey % 40) AS path, any_value(o_custkey % 40) AS n FROM orders GROUP BY 1)""", "v_backups"))
+def resume_states(v: S):
+    root, info = scratch_path(v.spark, "snapshots"), SnapshotInfo("20260101T000000F")
+    n = F.col("o_custkey") % 40
+    rows = v.table("orders").withColumn("part", F.concat(F.lit("p"), n))
+    backup_resumable(rows, root, info, "part", steps=2)
+    changed = rows.withColumn("o_totalprice", F.when(n % 5 == 0, F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return resume_state(changed, root, info, "part", "")[1].select("path", "status")
+
+
 # --- replay ---------------------------------------------------------------
 
 
