@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import naming
-from ..joins import bounded_broadcast
+from ..joins import bounded_broadcast, lookup
 
 
 def distinct_backup_ids(objects: DataFrame, strict: bool = False) -> DataFrame:
@@ -122,7 +122,7 @@ def latest_backups(backups: DataFrame, mode: str = "time") -> DataFrame:
 def label_collisions(proposed: DataFrame, backups: DataFrame) -> DataFrame:
     """Proposed ``(server, backup_id)`` labels with a flag: not later than the server's latest label."""
     latest = backups.groupBy("server").agg(F.max("backup_id").alias("latest_id"))
-    return proposed.join(bounded_broadcast(latest), "server", "left").select(
+    return lookup(proposed, latest, ["server"]).select(
         "server",
         "backup_id",
         "latest_id",

@@ -9,8 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.policy import day_bucket, month_bucket, week_bucket
-from ..joins import bounded_broadcast
-from ..session import materialize
+from ..joins import lookup
 from .chains import resolve_chains
 
 
@@ -89,16 +88,21 @@ def kept_fulls(backups: DataFrame, policy: Policy, partition_by: str | None = No
 
 
 def retention_plan(
-    backups: DataFrame, policy: Policy, chains: DataFrame | None = None, partition_by: str | None = None
+    backups: DataFrame,
+    policy: Policy,
+    chains: DataFrame | None = None,
+    partition_by: str | None = None,
+    kept: DataFrame | None = None,
 ) -> DataFrame:
     """``(backup_id, chain_id, kept, reasons)``; a chain is kept or expires as a whole.
 
-    Backups without a root belong to neither side and are left out.
+    Backups without a root belong to neither side and are left out. ``chains``
+    and ``kept`` may be given where they are known already.
     """
     chains = resolve_chains(backups) if chains is None else chains
-    kept = materialize(kept_fulls(backups, policy, partition_by))
+    kept = kept_fulls(backups, policy, partition_by) if kept is None else kept
     rooted = chains.where(F.col("chain_id").isNotNull()).select("backup_id", "chain_id")
-    return rooted.join(bounded_broadcast(kept), "chain_id", "left").select(
+    return lookup(rooted, kept, ["chain_id"]).select(
         "backup_id",
         "chain_id",
         F.col("reasons").isNotNull().alias("kept"),

@@ -42,11 +42,13 @@ def open_repository(
     temp_marker: str | None = None,
     seg_bytes: int = SEGMENT_BYTES,
     inventory: DataFrame | None = None,
+    with_segments: bool = True,
 ) -> Repository:
+    """List and decode a repository; ``with_segments=False`` leaves the log archive unlisted."""
     # One listing serves everything that follows.
     objects = materialize(scan_objects(spark, root, temp_marker=temp_marker, inventory=inventory))
     archived = scan_objects(spark, root, prefix=naming.WAL_DIR, temp_marker=temp_marker, inventory=inventory)
-    segments = scan_segments(materialize(archived), seg_bytes)
+    segments = scan_segments(materialize(archived) if with_segments else archived.limit(0), seg_bytes)
     names = [naming.MANIFEST_NAME, naming.SIDECAR_NAME]
     metadata = materialize(scan_contents(spark, root, names=names, objects=objects))
     manifests = scan_manifests(metadata)
@@ -60,7 +62,7 @@ def verify(
     spark: SparkSession, root: str, backup_id: str | None = None, full: bool = False, temp_marker: str | None = None
 ) -> tuple[DataFrame, DataFrame]:
     """``(summary, mismatches)``: every recorded file is read and hashed again."""
-    repo = open_repository(spark, root, temp_marker)
+    repo = open_repository(spark, root, temp_marker, with_segments=False)
     manifests, ids = repo.manifests, cat.distinct_backup_ids(repo.objects)
     if backup_id is not None:
         manifests, ids = manifests.where(F.col("backup_id") == backup_id), ids.where(F.col("backup_id") == backup_id)
@@ -106,8 +108,8 @@ def plan_prune(
 ) -> PrunePlan:
     """Retention plan, and what it allows to delete. Reads only."""
     backups = materialize(backups)
-    plan = materialize(retention_plan(backups, policy))
-    kept = kept_fulls(backups, policy)
+    kept = materialize(kept_fulls(backups, policy))
+    plan = materialize(retention_plan(backups, policy, kept=kept))
     water = low_water(backups, kept).first()[0]
     cutoff: DataFrame | object = F.lit(water).cast("bigint")
     if per_timeline:
