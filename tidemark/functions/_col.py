@@ -1,8 +1,15 @@
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def col(c: Column | str) -> Column:
     return F.col(c) if isinstance(c, str) else c
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed one time per row, however often it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ._col import col
+from ._col import col, let
 from .lsn import hex_to_long, parse_lsn
 
 _MARK = '"Manifest-Checksum"'
@@ -26,10 +26,9 @@ def manifest_checksum_ok(content: Column | str) -> Column:
 
 def bytes_to_hex(byte_array: Column | str) -> Column:
     """A 32-number JSON byte array as lower-case hex; NULL when absent or all zero."""
-    hexed = F.array_join(
-        F.transform(col(byte_array), lambda b: F.lpad(F.lower(F.hex(b.cast("bigint"))), 2, "0")), ""
-    )
-    return F.when((F.size(col(byte_array)) == 32) & ~hexed.rlike("^0*$"), hexed)
+    hexed = F.array_join(F.transform(col(byte_array), lambda b: F.lpad(F.hex(b.cast("bigint")), 2, "0")), "")
+    digest = let(F.lower(hexed), lambda h: F.nullif(h, F.lit("0" * 64)))
+    return F.when(F.size(col(byte_array)) == 32, digest)
 
 
 def u32le(content: Column | str, offset: Column | int) -> Column:
@@ -42,17 +41,15 @@ def u32le(content: Column | str, offset: Column | int) -> Column:
 
 def label_start_lsn(text: Column | str) -> Column:
     found = F.regexp_extract(col(text), r"(?m)^START WAL LOCATION:\s+([0-9A-Fa-f]+/[0-9A-Fa-f]+)", 1)
-    return parse_lsn(F.nullif(found, F.lit("")))
+    return let(found, lambda text: parse_lsn(F.nullif(text, F.lit(""))))
 
 
 def label_timeline(text: Column | str) -> Column:
     found = F.regexp_extract(col(text), r"(?m)^START TIMELINE:\s+(\d+)", 1).try_cast("bigint")
-    return F.when(found <= 0xFFFFFFFF, found)
+    return let(found, lambda tli: F.when(tli <= 0xFFFFFFFF, tli))
 
 
 def parse_backup_label(text: Column | str) -> Column:
     """``struct(start_lsn, timeline)``; NULL unless both fields are present."""
-    lsn, tli = label_start_lsn(text), label_timeline(text)
-    return F.when(
-        lsn.isNotNull() & tli.isNotNull(), F.struct(lsn.alias("start_lsn"), tli.alias("timeline"))
-    )
+    fields = F.struct(label_start_lsn(text).alias("start_lsn"), label_timeline(text).alias("timeline"))
+    return let(fields, lambda f: F.when(f["start_lsn"].isNotNull() & f["timeline"].isNotNull(), f))

@@ -40,18 +40,27 @@ def _unknown_keys(raw: Column, struct: T.StructType) -> Column:
     return F.array_except(F.json_object_keys(raw), known)
 
 
-def _strict_error(raw: Column, doc: Column, schema: T.StructType, nested: str, nested_type: T.StructType) -> Column:
-    """NULL when the document decodes and has no field beyond the schema."""
-    items = F.from_json(F.get_json_object(raw, f"$.{nested}"), T.ArrayType(T.StringType()))
+def _strict(docs: DataFrame, schema: T.StructType, nested: str) -> DataFrame:
+    """Adds ``error``: NULL when the document decodes and has no field beyond the schema.
+
+    ``nested`` names the one field that is a list of objects.
+    """
+    nested_type = schema[nested].dataType.elementType
+    items = F.from_json(F.get_json_object("_raw", f"$.{nested}"), T.ArrayType(T.StringType()))
     nested_unknown = F.array_distinct(F.flatten(F.transform(items, lambda x: _unknown_keys(x, nested_type))))
-    unknown = F.array_union(
-        F.coalesce(_unknown_keys(raw, schema), F.array().cast("array<string>")),
-        F.coalesce(nested_unknown, F.array().cast("array<string>")),
+    empty = F.array().cast("array<string>")
+    docs = _once(
+        docs,
+        _top=_unknown_keys(F.col("_raw"), schema),
+        _extra=F.coalesce(F.when(F.col("_doc").isNotNull(), nested_unknown), empty),
     )
-    broken = doc.isNull() | doc["_corrupt"].isNotNull() | F.json_object_keys(raw).isNull()
-    return F.when(broken, "invalid JSON").when(
-        F.size(unknown) > 0, F.concat(F.lit("unknown field: "), F.array_join(unknown, ", "))
+    # A document that is no object has no keys at all.
+    broken = F.col("_doc").isNull() | F.col("_doc._corrupt").isNotNull() | F.col("_top").isNull()
+    unknown = F.array_union("_top", "_extra")
+    error = F.when(broken, "invalid JSON").when(
+        (F.size("_top") > 0) | (F.size("_extra") > 0), F.concat(F.lit("unknown field: "), F.array_join(unknown, ", "))
     )
+    return docs.withColumn("error", error).drop("_top", "_extra")
 
 
 # --- manifests ------------------------------------------------------------
@@ -123,9 +132,7 @@ def wal_ranges(manifests: DataFrame) -> DataFrame:
 
 def decode_sidecars(contents: DataFrame) -> DataFrame:
     """One row per sidecar; ``error`` is NULL or tells why it does not decode."""
-    docs = _decoded(_only(contents, naming.SIDECAR_NAME), SIDECAR_JSON)
-    segment_type = SIDECAR_JSON["wal_segments"].dataType.elementType
-    docs = _once(docs, error=_strict_error(F.col("_raw"), F.col("_doc"), SIDECAR_JSON, "wal_segments", segment_type))
+    docs = _strict(_decoded(_only(contents, naming.SIDECAR_NAME), SIDECAR_JSON), SIDECAR_JSON, "wal_segments")
     d = F.col("_doc")
 
     def text(name):
@@ -171,11 +178,11 @@ def scan_checkpoints(
     own version; decoding is strict, so it has to be given exactly.
     """
     schema = checkpoint_json(tool_version_field)
-    file_type = schema["files"].dataType.elementType
-    docs = _decoded(_only(contents, naming.CHECKPOINT_NAME), schema)
-    strict = _strict_error(F.col("_raw"), F.col("_doc"), schema, "files", file_type)
+    docs = _strict(_decoded(_only(contents, naming.CHECKPOINT_NAME), schema), schema, "files")
     wrong_version = F.col("_doc.version").isNull() | (F.col("_doc.version") != CHECKPOINT_VERSION)
-    docs = _once(docs, error=F.coalesce(strict, F.when(wrong_version, "unsupported checkpoint version")))
+    docs = docs.withColumn(
+        "error", F.coalesce("error", F.when(wrong_version, "unsupported checkpoint version"))
+    )
     good, d = docs.where(F.col("error").isNull()), F.col("_doc")
     lsn = d["start_lsn"]
     checkpoints = good.select(

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
+from tidemark.session import materialize
 
 NOW = "2001-08-02 12:00:00"
 BASE_LSN = 12335146074112
@@ -168,10 +169,14 @@ class S:
             incremental.alias("incremental"),
         )
 
+    def _spread(self, ids: DataFrame) -> DataFrame:
+        """One small file feeds much work per row here; use all cores for it."""
+        return ids.repartition(self.spark.sparkContext.defaultParallelism, "o_orderkey")
+
     def repo_contents(self) -> DataFrame:
         """``(path, size, content)`` of manifests and sidecars; some are missing or broken."""
         k = F.col("o_orderkey")
-        ids = self.repo_ids()
+        ids = self._spread(self.repo_ids())
         start = k * 5000000 + 40
         files = F.format_string(
             '"Files": [\n{ "Path": "base/%d", "Size": %d, "Last-Modified": "%s GMT", "Checksum-Algorithm": "SHA256", "Checksum": "%s" },\n'
@@ -206,12 +211,11 @@ class S:
             ids.where(k % 43 != 0).select("backup_id", F.lit("backup_manifest").alias("f"), manifest.alias("t")),
             ids.where(k % 47 != 0).select("backup_id", F.lit("Storage-Metadata.json").alias("f"), sidecar.alias("t")),
         ]
-        rows = parts[0].unionByName(parts[1])
-        return rows.select(
-            F.concat_ws("/", "backup_id", "f").alias("path"),
-            F.octet_length("t").cast("bigint").alias("size"),
-            F.encode("t", "UTF-8").alias("content"),
+        rows = parts[0].unionByName(parts[1]).select(
+            F.concat_ws("/", "backup_id", "f").alias("path"), F.encode("t", "UTF-8").alias("content")
         )
+        # Stands for bodies read from a store: written out once, then only read.
+        return materialize(rows).withColumn("size", F.octet_length("content").cast("bigint"))
 
     def repo_objects(self) -> DataFrame:
         ids = self.repo_ids()
@@ -250,9 +254,10 @@ class S:
             array32,
         )
         text = F.when(k % 14 == 0, F.substring(text, 1, 40)).otherwise(text)
-        return self.repo_ids().where(k % 2 == 0).select(
+        rows = self._spread(self.repo_ids()).where(k % 2 == 0).select(
             F.concat_ws("/", "backup_id", F.lit("backup_manifest.copy")).alias("path"), F.encode(text, "UTF-8").alias("content")
         )
+        return materialize(rows)
 
     def reuse_tables(self) -> dict[str, DataFrame]:
         d = F.col("doc_id")
