@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark import functions as fn
-from tidemark import operators as op
 from tidemark.session import scratch_path
 from tidemark.sources.store import read_archive
 from tidemark.streaming import archive_lag, ingest_stream, progress_stream, replica_liveness, watch_required
@@ -21,8 +20,15 @@ def _stream(v: S, table: str = "events", schema: str = _EVENTS):
 
 
 def _drain(writer, v: S) -> None:
-    job = writer.option("checkpointLocation", scratch_path(v.spark, "stream")).trigger(availableNow=True).start()
-    job.awaitTermination()
+    """Run until the input is used up. State is split by the cores at hand, not by the batch default."""
+    conf, key = v.spark.conf, "spark.sql.shuffle.partitions"
+    before = conf.get(key)
+    conf.set(key, str(min(int(before), v.spark.sparkContext.defaultParallelism)))
+    try:
+        job = writer.option("checkpointLocation", scratch_path(v.spark, "stream")).trigger(availableNow=True).start()
+        job.awaitTermination()
+    finally:
+        conf.set(key, before)
 
 
 def _to_table(stream, v: S):
@@ -135,6 +141,3 @@ def stream_progress(v: S):
     _drain(progress_stream(files.select("doc_id", "source", "n_chars"), copy, f"{path}/progress"), v)
     progress = v.spark.read.parquet(f"{path}/progress")
     return progress.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"))
-
-
-__all__ = ["op", "_seg"]
