@@ -4,7 +4,15 @@ from datetime import timedelta
 
 from tests.builder import day
 from tidemark.sources.store import read_archive
-from tidemark.streaming import archive_lag, ingest_stream, progress_stream, read_progress, replica_liveness, watch_required
+from tidemark.streaming import (
+    archive_lag,
+    fan_out_stream,
+    ingest_stream,
+    progress_stream,
+    read_progress,
+    replica_liveness,
+    watch_required,
+)
 
 SEGMENT = "tli BIGINT, name STRING, sha256 STRING, size BIGINT, seg_no BIGINT"
 
@@ -96,3 +104,49 @@ def test_progress(spark, workdir):
     done.clear()
     drain(progress_stream(files, lambda b, i: done.append(b.count()), f"{blocked}/x"), workdir, "p2")
     assert done == [1, 1, 1, 1]
+
+
+def test_fan_out(spark, workdir):
+    import pytest
+
+    rows = feed(spark, workdir, "r", "id BIGINT", [[(1,)], [(2,), (3,)]])
+    blocked = f"{workdir}/blocked"
+    open(blocked, "w").write("a file where a folder should be")
+    targets = {"a": f"{workdir}/a", "bad": f"{blocked}/x", "c": f"{workdir}/c"}
+    drain(fan_out_stream(rows, targets, f"{workdir}/status"), workdir, "fan")
+    for t in "ac":
+        assert sorted(r["id"] for r in spark.read.parquet(targets[t]).collect()) == [1, 2, 3]
+    got = spark.read.parquet(f"{workdir}/status").collect()
+    assert sorted((r["batch"], r["target"], r["status"]) for r in got) == [
+        (0, "a", "committed"), (0, "bad", "failed"), (0, "c", "committed"), (1, "a", "committed"), (1, "c", "committed")
+    ]
+    with pytest.raises(Exception, match="no target is left"):
+        drain(fan_out_stream(rows, {"bad": f"{blocked}/x"}, f"{workdir}/status2"), workdir, "fan2")
+
+
+def test_snapshot_resumes_after_a_crash(spark, workdir):
+    import os
+
+    from pyspark.sql import functions as F
+
+    from tidemark.plans import backup_resumable, resume_state
+    from tidemark.sources.store import SnapshotInfo, read_snapshot, snapshot_catalog
+
+    root, info = f"{workdir}/snap", SnapshotInfo("A")
+    df = spark.range(1000).select("id", F.concat(F.lit("p"), F.col("id") % 10).alias("part"))
+    real = os.rename
+
+    # The run dies before its manifest: progress and data stay behind.
+    backup_resumable(df, root, info, "part", steps=4, settings="v1")
+    real(f"{root}/A/manifest", f"{workdir}/manifest-lost")
+    assert snapshot_catalog(spark, root).count() == 0
+    before = {d: os.stat(f"{root}/A/data/{d}").st_mtime_ns for d in os.listdir(f"{root}/A/data") if d.startswith("_step")}
+    changed = df.withColumn("id", F.when(F.col("part") == "p3", F.col("id") + 5000).otherwise(F.col("id")))
+    status = {r["path"]: r["status"] for r in resume_state(changed, root, info, "part", "v1")[1].collect()}
+    assert status == {f"p{i}": "source_changed" if i == 3 else "reusable" for i in range(10)}
+    assert resume_state(df, root, info, "part", "v2")[1].count() == 0
+    totals = backup_resumable(changed, root, info, "part", steps=4, settings="v1").first()
+    assert (totals["files"], totals["bytes"]) == (10, 1000)
+    after = {d: os.stat(f"{root}/A/data/{d}").st_mtime_ns for d in before}
+    assert sum(before[d] != after[d] for d in before) == 1
+    assert sorted(map(tuple, read_snapshot(spark, root, "A").collect())) == sorted(map(tuple, changed.collect()))

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lsn import SEGMENT_BYTES, int_div
-from ..joins import bounded_broadcast, latest_by, overlay
+from ..joins import bounded_broadcast, latest_by, lookup, overlay
 
 _BLOCK = ["rel", "fork", "block_no"]
 
@@ -81,7 +81,7 @@ def combine_chain(
     payload = [c for c in blocks.columns if c not in (*key, "backup_id")]
     lim = newest_limits(limits)
     in_range = F.col("truncation_block_length").isNull() | (F.col("block_no") < F.col("truncation_block_length"))
-    live = blocks.join(bounded_broadcast(lim), "path", "left").where(in_range).select(*key, *payload)
+    live = lookup(blocks, lim, ["path"]).where(in_range).select(*key, *payload)
     increments = live.where(F.col("chain_pos") > base_pos)
     values = [c for c in payload if c != "chain_pos"]
     latest = latest_by(increments, key, ["chain_pos"], values + ["chain_pos"]).withColumn("_gone", F.lit(False))

@@ -49,10 +49,9 @@ def open_repository(
     objects = materialize(scan_objects(spark, root, temp_marker=temp_marker, inventory=inventory))
     archived = scan_objects(spark, root, prefix=naming.WAL_DIR, temp_marker=temp_marker, inventory=inventory)
     segments = scan_segments(materialize(archived) if with_segments else archived.limit(0), seg_bytes)
-    names = [naming.MANIFEST_NAME, naming.SIDECAR_NAME]
-    metadata = materialize(scan_contents(spark, root, names=names, objects=objects))
-    manifests = scan_manifests(metadata)
-    documents = decode_sidecars(metadata)
+    # Manifests can be large and are read again where they are needed; sidecars are small.
+    manifests = scan_manifests(scan_contents(spark, root, names=[naming.MANIFEST_NAME], objects=objects))
+    documents = materialize(decode_sidecars(scan_contents(spark, root, names=[naming.SIDECAR_NAME], objects=objects)))
     backups, warnings = cat.build_catalog(objects, documents, manifest_headers(manifests))
     sidecars = documents.where(F.col("error").isNull()).drop("error")
     return Repository(spark, root, objects, segments, manifests, sidecars, backups, warnings)
@@ -75,11 +74,12 @@ def verify(
     # The codec joins the listing, not the bodies; encrypted bodies are not decoded.
     readable = codecs.select("backup_id", F.when(F.col("encrypted"), "none").otherwise(F.col("codec")).alias("codec"))
     listed = stored.join(bounded_broadcast(readable), "backup_id")
+    files = manifest_files(manifests).join(bounded_broadcast(codecs.select("backup_id")), "backup_id", "left_semi")
+    files = materialize(files.select("backup_id", "path", "size", "sha256"))
     if not full:
-        wanted = manifest_files(manifests).where(F.col("sha256").isNotNull()).select("backup_id", "path")
+        wanted = files.where(F.col("sha256").isNotNull()).select("backup_id", "path")
         listed = listed.join(wanted, ["backup_id", "path"], "left_semi")
     digests = stored_digests(listed.select("backup_id", "path", "location", "codec"), root)
-    files = manifest_files(manifests).join(bounded_broadcast(codecs.select("backup_id")), "backup_id", "left_semi")
     checked = materialize(verify_files(files, digests, codecs, full))
     flags = (
         ids.join(manifests.select("backup_id", "readable", "checksum_ok"), "backup_id", "left")

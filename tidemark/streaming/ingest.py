@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from ..schemas import REPLICAS
 from ..sources.store import archive_ingest
 
 log = logging.getLogger(__name__)
@@ -45,6 +46,33 @@ def ingest_stream(
     return incoming.writeStream.foreachBatch(write)
 
 
+def fan_out_stream(rows: DataFrame, targets: dict[str, str], status_dir: str) -> DataStreamWriter:
+    """Write every micro-batch to all targets; a target that fails is dropped from then on.
+
+    Each batch owns ``batch=<id>`` on every target, so a repeated batch replaces
+    itself. The status of each write goes to ``<status_dir>``. The stream fails
+    when no target is left.
+    """
+    alive = dict(targets)
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        results = []
+        for name, path in list(alive.items()):
+            try:
+                batch.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+                results.append((name, str(batch_id), "data", "committed", None))
+            except Exception as exc:  # whatever a store raises, the other targets go on
+                del alive[name]
+                log.warning("target %s is dropped: %s", name, str(exc).splitlines()[0])
+                results.append((name, str(batch_id), "data", "failed", str(exc).splitlines()[0][:500]))
+        if not alive:
+            raise RuntimeError("no target is left: " + "; ".join(f"{r[0]}: {r[4]}" for r in results))
+        status = batch.sparkSession.createDataFrame(results, REPLICAS)
+        status.coalesce(1).write.mode("overwrite").parquet(f"{status_dir}/batch={batch_id}")
+
+    return rows.writeStream.foreachBatch(write)
+
+
 def progress_stream(
     files: DataFrame, process: Callable[[DataFrame, int], None], progress_dir: str
 ) -> DataStreamWriter:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import functions as fn
 from tidemark.session import scratch_path
 from tidemark.sources.store import read_archive
-from tidemark.streaming import archive_lag, ingest_stream, progress_stream, replica_liveness, watch_required
+from tidemark.streaming import archive_lag, fan_out_stream, ingest_stream, progress_stream, replica_liveness, watch_required
 
 from .registry import query
 from .views import BASE_SEG, S, _seg, with_views
@@ -129,6 +129,15 @@ def stream_replica_liveness(v: S):
     return updates.join(last, ["host", "batch"], "left_semi").select("host", "ts", "ok")
 
 
+@query("SELECT event_type, count(*) AS n, CAST(2 AS BIGINT) AS copies FROM events GROUP BY event_type")
+def stream_fan_out(v: S):
+    root = scratch_path(v.spark, "fan")
+    _drain(fan_out_stream(_stream(v).select("event_id", "event_type"), {"a": f"{root}/a", "b": f"{root}/b"}, f"{root}/status"), v)
+    rows = v.spark.read.parquet(f"{root}/a", f"{root}/b").select("event_id", "event_type")
+    per_event = rows.groupBy("event_id", "event_type").agg(F.count(F.lit(1)).alias("copies"))
+    return per_event.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("copies"))
+
+
 @query("SELECT source, count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS chars FROM documents GROUP BY source")
 def stream_progress(v: S):
     files = _stream(v, "documents", "doc_id BIGINT, text STRING, lang STRING, source STRING, n_chars BIGINT")
