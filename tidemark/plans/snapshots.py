@@ -69,6 +69,6 @@ def verify_snapshots(spark: SparkSession, root: str) -> DataFrame:
         F.col("size").alias("stored_size"),
         F.col("sha256").alias("plain_sha256"),
         F.col("size").alias("plain_size"),
-        F.lit(None).cast("string").alias("error"),
+        F.when(F.col("sha256").isNull(), "unreadable").alias("error"),
     )
     return verify_files(expected, digests)

@@ -27,7 +27,9 @@ def _open_store():
     def open_store(root):
         from pyarrow import fs
 
-        if "://" in root or root.startswith("file:"):
+        if root.startswith("file:"):
+            filesystem, base = fs.LocalFileSystem(), "/" + root[5:].lstrip("/")
+        elif "://" in root:
             filesystem, base = fs.FileSystem.from_uri(root.replace("s3a://", "s3://", 1))
         else:
             filesystem, base = fs.LocalFileSystem(), root
@@ -129,7 +131,7 @@ def scan_objects(
 ) -> DataFrame:
     """Recursive listing ``(path, size, mod_time)``; a missing prefix gives no rows.
 
-    Tasks list the directories, two levels one by one and the rest recursively,
+    Tasks list the directories, three levels one by one and the rest recursively,
     so neither the driver nor one task holds the listing of a large repository.
     (Spark's file index would drop empty files and names starting with ``_`` or
     ``.``, which a backup has to account for.) ``inventory`` takes the place of
@@ -141,7 +143,7 @@ def scan_objects(
     schema = OBJECTS + ", folder BOOLEAN"
     skip = () if prefix else (naming.WAL_DIR,)
     rows = spark.createDataFrame([(prefix.strip("/"), None, None, True)], schema).coalesce(1)
-    for recursive in (False, False, True):
+    for recursive in (False, False, False, True):
         rows = rows.mapInArrow(_expand(root, recursive, skip), schema)
         if not recursive:
             rows = rows.repartition(_tasks(spark), "path")

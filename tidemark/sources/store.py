@@ -6,6 +6,7 @@ after the data is complete, ``<dir>/<id>/manifest`` (parquet).
 
 from __future__ import annotations
 
+import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
@@ -18,7 +19,6 @@ from ..joins import bounded_broadcast
 from ..operators.wal import classify_push
 from ..schemas import REPLICAS
 from ..session import materialize
-from .objects import scan_objects, stored_digests
 
 # Directory level of snapshots that were written step by step.
 STEP = "_step"
@@ -35,12 +35,18 @@ class SnapshotInfo:
 
 
 def part_digests(spark: SparkSession, data_dir: str) -> DataFrame:
-    """``(part, size, sha256)`` of the stored files below a data directory."""
-    files = scan_objects(spark, data_dir).where(~naming.basename("path").rlike("^[._]"))
-    digests = stored_digests(files.select("path", F.lit("none").alias("codec")), data_dir, location="path")
-    return digests.select(
-        F.col("path").alias("part"), F.col("stored_size").alias("size"), F.col("stored_sha256").alias("sha256")
-    )
+    """``(part, size, sha256)`` of the data files Spark wrote below a directory.
+
+    Such files are never empty or hidden and of moderate size, so the binary-file
+    source reads them on every file system Spark can write to, and the JVM hashes.
+    A file the store lists but cannot deliver intact has a NULL hash.
+    """
+    # Listed paths are qualified (file:/x, s3a://b/x); cut after the directory's own text.
+    anchor = re.sub("^file:/+", "/", data_dir.rstrip("/")) + "/"
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("ignoreCorruptFiles", "true").load(data_dir)
+    part = F.substring_index("path", anchor, -1).alias("part")
+    read = files.select(part, F.sha2("content", 256).alias("sha256"))
+    return files.select(part, F.col("length").alias("size")).join(read, "part", "left")
 
 
 def publish_snapshot(df: DataFrame, root: str, info: SnapshotInfo, partition_by: list[str] | None = None) -> None:
@@ -67,7 +73,8 @@ def write_manifest(spark: SparkSession, root: str, info: SnapshotInfo) -> None:
         "annotation": F.lit(info.annotation).cast("string"),
         "published_at": F.current_timestamp(),
     }
-    parts = part_digests(spark, f"{target}/data").withColumns(meta)
+    unread = F.raise_error(F.concat(F.lit("cannot read back "), F.col("part"))).cast("string")
+    parts = part_digests(spark, f"{target}/data").withColumns({"sha256": F.coalesce("sha256", unread), **meta})
     parts.write.mode("error").parquet(f"{target}/manifest")
 
 

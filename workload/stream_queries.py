@@ -133,7 +133,8 @@ def stream_replica_liveness(v: S):
 def stream_fan_out(v: S):
     root = scratch_path(v.spark, "fan")
     _drain(fan_out_stream(_stream(v).select("event_id", "event_type"), {"a": f"{root}/a", "b": f"{root}/b"}, f"{root}/status"), v)
-    rows = v.spark.read.parquet(f"{root}/a", f"{root}/b").select("event_id", "event_type")
+    a, b = (v.spark.read.parquet(f"{root}/{t}").select("event_id", "event_type") for t in "ab")
+    rows = a.unionByName(b)
     per_event = rows.groupBy("event_id", "event_type").agg(F.count(F.lit(1)).alias("copies"))
     return per_event.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.min("copies").alias("copies"))
 
