@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing
+from . import minhash, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -32,3 +32,37 @@ def query(fn):
 @query
 def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(documents(spark, sf_dir), tokenizer_path())
+
+
+@query
+def op2_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(documents(spark, sf_dir), width=2)
+
+
+ORACLES["op2_minhash_near_dedup"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT doc_id, list_distinct(CASE WHEN coalesce(len(words), 0) = 0 THEN []
+    WHEN len(words) = 1 THEN [words[1]]
+    ELSE list_transform(range(1, len(words)), lambda i: words[i] || ' ' || words[i + 1]) END) AS shingles FROM w
+), c AS (
+  SELECT shingles, min(doc_id) AS rep, len(shingles) AS n, row_number() OVER () AS class
+  FROM (SELECT doc_id, list_sort(shingles) AS shingles FROM s) WHERE len(shingles) > 0 GROUP BY shingles
+), e AS (
+  SELECT rep, n, unnest(shingles) AS shingle FROM c
+), common AS (
+  SELECT x.rep AS a, y.rep AS b, any_value(x.n) + any_value(y.n) AS total, count(*) AS shared
+  FROM e x JOIN e y ON x.shingle = y.shingle AND x.rep < y.rep AND 100 * least(x.n, y.n) >= 80 * greatest(x.n, y.n) GROUP BY ALL
+), links AS (
+  SELECT a, b FROM common WHERE 100 * shared >= 80 * (total - shared)
+), reach(node, other) AS (
+  SELECT rep, rep FROM c
+  UNION SELECT r.node, CASE WHEN l.a = r.other THEN l.b ELSE l.a END FROM reach r JOIN links l ON r.other IN (l.a, l.b)
+), component AS (
+  SELECT node, min(other) AS component_id FROM reach GROUP BY node
+)
+SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(component_id, s.doc_id) AS component_id,
+       coalesce(component_id, s.doc_id) = s.doc_id AS kept
+FROM s LEFT JOIN c ON list_sort(s.shingles) = c.shingles LEFT JOIN component ON c.rep = component.node
+"""
