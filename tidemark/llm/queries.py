@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import minhash, packing
+from . import minhash, mixing, packing, resharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -66,3 +67,17 @@ SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(compone
        coalesce(component_id, s.doc_id) = s.doc_id AS kept
 FROM s LEFT JOIN c ON list_sort(s.shingles) = c.shingles LEFT JOIN component ON c.rep = component.node
 """
+
+
+@query
+def op5_sainte_lague_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op10_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """From 32 shards by id hash to 40 of equal bytes."""
+    old = F.coalesce(F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(32)), F.lit(0))
+    placed = resharding.reshard(documents(spark, sf_dir), old, 40)
+    law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, F.col("old").alias("old_shard"))
