@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import minhash, mixing, packing, resharding
+from . import minhash, mixing, packing, quality, resharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +81,8 @@ def op10_min_cost_flow_resharding(spark: SparkSession, sf_dir: str) -> DataFrame
     placed = resharding.reshard(documents(spark, sf_dir), old, 40)
     law, grown = F.lit("bytes").alias("law"), F.lit(None).cast("int").alias("grown_shard")
     return placed.select("doc_id", "size", "text_crc32", law, "shard", "slot", grown, F.col("old").alias("old_shard"))
+
+
+@query
+def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
