@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import katz, minhash, mixing, packing, quality, resharding
+from . import chunking, katz, minhash, mixing, packing, quality, resharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -91,3 +91,8 @@ def op4_kneser_ney_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op3_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return katz.score(documents(spark, sf_dir))
+
+
+@query
+def op9_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fingerprints(documents(spark, sf_dir))
