@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chunking, katz, minhash, mixing, packing, quality, resharding
+from . import chaining, chunking, katz, minhash, mixing, packing, quality, resharding
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -96,3 +96,9 @@ def op3_katz_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op9_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunking.fingerprints(documents(spark, sf_dir))
+
+
+@query
+def op8_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per repeated passage, with the document that has it first."""
+    return chaining.passages(documents(spark, sf_dir))
