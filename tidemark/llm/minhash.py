@@ -9,8 +9,8 @@ standard deviations below the threshold are confirmed on full sets.
 Documents with equal sets form one class and take part once, under their
 smallest doc_id. In a bucket of a band the best connected member (the hub) is
 held against the rest, so a large group of copies costs its size and not its
-square. Two rounds of hubs settle most buckets; what then still has members of
-different components is compared in tiles of bounded size, all of it.
+square. Two rounds of hubs settle most buckets; in what is left, members outside
+a bucket's main component are compared with all others, in tiles of bounded size.
 
 Defined results: a document without words has an empty set and no links; fewer
 words than a shingle count as one shingle; rows with a null doc_id cannot be
@@ -34,7 +34,8 @@ from ..session import materialize
 from .graph import components
 from .text import batch, hashes, mix, pair, stretches, utf8, words
 
-BANDS, ROWS, BITS = 40, 4, 2
+BANDS, ROWS, BITS = 48, 5, 4
+HUB_ROUNDS = 2
 TILE = 128
 _SEED = 20240311
 
@@ -165,34 +166,41 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     size, longs = bands * rows, bands * rows * bits // 64
     names = [f"s{i}" for i in range(longs)]
+    of_set = ["d1", "d2", "n_shingles"]
     signed = materialize(signatures(docs, width, bands, rows, bits))
-    full = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(full.groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("rep")))
-
-    firsts = full.join(classes.withColumnRenamed("rep", "doc_id"), ["d1", "d2", "n_shingles", "doc_id"], "left_semi")
-    member = F.struct(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *names)
-    spread = firsts.select(F.explode("keys").alias("key"), member.alias("m"))
-    sizes = firsts.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
-    buckets = materialize(spread.join(sizes, "key"))
-    weights = buckets.groupBy(F.col("m.rep").alias("rep")).agg(F.sum("size").alias("weight"))
-    buckets = materialize(buckets.join(weights, buckets["m.rep"] == weights["rep"]).select("key", "m", "weight", F.col("rep").alias("comp")))
+    full = signed.where("n_shingles > 0 and doc_id is not null").select("doc_id", *of_set)
+    classes = full.groupBy(*of_set).agg(F.min("doc_id").alias("rep"))
+    classed = materialize(full.join(classes, of_set))
+    copies = bounded_broadcast(materialize(classed.where("doc_id <> rep").select("doc_id", "d1", "d2").distinct()))
+    firsts = signed.where("n_shingles > 0 and doc_id is not null").join(copies, ["doc_id", "d1", "d2"], "left_anti")
+
+    keys = firsts.select(F.explode("keys").alias("key"), F.col("doc_id").alias("rep"))
+    sizes = keys.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    buckets = materialize(keys.join(sizes, "key"))
+    # The member that meets the most others is the likeliest original of its group.
+    weights = buckets.groupBy("rep").agg(F.sum("size").alias("weight"))
+    members = firsts.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *names, "keys")
+    members = materialize(members.join(weights, "rep"))
+    buckets = buckets.select("key", "rep").join(weights, "rep").withColumn("comp", F.col("rep"))
 
     links = tested = None
-    for turn in range(3):
+    for turn in range(HUB_ROUNDS + 1):
         if turn:
             named = components(links)
-            buckets = buckets.drop("comp").join(named.withColumnRenamed("component", "comp"), F.col("m.rep") == F.col("node"), "left").withColumn("comp", F.coalesce("comp", "m.rep")).drop("node")
-            mixed = buckets.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y"), F.count("*").alias("left")).where("x <> y").select("key", "left")
-            buckets = materialize(buckets.drop("left").join(mixed, "key"))
+            buckets = buckets.drop("comp").join(named, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
+            mixed = buckets.groupBy("key").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("key")
+            buckets = materialize(buckets.join(mixed, "key"))
             if buckets.isEmpty():
                 break
-        if turn < 2:
-            hubs = buckets.groupBy("key").agg(F.max_by(F.struct("m", "comp"), F.struct("weight", -F.col("m.rep"))).alias("h")).select("key", F.col("h.m").alias("h"), F.col("h.comp").alias("h_comp"))
-            facing = materialize(buckets.join(hubs, "key").where("m.rep <> h.rep"))
-            found = facing.where(F.col("comp") != F.col("h_comp")).where(_plausible(_fields("m"), _fields("h"), percent, size, longs, bits)).select(F.least("m.rep", "h.rep").alias("a"), F.greatest("m.rep", "h.rep").alias("b")).distinct()
-            buckets = facing.drop("h", "h_comp")
+        if turn < HUB_ROUNDS:
+            hubs = buckets.groupBy("key").agg(F.max_by(F.struct(F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")), F.struct("weight", -F.col("rep"))).alias("h")).select("key", "h.*")
+            facing = materialize(buckets.join(hubs, "key").where("rep <> hub"))
+            pairs = facing.where("comp <> hub_comp").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+            x, y = (members.select(F.col("rep").alias(side), F.struct("n", *names).alias(f"of_{side}")) for side in "ab")
+            found = pairs.join(x, "a").join(y, "b").where(_plausible(_fields("of_a"), _fields("of_b"), percent, size, longs, bits)).select("a", "b")
+            buckets = facing.drop("hub", "hub_comp")
         else:
-            found = _tiles(buckets, percent, size, longs, bits)
+            found = _tiles(buckets, members, percent, size, longs, bits)
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = materialize(found)
@@ -201,25 +209,43 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         links = more if links is None else links.union(more)
 
     named = components(links)
-    of_class = classes.join(named, classes["rep"] == named["node"], "left").select("d1", "d2", "n_shingles", F.coalesce("component", "rep").alias("class_component"))
-    # Versions of one doc_id may lie in several classes: those classes are one component too.
-    shared = full.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
-    versions = full.join(shared, "doc_id").select("doc_id", "d1", "d2", "n_shingles").join(of_class, ["d1", "d2", "n_shingles"])
-    merged = components(versions.where("doc_id <> class_component").select(F.col("doc_id").alias("a"), F.col("class_component").alias("b")))
-    of_class = of_class.join(merged, F.col("class_component") == F.col("node"), "left").select("d1", "d2", "n_shingles", F.coalesce("component", "class_component").alias("class_component"))
-    out = signed.select("doc_id", "n_shingles", "d1", "d2").join(of_class, ["d1", "d2", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.when(F.col("doc_id").isNotNull(), F.col("class_component"))).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _tiles(buckets: DataFrame, percent: int, size: int, longs: int, bits: int) -> DataFrame:
-    """Plausible pairs of different components, bucket by bucket in tiles of about ``TILE`` by ``TILE`` members."""
-    tiles = F.ceil(F.col("left") / TILE).cast("int")
-    placed = buckets.withColumn("tiles", tiles).withColumn("t", F.pmod(F.xxhash64("m.rep"), F.col("tiles")).cast("int"))
-    spread = placed.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select("key", F.least("t", "o").alias("i"), F.greatest("t", "o").alias("j"), F.struct("t", "comp", "m.*").alias("e"))
-    met = spread.groupBy("key", "i", "j").agg(F.collect_list("e").alias("all"))
-    # Each pair of a tile once: within one tile by id, between two tiles from the first to the second.
-    sides = met.select("i", "j", F.explode("all").alias("x"), "all").where("x.t = i")
-    close = F.filter("all", lambda y: (y["t"] == F.col("j")) & (y["comp"] != F.col("x.comp")) & ((F.col("i") < F.col("j")) | (F.col("x.rep") < y["rep"])) & _plausible(_fields("x"), lambda c: y[c], percent, size, longs, bits))
-    pairs = sides.select("x", F.explode(close).alias("y"))
-    return pairs.select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")).distinct()
+    of_class = classed.join(named, F.col("rep") == F.col("node"), "left").select("doc_id", *of_set, F.coalesce("component", "rep").alias("component_id"))
+    # Versions of one doc_id may lie in several classes: those are one component too.
+    shared = classed.groupBy("doc_id").agg(F.count("*").alias("rows")).where("rows > 1").select("doc_id")
+    merged = components(of_class.join(shared, "doc_id").where("doc_id <> component_id").select(F.col("doc_id").alias("a"), F.col("component_id").alias("b")))
+    of_class = of_class.join(merged, F.col("component_id") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "component_id"))
+    alone = signed.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    out = of_class.select("doc_id", "n_shingles", "component_id").unionByName(alone)
+    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _tiles(buckets: DataFrame, members: DataFrame, percent: int, size: int, longs: int, bits: int) -> DataFrame:
+    """Plausible pairs of different components in a bucket, each once, in tiles of about ``TILE`` by ``TILE``.
+
+    The members outside a bucket's main component meet all members inside it
+    and one another. A pair is given by the first band that both share.
+    """
+    counts = buckets.groupBy("key", "comp").agg(F.count("*").alias("n"))
+    mains = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all"))
+    grid = F.ceil(F.col("inside") / TILE).cast("int"), F.ceil((F.col("all") - F.col("inside")) / TILE).cast("int")
+    placed = buckets.join(mains, "key").select("key", "rep", "comp", (F.col("comp") != F.col("main")).alias("out"), grid[0].alias("across"), grid[1].alias("down"))
+    placed = placed.withColumn("t", F.pmod(F.xxhash64("rep"), F.when(F.col("out"), F.col("down")).otherwise(F.col("across"))).cast("int"))
+    step = lambda kind, i, j: F.struct(F.lit(kind).alias("kind"), i.alias("i"), j.alias("j"))
+    inside = F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda i: step(0, i, F.col("t")))
+    outside = F.concat(
+        F.transform(F.sequence(F.lit(0), F.col("across") - 1), lambda j: step(0, F.col("t"), j)),
+        F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda o: step(1, F.least(o, F.col("t")), F.greatest(o, F.col("t")))),
+    )
+    spread = placed.withColumn("tile", F.explode(F.when(F.col("out"), outside).otherwise(inside)))
+    of_rep = members.select("rep", "n", *[f"s{i}" for i in range(longs)], "keys")
+    spread = spread.join(of_rep, "rep").select("key", "tile.*", F.struct("rep", "comp", "out", "t", *of_rep.columns[1:]).alias("e"))
+    met = spread.groupBy("key", "kind", "i", "j").agg(F.collect_list("e").alias("all"))
+    sides = met.select("key", "kind", "j", "i", F.explode("all").alias("x"), "all").where("x.out and x.t = i")
+
+    def close(y):
+        placed = F.when(F.col("kind") == 0, ~y["out"]).otherwise(y["out"] & (y["t"] == F.col("j")) & (y["comp"] != F.col("x.comp")) & ((F.col("i") < F.col("j")) | (F.col("x.rep") < y["rep"])))
+        first = F.element_at(F.array_intersect(F.col("x.keys"), y["keys"]), 1) == F.col("key")
+        return F.when(placed, F.when(_plausible(_fields("x"), lambda c: y[c], percent, size, longs, bits), first).otherwise(False)).otherwise(False)
+
+    pairs = sides.select("x.rep", F.explode(F.transform(F.filter("all", close), lambda y: y["rep"])).alias("other"))
+    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
