@@ -5,13 +5,12 @@ table by weight; a source gives at most ``repeats`` times its size, and what is
 above goes to the others by weight. Words are counted in blocks of equal size.
 Seats of ``block`` words go to sources by the highest quotients target/(2s+1),
 then the seats of a source to its shards by the same rule over shard sizes, so
-each shard knows its integer quota. In a shard every block is taken quota//n
-times, and a seeded choice of quota%n blocks once more.
+each shard knows its integer quota. A shard is taken whole as often as its quota
+covers it, and a seeded choice of its blocks once more.
 
 A shard is a hash range of the documents of a source; its documents stand in
 seeded order on a line of words which the blocks cut. A document's words may lie
-in several blocks. The last block of a shard is short, and counts as taken with
-the words it has.
+in several blocks.
 
 What reaches the driver: one row per source and shard (about one per
 ``ROWS_PER_CELL`` documents). Defined results: a null or empty text has size 0
@@ -35,7 +34,7 @@ from .text import batch, stretches, utf8, words
 
 WEIGHTS = (5, 2, 1)
 REPEATS = 3
-BLOCK = 32
+BLOCK = 16
 _WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -101,11 +100,26 @@ def sized(docs: DataFrame) -> DataFrame:
     return picked.mapInArrow(run, "doc_id bigint, source string, size bigint, stamp bigint")
 
 
-def chosen(count: int, quota: int, seed: int) -> np.ndarray:
-    """How often each of ``count`` blocks is taken for a quota of seats."""
-    times = np.full(count, quota // count, np.int64)
-    times[np.random.default_rng(seed).permutation(count)[: quota % count]] += 1
-    return times
+def taken_before(words: int, quota: int, block: int, seed: int):
+    """A function of places on a line of ``words``: words taken before them, ``quota * block`` in all.
+
+    The line is taken whole as often as that goes; of the rest, a seeded choice
+    of its full blocks is taken once more, and the beginning of one last block.
+    """
+    whole, rest = divmod(quota * block, words) if words else (0, 0)
+    full = words // block
+    order = np.random.default_rng(seed).permutation(full)
+    extra = np.zeros(full + 1, np.int64)
+    extra[order[: rest // block]] = block
+    sums = np.concatenate([[0], np.cumsum(extra)])
+    last = int(order[rest // block]) if rest // block < full else full
+
+    def of(at: np.ndarray) -> np.ndarray:
+        k = at // block
+        inside = np.minimum(at - k * block, extra[np.minimum(k, full)])
+        return whole * at + sums[k] + inside + np.clip(at - last * block, 0, rest % block)
+
+    return of
 
 
 def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
@@ -118,7 +132,7 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     by_shard = {name: sorted((r["shard"], r["words"]) for r in found if r["source"] == name) for name in names}
     sizes = [sum(n for _, n in by_shard[x]) for x in names]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], repeats)
-    room = [[repeats * -(-n // block) for _, n in by_shard[x]] for x in names]
+    room = [[repeats * n // block for _, n in by_shard[x]] for x in names]
     seats = sainte_lague(wanted, round(sum(wanted) / block), [sum(x) for x in room])
     plan = []
     for name, size, target, given, most in zip(names, sizes, wanted, seats, room, strict=True):
@@ -134,17 +148,8 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
         size = table.column("size").to_numpy()
         n, quota = table.column("words")[0].as_py(), table.column("quota")[0].as_py()
         ends = np.cumsum(size)
-        taken = np.zeros(len(size), np.int64)
-        if n:
-            times = chosen(-(-n // block), quota, zlib.crc32(f"{seed}/{key[0]}/{key[1]}".encode()))
-            widths = np.minimum(block, n - block * np.arange(len(times)))
-            before = np.concatenate([[0], np.cumsum(times * widths)])
-
-            def up_to(at):
-                b = np.minimum(at // block, len(times) - 1)
-                return before[b] + times[b] * (at - b * block)
-
-            taken = up_to(ends) - up_to(ends - size)
+        of = taken_before(n, quota, block, zlib.crc32(f"{seed}/{key[0]}/{key[1]}".encode()))
+        taken = of(ends) - of(ends - size)
         return pa.table({**{x: table.column(x) for x in schema.names[:-1]}, "taken": pa.array(taken)}, schema=schema)
 
     # Null-safe on source; the plan is a row per source and shard and joins by shuffle or broadcast as Spark sees fit.

@@ -6,7 +6,7 @@ feasible functions tell which partitions use as few sequences as any packing
 can. Partitions with a gap give up every sequence with room left, certified ones
 only their emptiest, and what was given up is dealt anew over fewer partitions
 and packed again, until the bound over the whole table is met or a round gains
-nothing.
+nothing; so the number of sequences never rises.
 
 Defined results: a null text is empty; a document without tokens still has its
 end id; rows that share a doc_id are packed one by one; an empty table gives no
@@ -18,6 +18,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from struct import pack as packed
 
 import numpy as np
 import pandas as pd
@@ -31,10 +32,11 @@ from .text import batch
 CAPACITY = 4096
 END_ID = 1
 PIECES_PER_PARTITION = 100_000
-_MEMO_WORDS = 400_000
+_MEMO_WORDS = 1_000_000
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PARTS = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
+_MARKS = re.compile(rb"[\xcc\xcd]")
 
 
 class WordIds:
@@ -55,26 +57,30 @@ class WordIds:
     def encode(self, items: list[bytes]) -> None:
         if items:
             found = self.tokenizer.encode_batch_fast([x.decode() for x in items], add_special_tokens=False)
-            self.known.update((x, np.array(y.ids, "<u4").tobytes()) for x, y in zip(items, found, strict=True))
+            self.known.update((x, packed(f"<{len(y.ids)}I", *y.ids)) for x, y in zip(items, found, strict=True))
 
     def learn(self, items: set[bytes]) -> None:
-        split, direct = {}, set()
+        split, ended, direct = {}, [], set()
         for x in items:
-            if x.isascii() and not x.isalpha() and b"'" not in x and b"<|" not in x:
-                split[x] = _PARTS.findall(x.lower())
+            if not x.isascii() or x.isalpha():
+                direct.add(x)
+            elif x[:-1].isalpha() and x[-1:] in b".,":
+                ended.append(x)
+                direct.add(x[:-1])
+            elif b"'" not in x and b"<|" not in x:
+                split[x] = _PARTS.findall(x)
                 direct.update(split[x])
-            elif x.isascii() and b"<|" not in x:
-                split[x] = [x.lower()]
-                direct.add(split[x][0])
             else:
                 direct.add(x)
-        self.encode([x for x in direct if x not in self.known])
         known = self.known
+        self.encode([*direct.difference(known), b".", b","])
+        stops = {x: known[x] for x in (b".", b",")}
+        known.update((x, known[x[:-1]] + stops[x[-1:]]) for x in ended)
         known.update((x, b"".join([known[p] for p in parts])) for x, parts in split.items())
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
-        split = [x.replace(b"\n", b" ").split(b" ") for x in texts]
-        new = set().union(*split) - self.known.keys() if split else set()
+        split = [plain(x).split(b" ") for x in texts]
+        new = set().union(*split).difference(self.known) if split else set()
         if new:
             if len(self.known) + len(new) > _MEMO_WORDS:
                 self.known.clear()
@@ -85,6 +91,17 @@ class WordIds:
             yield b"".join(map(get, x))
 
 
+def plain(text: bytes) -> bytes:
+    """A text with the same ids and fewer distinct words.
+
+    A-Z become small, except in texts with special tokens, which are told by
+    case, or with combining marks, which join capitals differently.
+    """
+    if b"<|" not in text and not _MARKS.search(text):
+        text = text.lower()
+    return text.replace(b"\n", b" ")
+
+
 _encoders: dict[str, WordIds] = {}
 
 
@@ -110,7 +127,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
                 part = rows.slice(lo, 500)
                 keys = part.column("doc_id").to_pylist()
                 out = []
-                for key, ids in zip(keys, ids_of.of([(x or "").encode() for x in part.column("text").to_pylist()]), strict=True):
+                for key, ids in zip(keys, ids_of.of([x or b"" for x in part.column("text").cast(pa.binary()).to_pylist()]), strict=True):
                     ids += end
                     for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                         cut = ids[at : at + 4 * capacity]
@@ -189,11 +206,11 @@ def _pack_partitions(pieces: DataFrame, parts: int, turn: int, capacity: int) ->
         sizes, counts = np.unique(lengths, return_counts=True)
         rows["sequence_id"] = (turn << 52) + (part << 28) + bins
         rows["offset"], rows["room"] = offsets, np.array(room, np.int64)[bins]
-        rows["part"], rows["bins"], rows["least"] = part, len(room), bound(sizes, counts, capacity)
+        rows["turn"], rows["part"], rows["bins"], rows["least"] = turn, part, len(room), bound(sizes, counts, capacity)
         yield rows
 
     dealt = pieces.repartition(parts, F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(turn)))
-    return dealt.mapInPandas(run, f"{schema}, sequence_id bigint, offset bigint, room bigint, part int, bins bigint, least bigint")
+    return dealt.mapInPandas(run, f"{schema}, sequence_id bigint, offset bigint, room bigint, turn int, part int, bins bigint, least bigint")
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECES_PER_PARTITION, rounds: int = 8) -> DataFrame:
@@ -210,11 +227,10 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
     rows = int(sizes["count"].sum())
     packed = materialize(_pack_partitions(pieces, -(-rows // per_partition), 0, capacity))
     used = packed.select("part", "bins").distinct().agg(F.sum("bins")).first()[0]
-    done = []
     for turn in range(1, rounds + 1):
         if used <= least:
             break
-        emptiest = packed.groupBy("part").agg(F.max(F.struct("room", "sequence_id")).alias("e"))
+        emptiest = packed.groupBy("turn", "part").agg(F.max(F.struct("room", "sequence_id")).alias("e"))
         opened = packed.where((F.col("bins") > F.col("least")) & (F.col("room") > 0)).select("sequence_id")
         opened = materialize(opened.union(emptiest.where("e.room > 0").select("e.sequence_id")).distinct())
         given = packed.join(opened, "sequence_id", "left_semi").select(*columns)
@@ -224,12 +240,8 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
         after = again.select("part", "bins").distinct().agg(F.sum("bins")).first()[0] or 0
         if after >= before:
             break
-        done.append(kept)
-        packed, used = again, used - before + after
-    out = packed
-    for x in done:
-        out = out.unionByName(x)
-    return out.select(*columns, "sequence_id", "offset")
+        packed, used = kept.unionByName(again), used - before + after
+    return packed.select(*columns, "sequence_id", "offset")
 
 
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
