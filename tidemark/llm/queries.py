@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chaining, chunking, katz, minhash, mixing, packing, quality, resharding
+from . import chaining, chunking, classifier, katz, minhash, mixing, packing, quality, resharding, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -102,3 +102,17 @@ def op9_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One row per repeated passage, with the document that has it first."""
     return chaining.passages(documents(spark, sf_dir))
+
+
+def labels(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", F.col(name).alias("label"))
+
+
+@query
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.classify(documents(spark, sf_dir), labels(spark, sf_dir, "quality"))
+
+
+@query
+def op7_ordinal_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.grade(documents(spark, sf_dir), labels(spark, sf_dir, "toxic"))

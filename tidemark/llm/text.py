@@ -72,6 +72,31 @@ def stretches(offsets: np.ndarray, limit: int = STRETCH) -> Iterator[tuple[int,
         lo = hi
 
 
+LETTER_RUNS = np.zeros(256, np.uint8)
+LETTER_RUNS[97:123] = LETTER_RUNS[65:91] = LETTER_RUNS[128:] = 1
+#: Small letters and bytes beyond ASCII, capitals, digits, other signs.
+KIND_RUNS = np.full(256, 4, np.uint8)
+KIND_RUNS[_SPACE] = 0
+KIND_RUNS[97:123] = KIND_RUNS[128:] = 1
+KIND_RUNS[65:91] = 2
+KIND_RUNS[48:58] = 3
+
+
+def runs(data: np.ndarray, offsets: np.ndarray, kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, ends, bounds) of the runs of bytes of one kind (not 0), which end with their document."""
+    kind = kinds[data]
+    change = np.ones(len(data) + 1, bool)
+    np.not_equal(kind[1:], kind[:-1], out=change[1:-1])
+    change[offsets] = True
+    edges = np.flatnonzero(change)
+    at = np.flatnonzero(kind[edges[:-1]])
+    return edges[at], edges[at + 1], np.searchsorted(edges[at], offsets)
+
+
+def lowered(data: np.ndarray) -> np.ndarray:
+    return _LOWER[data]
+
+
 def words(data: np.ndarray, offsets: np.ndarray, lower: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(data, starts, ends, bounds): words of document d are bounds[d]:bounds[d+1]."""
     data = data[offsets[0] : offsets[-1]]
