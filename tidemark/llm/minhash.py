@@ -249,3 +249,19 @@ def _tiles(buckets: DataFrame, members: DataFrame, percent: int, size: int, long
 
     pairs = sides.select("x.rep", F.explode(F.transform(F.filter("all", close), lambda y: y["rep"])).alias("other"))
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+
+
+def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs`` that stay, with all their columns: of each group the document with the smallest id.
+
+    Of several rows with that id and one text, one stays.
+    """
+    found = near_duplicates(docs, width, percent)
+    gone = bounded_broadcast(materialize(found.where("not kept").select(F.col("doc_id").alias("__id")).distinct()))
+    left = docs.join(gone, docs["doc_id"] == gone["__id"], "left_anti")
+    repeated = materialize(left.where("doc_id is not null").groupBy(F.col("doc_id").alias("__id")).agg(F.count("*").alias("n")).where("n > 1").select("__id"))
+    if repeated.isEmpty():
+        return left
+    repeated = bounded_broadcast(repeated)
+    once = left.join(repeated, left["doc_id"] == repeated["__id"], "left_semi").dropDuplicates(["doc_id", "text"])
+    return left.join(repeated, left["doc_id"] == repeated["__id"], "left_anti").unionByName(once)

@@ -28,6 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..joins import bounded_broadcast
 from ..session import materialize
 from .line import cells
 from .text import batch, stretches, utf8, words
@@ -156,3 +157,20 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     same = rows["source"].eqNullSafe(quotas["source"]) & (rows["shard"] == quotas["shard"])
     placed = rows.join(quotas, same).select(rows["doc_id"], rows["source"], "stamp", "size", rows["shard"], "words", "quota", "source_size", "target", F.xxhash64("doc_id", F.lit(seed)).alias("mark"))
     return placed.groupBy(F.coalesce(F.col("source"), F.lit("\x00null")).alias("s"), "shard").applyInArrow(run, "doc_id bigint, source string, stamp bigint, size bigint, source_size bigint, target double, taken bigint")
+
+
+def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
+    """The rows of ``docs`` as often as the mix takes them, with all their columns.
+
+    A document taken n times and a part stands n times, and once more with a
+    chance of that part, by a hash of its id and text. Rows are matched by
+    doc_id, source and checksum of the text; equal rows take the least of their counts.
+    """
+    counts = mix(docs, weights, block, repeats, seed)
+    part = F.col("taken") / F.greatest("size", F.lit(1))
+    chance = F.pmod(F.xxhash64("doc_id", "stamp", F.lit(seed + 1)), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    copies = (F.floor(part) + (chance < part - F.floor(part)).cast("int")).cast("int")
+    counts = counts.groupBy(F.col("doc_id").alias("__id"), F.col("stamp").alias("__stamp"), F.col("source").alias("__source")).agg(F.min(copies).alias("__copies")).where("__copies > 0")
+    counts = bounded_broadcast(materialize(counts))
+    same = docs["doc_id"].eqNullSafe(counts["__id"]) & (F.crc32(F.coalesce(docs["text"], F.lit(""))) == counts["__stamp"]) & docs["source"].eqNullSafe(counts["__source"])
+    return docs.join(counts, same).withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__copies")))).select(*[docs[x] for x in docs.columns])
