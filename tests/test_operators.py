@@ -348,7 +348,7 @@ def test_incremental_snapshot_nulls(spark):
     want = {2: "U", 3: "D", 4: "U", 5: "I"}
     assert {r["k"]: r["op"] for r in op.incremental_snapshot(old, new, ["k"]).collect()} == want
     prints = old.select("k", op.row_fingerprint(["a", "b"]).alias("fingerprint"))
-    inc1 = op.incremental_snapshot(prints, new, ["k"])
+    inc1 = op.incremental_snapshot(prints, new, ["k"], fingerprints=True)
     assert {r["k"]: r["op"] for r in inc1.collect()} == want
     assert sorted(map(tuple, op.restore_chain(old, [inc1], ["k"]).collect())) == sorted(map(tuple, new.collect()))
 

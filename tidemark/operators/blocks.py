@@ -59,7 +59,8 @@ def changed_in_windows(
 
 
 def newest_limits(limits: DataFrame) -> DataFrame:
-    return latest_by(limits, ["path"], ["chain_pos"], ["truncation_block_length"])
+    """``(path, truncation_block_length, limit_pos)`` of the newest increment of each path."""
+    return latest_by(limits.withColumn("limit_pos", F.col("chain_pos")), ["path"], ["chain_pos"], ["truncation_block_length", "limit_pos"])
 
 
 def combine_chain(
@@ -72,15 +73,21 @@ def combine_chain(
 ) -> DataFrame:
     """Merge a full backup's blocks (``chain_pos = base_pos``) with its increments.
 
-    The newest version of each ``(path, block_no)`` wins; blocks at or past the
-    newest truncation length of their path are dropped. Only increments are
-    aggregated; blocks of the full that no increment touches pass through.
+    The newest version of each ``(path, block_no)`` wins. Blocks at or past the
+    newest truncation length of their path are dropped if they are older than
+    the increment that states it: what that increment carries itself was written
+    after the file had been that short. Only increments are aggregated; blocks
+    of the full that no increment touches pass through.
     ``fill`` adds ``zero_page`` for the holes below a path's limit.
     """
     key = ["path", "block_no"]
     payload = [c for c in blocks.columns if c not in (*key, "backup_id")]
     lim = newest_limits(limits)
-    in_range = F.col("truncation_block_length").isNull() | (F.col("block_no") < F.col("truncation_block_length"))
+    in_range = (
+        F.col("truncation_block_length").isNull()
+        | (F.col("block_no") < F.col("truncation_block_length"))
+        | (F.col("chain_pos") >= F.col("limit_pos"))
+    )
     live = lookup(blocks, lim, ["path"]).where(in_range).select(*key, *payload)
     increments = live.where(F.col("chain_pos") > base_pos)
     values = [c for c in payload if c != "chain_pos"]
@@ -113,11 +120,13 @@ def summary_gaps(
     """Stretches ``(tli, from_lsn, to_lsn)`` no summary covers.
 
     Without bounds the gaps between the summaries of each timeline; with bounds
-    also what is missing at both ends, for timelines that have summaries. The
+    also what is missing at both ends, for all timelines that have summaries
+    anywhere: one without any inside the bounds lacks all of them. The
     running maximum is taken inside buckets of start positions and carried from
     bucket to bucket by a second, short running maximum.
     """
     rows = summaries.select("tli", "start_lsn", "end_lsn").where(F.col("end_lsn") > F.col("start_lsn"))
+    everywhere = rows.select("tli").distinct()
     if start is not None:
         rows = rows.where(F.col("end_lsn") > start).withColumn("start_lsn", F.greatest("start_lsn", F.lit(start)))
     if end is not None:
@@ -138,6 +147,10 @@ def summary_gaps(
     if end is not None:
         tail = rows.groupBy("tli").agg(F.max("end_lsn").alias("from_lsn")).where(F.col("from_lsn") < end)
         gaps = gaps.unionByName(tail.select("tli", "from_lsn", F.lit(end).cast("bigint").alias("to_lsn")))
+    if start is not None and end is not None and start < end:
+        bare = everywhere.join(rows.select("tli").distinct(), "tli", "left_anti")
+        whole = bare.select("tli", F.lit(start).cast("bigint").alias("from_lsn"), F.lit(end).cast("bigint").alias("to_lsn"))
+        gaps = gaps.unionByName(whole)
     return gaps
 
 

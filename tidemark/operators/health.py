@@ -38,19 +38,22 @@ def health_report(
     segments: DataFrame,
     archive: DataFrame | None = None,
     standby: DataFrame | None = None,
+    unreachable: str | None = None,
 ) -> DataFrame:
     """``(ord, name, ok, detail, all_ok)``.
 
     ``archive`` is the result of the archive-lag query (``reached``), ``standby``
     that of the liveness query (``ok``); without them their probes are skipped.
+    ``unreachable`` is the error a listing of the store ended with, if it did.
     """
     n = F.count(F.lit(1))
+    reached = F.lit(unreachable) if unreachable is not None else F.concat(n.cast("string"), F.lit(" objects listed"))
     backups_and_wal = backups.select(F.lit(1).alias("_b"), F.lit(0).alias("_w")).unionByName(
         segments.select(F.lit(0).alias("_b"), F.lit(1).alias("_w"))
     )
     has_backup, logs = F.coalesce(F.max("_b"), F.lit(0)) == 1, F.coalesce(F.sum("_w"), F.lit(0))
     parts = [
-        _probe(objects, "storage_reachable", n >= 0, F.concat(n.cast("string"), F.lit(" objects listed"))),
+        _probe(objects, "storage_reachable", F.lit(unreachable is None), reached),
         _count_probe(warnings, "info_decodable", "every sidecar decodes", "sidecar(s) failed to decode"),
         _count_probe(orphans(backups), "chain_integrity", "every incremental has its parent", "orphan(s)"),
         _probe(

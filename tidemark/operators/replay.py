@@ -19,14 +19,14 @@ def replay_to_target(
 ) -> DataFrame:
     """Last change per key at or before the target; deletes remove the key.
 
-    ``changes`` has ``op`` (``D`` deletes), ``lsn`` and, as the target needs
+    ``changes`` has ``op`` (``D`` deletes, all else writes, NULL too), ``lsn`` and, as the target needs
     them, ``ts``, ``xid`` or ``restore_point``. The winner per key is chosen by
     a partial aggregation, so a key with very many changes is cut down in every
     task before it is shuffled.
     """
     order = order or ["lsn"]
     seen = changes.where(target_predicate(target, changes)).select(
-        *key, *order, *values, (F.col("op") == "D").alias("_gone")
+        *key, *order, *values, F.coalesce(F.col("op") == "D", F.lit(False)).alias("_gone")
     )
     latest = latest_by(seen, key, order, [*values, "_gone"])
     if base is None:

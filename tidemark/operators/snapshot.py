@@ -17,16 +17,16 @@ def row_fingerprint(columns: list[str]) -> Column:
 
 
 def incremental_snapshot(
-    parent: DataFrame, current: DataFrame, key: list[str], columns: list[str] | None = None
+    parent: DataFrame, current: DataFrame, key: list[str], columns: list[str] | None = None, fingerprints: bool = False
 ) -> DataFrame:
     """Rows inserted (I), updated (U) or deleted (D) since the parent.
 
-    The parent is either the full table or just ``key`` and ``fingerprint``.
-    Deleted rows keep their key and have NULL values. Keys are unique on both
+    The parent is the full table or, with ``fingerprints``, ``key`` and the
+    ``fingerprint`` of the values. Deleted rows keep their key and have NULL values. Keys are unique on both
     sides, so the full outer join cannot be skewed.
     """
     columns = columns or [c for c in current.columns if c not in key]
-    if "fingerprint" in parent.columns and "fingerprint" not in columns:
+    if fingerprints:
         old = parent.select(*key, F.struct("fingerprint").alias("_old"))
         new_value = F.struct(row_fingerprint(columns).alias("fingerprint"))
     else:
@@ -54,6 +54,6 @@ def restore_chain(base: DataFrame, increments: list[DataFrame], key: list[str])
     numbered = [
         inc.select(*key, "op", *values, F.lit(pos).alias("_pos")) for pos, inc in enumerate(increments, start=1)
     ]
-    changes = reduce(DataFrame.unionByName, numbered).withColumn("_gone", F.col("op") == "D")
+    changes = reduce(DataFrame.unionByName, numbered).withColumn("_gone", F.coalesce(F.col("op") == "D", F.lit(False)))
     latest = latest_by(changes, key, ["_pos"], [*values, "_gone"])
     return overlay(base, latest, key, "_gone").select(*base.columns)

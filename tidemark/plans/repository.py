@@ -18,7 +18,7 @@ from ..operators.retention import Policy, kept_fulls, low_water, retention_plan
 from ..operators.verify import mismatches, verify_files, verify_summary
 from ..operators.wal import required_segments
 from ..session import materialize
-from ..sources.metadata import decode_sidecars, manifest_files, manifest_headers, scan_manifests
+from ..sources.metadata import decode_sidecars, manifest_files, manifest_headers, manifest_warnings, scan_manifests
 from ..sources.objects import scan_contents, scan_objects, scan_segments, split_backup_path, stored_digests
 
 
@@ -53,6 +53,7 @@ def open_repository(
     manifests = scan_manifests(scan_contents(spark, root, names=[naming.MANIFEST_NAME], objects=objects))
     documents = materialize(decode_sidecars(scan_contents(spark, root, names=[naming.SIDECAR_NAME], objects=objects)))
     backups, warnings = cat.build_catalog(objects, documents, manifest_headers(manifests))
+    warnings = warnings.unionByName(manifest_warnings(manifests).select(*warnings.columns))
     sidecars = documents.where(F.col("error").isNull()).drop("error")
     return Repository(spark, root, objects, segments, manifests, sidecars, backups, warnings)
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.replicate import run_totals
 from ..operators.resume import pending_files, reusable_objects
@@ -15,13 +16,20 @@ from .snapshots import check_identity
 _PROGRESS = "path STRING, size BIGINT, sha256 STRING, settings STRING, _step INT"
 
 
+def _flat(df: DataFrame, name: str) -> Column:
+    """The column; nested values as JSON that shows their NULLs."""
+    nested = isinstance(df.schema[name].dataType, (T.ArrayType, T.MapType, T.StructType))
+    return F.to_json(F.struct(name), {"ignoreNullFields": "false"}) if nested else F.col(name)
+
+
 def part_prints(df: DataFrame, part: str) -> DataFrame:
     """``(path, size, sha256)`` per part: row count and an order-free print of its rows.
 
     Count, sum and exclusive-or of row hashes are partial aggregates, so a part
     that owns most rows is fingerprinted by all tasks.
     """
-    row = F.xxhash64(*sorted(df.columns))
+    # xxhash64 skips a NULL, so each value is hashed with a flag that tells where one stands.
+    row = F.xxhash64(*[x for c in sorted(df.columns) for x in (F.col(c).isNull(), _flat(df, c))])
     found = df.groupBy(F.col(part).cast("string").alias("path")).agg(
         F.count(F.lit(1)).alias("size"), F.bit_xor(row).alias("_xor"), F.sum(row.cast("decimal(38,0)")).alias("_sum")
     )

@@ -100,8 +100,8 @@ def manifest_headers(manifests: DataFrame) -> DataFrame:
         F.array_min("times").alias("start_time"),
         F.array_max("times").alias("stop_time"),
         first["Timeline"].alias("timeline"),
-        parse_lsn(first["Start-LSN"]).alias("start_lsn"),
-        parse_lsn(first["End-LSN"]).alias("stop_lsn"),
+        parse_lsn(first["Start-LSN"], on_overflow="null").alias("start_lsn"),
+        parse_lsn(first["End-LSN"], on_overflow="null").alias("stop_lsn"),
     )
 
 
@@ -122,11 +122,18 @@ def wal_ranges(manifests: DataFrame) -> DataFrame:
         "backup_id",
         "idx",
         F.col("r.Timeline").alias("timeline"),
-        parse_lsn("r.Start-LSN").alias("start_lsn"),
-        parse_lsn("r.End-LSN").alias("end_lsn"),
+        parse_lsn("r.Start-LSN", on_overflow="null").alias("start_lsn"),
+        parse_lsn("r.End-LSN", on_overflow="null").alias("end_lsn"),
     )
 
 
+def manifest_warnings(manifests: DataFrame) -> DataFrame:
+    """``(backup_id, error)`` for readable manifests whose first log range has no usable position."""
+    first = F.try_element_at("ranges", F.lit(1))
+    bad = [x.isNotNull() & parse_lsn(x, on_overflow="null").isNull() for x in (first["Start-LSN"], first["End-LSN"])]
+    return manifests.where("readable").where(bad[0] | bad[1]).select("backup_id", F.lit("unusable log position in the manifest").alias("error"))
+
+
 # --- sidecars -------------------------------------------------------------
 
 

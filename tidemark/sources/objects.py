@@ -12,6 +12,10 @@ from ..schemas import OBJECTS
 from .codecs import DIGEST_FIELDS, digest_function
 
 
+# Bytes of bodies that one task reads, about.
+TASK_BYTES = 256 << 20
+
+
 def visible_objects(objects: DataFrame, prefix: str = "", temp_marker: str | None = None) -> DataFrame:
     """Listing rules: no in-flight temporary names, no log archive at the root."""
     if temp_marker:
@@ -63,7 +67,10 @@ def _walker(root: str):
                 for entry in entries:
                     path = f"{folder}/{entry.name}" if folder else entry.name
                     try:
-                        if entry.is_dir():
+                        # A link to a directory is no directory of this tree: it may lead back up.
+                        if entry.is_symlink() and entry.is_dir():
+                            continue
+                        if entry.is_dir(follow_symlinks=False):
                             if recursive:
                                 waiting.append(path)
                             else:
@@ -227,7 +234,12 @@ def stored_digests(objects: DataFrame, root: str, codec: str = "codec", location
             cells = [pa.array([row[k] for row in found], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cells], names=schema.names)
 
-    return objects.repartition(_tasks(spark, per_core=4), location).mapInArrow(digest, schema)
+    tasks = _tasks(spark, per_core=4)
+    if "size" in objects.columns:
+        # As many tasks as the bytes ask for, whatever cores are there at the moment.
+        total = objects.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("bigint")).first()[0]
+        tasks = max(tasks, -(-total // TASK_BYTES))
+    return objects.repartition(tasks, location).mapInArrow(digest, schema)
 
 
 def split_backup_path(objects: DataFrame) -> DataFrame:
@@ -257,14 +269,20 @@ def scan_segments(objects: DataFrame, seg_bytes: int = SEGMENT_BYTES) -> DataFra
     )
 
 
-def filter_source_tree(objects: DataFrame) -> DataFrame:
-    """Files of a data directory that a backup copies (depth of at most 12 parts)."""
+def filter_source_tree(objects: DataFrame, max_depth: int | None = None) -> DataFrame:
+    """Files of a data directory that a backup copies; ``max_depth`` bounds the parts of a path.
+
+    Use :func:`split_deep` to see which paths a bound leaves out.
+    """
     path = F.col("path")
-    return objects.where(
-        ~path.startswith("pg_wal")
-        & ~path.isin("postmaster.pid", "postmaster.opts", "pg_internal.init")
-        & (F.size(F.split(path, "/")) <= 12)
-    )
+    kept = objects.where(~path.startswith("pg_wal") & ~path.isin("postmaster.pid", "postmaster.opts", "pg_internal.init"))
+    return kept if max_depth is None else split_deep(kept, max_depth)[0]
+
+
+def split_deep(objects: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """Rows of at most ``max_depth`` path parts, and the deeper ones with an error."""
+    deep = F.size(F.split("path", "/")) > max_depth
+    return objects.where(~deep), objects.where(deep).withColumn("error", F.lit("path too deep"))
 
 
 def split_unsafe(objects: DataFrame) -> tuple[DataFrame, DataFrame]:

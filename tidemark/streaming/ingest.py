@@ -17,13 +17,14 @@ log = logging.getLogger(__name__)
 
 
 def ingest_stream(
-    incoming: DataFrame, archive: str, side_dir: str, low_water_seg: int | None = None
+    incoming: DataFrame, archive: str, side_dir: str, low_water_seg: int | None = None, arrived: str | None = None
 ) -> DataStreamWriter:
     """Writer that adds arriving segments to the archive, each content once.
 
     The archive itself is the state: a micro-batch is compared with the archive
     as it stands and written under its own batch id, so a batch repeated after a
-    failure changes nothing. Conflicts go to ``<side_dir>/conflicts`` and are
+    failure changes nothing. The first content of a name is kept, by the column
+    ``arrived`` and then by hash. Conflicts go to ``<side_dir>/conflicts`` and are
     logged; arrivals below the low-water segment go to ``<side_dir>/late``.
     ``incoming`` is a stream of ``(tli, name, sha256, size, seg_no)``.
     """
@@ -36,7 +37,7 @@ def ingest_stream(
             late = F.coalesce(F.col("seg_no") < low_water_seg, F.lit(False))
             batch.where(late).write.mode("overwrite").parquet(f"{side_dir}/late/batch={batch_id}")
             fresh = batch.where(~late)
-        verdict = archive_ingest(fresh, archive, str(batch_id))
+        verdict = archive_ingest(fresh, archive, str(batch_id), arrived)
         target = f"{side_dir}/conflicts/batch={batch_id}"
         conflicts = verdict.where(F.col("status") == "conflict")
         conflicts.write.mode("overwrite").parquet(target)
@@ -50,10 +51,16 @@ def fan_out_stream(rows: DataFrame, targets: dict[str, str], status_dir: str) ->
     """Write every micro-batch to all targets; a target that fails is dropped from then on.
 
     Each batch owns ``batch=<id>`` on every target, so a repeated batch replaces
-    itself. The status of each write goes to ``<status_dir>``. The stream fails
-    when no target is left.
+    itself. The status of each write goes to ``<status_dir>``, which also tells a
+    restarted stream what was dropped before, so that no target gets a hole.
+    The stream fails when no target is left.
     """
-    alive = dict(targets)
+    try:
+        past = rows.sparkSession.read.schema(REPLICAS).parquet(status_dir).where("status = 'failed'")
+        dropped = {r[0] for r in past.select(past.columns[0]).distinct().collect()}
+    except AnalysisException:
+        dropped = set()
+    alive = {name: path for name, path in targets.items() if name not in dropped}
 
     def write(batch: DataFrame, batch_id: int) -> None:
         results = []

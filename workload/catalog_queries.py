@@ -387,7 +387,7 @@ _GATE = op.Gate(tool_version="1.0", backup_type="full", compression="zstd", syst
 @query(with_views(
     """, j AS (SELECT backup_id, CASE WHEN k % 14 = 0 OR k % 10 = 4 THEN 'corrupt'
                 WHEN TIMESTAMP '2001-08-02 12:00:00' - o_orderdate > INTERVAL 700 DAY THEN 'expired'
-                WHEN k % 8 = 6 OR k % 5 = 0 OR k % 2 <> 0 THEN 'mismatch' END AS r FROM v_repo WHERE k % 2 = 0 AND k % 3 <> 0 AND NOT incremental),
+                WHEN k % 8 = 6 OR k % 5 = 0 OR k % 2 <> 0 THEN 'mismatch' END AS r FROM v_repo WHERE k % 3 <> 0),
        m AS (SELECT max(backup_id) AS newest FROM j WHERE r IS NULL)
        SELECT backup_id, CASE WHEN r IN ('corrupt', 'expired') THEN 'reap' WHEN r IS NULL AND backup_id = newest THEN 'resume' ELSE 'leave' END AS action,
               coalesce(r, CASE WHEN backup_id = newest THEN 'newest' ELSE 'superseded' END) AS reason FROM j, m""", "v_repo"))
@@ -398,8 +398,8 @@ def find_resumable(v: S):
 
 @query(with_views(
     """SELECT backup_id, CASE WHEN k % 8 = 6 THEN '1.1' ELSE '1.0' END AS tool_version,
-              CASE WHEN k % 5 = 0 THEN 'gzip' ELSE 'zstd' END AS compression, '7' AS system_identifier, k AS start_lsn, o_orderdate AS checkpointed_at
-       FROM v_repo WHERE k % 2 = 0 AND k % 14 <> 0 AND k % 10 <> 4""", "v_repo"))
+              CASE WHEN k % 5 = 0 THEN 'gzip' ELSE 'zstd' END AS compression, CAST(7 + k % 2 AS VARCHAR) AS system_identifier, k AS start_lsn, o_orderdate AS checkpointed_at
+       FROM v_repo WHERE k % 14 <> 0 AND k % 10 <> 4""", "v_repo"))
 def scan_checkpoint_documents(v: S):
     c, _, _ = scan_checkpoints(v.run_contents())
     return c.select("backup_id", "tool_version", "compression", F.col("system_identifier").cast("string").alias("system_identifier"), "start_lsn", "checkpointed_at")
@@ -408,14 +408,14 @@ def scan_checkpoint_documents(v: S):
 @query(with_views(
     """SELECT backup_id, 'base/1' AS path, nullif(k % 100, 0) AS repo_size,
               lower(list_reduce([printf('%02X', (k * 3 + i) % 256) for i in range(32)], lambda a, b: a || b)) AS repo_sha256
-       FROM v_repo WHERE k % 2 = 0 AND k % 14 <> 0 AND k % 10 <> 4""", "v_repo"))
+       FROM v_repo WHERE k % 14 <> 0 AND k % 10 <> 4""", "v_repo"))
 def checkpoint_file_rows(v: S):
     return scan_checkpoints(v.run_contents())[1].select("backup_id", "path", "repo_size", "repo_sha256")
 
 
 @query(with_views(
     """SELECT backup_id, CASE WHEN k % 14 = 0 THEN 'invalid JSON' ELSE 'unsupported checkpoint version' END AS error
-       FROM v_repo WHERE k % 2 = 0 AND (k % 14 = 0 OR k % 10 = 4)""", "v_repo"))
+       FROM v_repo WHERE (k % 14 = 0 OR k % 10 = 4)""", "v_repo"))
 def corrupt_checkpoints(v: S):
     return scan_checkpoints(v.run_contents())[2]
 

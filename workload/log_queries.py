@@ -8,17 +8,19 @@ from pyspark.sql import types as T
 from tidemark import functions as fn
 from tidemark import operators as op
 from tidemark.plans import backup_full, backup_incremental, backup_resumable, restore_table, resume_state, verify_snapshots
-from tidemark.session import scratch_path
+from tidemark.session import materialize, scratch_path
 from tidemark.sources import (
     content_digests,
     decode_contents,
     dual_digest,
     explode_blocks,
     filter_source_tree,
+    scan_contents,
     scan_incremental_files,
     scan_objects,
     scan_segments,
     split_unsafe,
+    stored_digests,
 )
 from tidemark.sources.store import SnapshotInfo, archive_ingest, publish_snapshot, read_archive, read_snapshot, write_fan_out
 
@@ -110,9 +112,39 @@ def codec_and_id_text(v: S):
 # --- sources --------------------------------------------------------------
 
 
-@query()
+def _stored_documents(v: S):
+    """Every document written as a file of its own in the shared folder; ``(root, listing)``."""
+    root = scratch_path(v.spark, "tree").removeprefix("file:")
+    rows = v.table("documents").select("text", "source", "doc_id").repartition("doc_id")
+    rows.write.partitionBy("source", "doc_id").text(root)
+    return root, scan_objects(v.spark, root).where(F.col("path").endswith(".txt"))
+
+
+def _file_id():
+    return F.regexp_extract("path", "doc_id=([0-9]+)/", 1).cast("bigint")
+
+
+@query("SELECT 'source=' || source AS folder, doc_id, strlen(text) + 1 AS size FROM documents")
 def listing_of_tables(v: S):
-    return scan_objects(v.spark, v.dir).select("path", "size")
+    """The documents as a tree of files, listed by tasks."""
+    listing = _stored_documents(v)[1]
+    return listing.select(F.substring_index("path", "/", 1).alias("folder"), _file_id().alias("doc_id"), "size")
+
+
+@query("SELECT doc_id, strlen(text) + 1 AS size, sha256(text || chr(10)) AS sha256 FROM documents")
+def stored_bodies(v: S):
+    """The same tree with every body opened and digested."""
+    root, listing = _stored_documents(v)
+    digests = stored_digests(materialize(listing).withColumn("codec", F.lit("none")), root, location="path")
+    return digests.select(_file_id().alias("doc_id"), F.col("plain_size").alias("size"), F.col("plain_sha256").alias("sha256"))
+
+
+@query("SELECT doc_id, text || chr(10) AS content FROM documents")
+def stored_contents(v: S):
+    """The same tree read into rows."""
+    root, listing = _stored_documents(v)
+    bodies = scan_contents(v.spark, root, objects=materialize(listing))
+    return bodies.select(_file_id().alias("doc_id"), F.decode("content", "UTF-8").alias("content"))
 
 
 @query(f"""SELECT 1 AS tli, CASE event_id % 4 WHEN 3 THEN '00000001.history' ELSE {_seg(f'event_id + {BASE_SEG}')} ||
@@ -294,6 +326,21 @@ def missing_segments(v: S):
     return op.missing_segments(op.required_segments(v.backups()), v.segments())
 
 
+_UNREAD = "(start_lsn // 5000000) % 5 = 0"
+
+
+@query(with_views(
+    f"""SELECT backup_id, timeline AS tli, n AS seg_no, {_seg('n')} AS name
+        FROM (SELECT backup_id, timeline, unnest(range(start_lsn // 16777216, (stop_lsn - 1) // 16777216 + 1)) AS n FROM v_backups WHERE NOT {_UNREAD})
+        WHERE n NOT IN (SELECT seg_no FROM v_segments)
+        UNION ALL SELECT backup_id, timeline, NULL, NULL FROM v_backups WHERE {_UNREAD}""", "v_backups", "v_segments"))
+def missing_segments_unreadable(v: S):
+    """Backups whose positions cannot be read lack what nobody can name."""
+    unread = fn.int_div("start_lsn", 5000000) % 5 == 0
+    backups = v.backups().withColumn("stop_lsn", F.when(~unread, F.col("stop_lsn")))
+    return op.missing_segments(op.required_segments(backups), v.segments())
+
+
 @query(with_views(
     f"""SELECT r.backup_id, r.tli, r.name, CASE WHEN d.n = 1 THEN d.size END AS size, CASE WHEN d.n = 1 THEN d.sha256 END AS sha256,
                CASE WHEN d.n IS NULL THEN 'not found' WHEN d.n > 1 THEN 'several copies' END AS error
@@ -336,9 +383,8 @@ def classify_push(v: S):
 
 
 @query(with_views(
-    ", s AS (SELECT DISTINCT tli, name, sha256, size FROM v_segments), names AS (SELECT tli, name FROM s GROUP BY ALL HAVING count(*) = 1),"
-    " a AS (SELECT s.* FROM s JOIN names USING (tli, name)),"
-    " b AS (SELECT tli, name, any_value(sha256) AS sha256, max(size) AS size FROM v_incoming WHERE name NOT IN (SELECT name FROM a) GROUP BY tli, name)"
+    ", a AS (SELECT tli, name, min(sha256) AS sha256, max(size) AS size FROM v_segments GROUP BY tli, name),"
+    " b AS (SELECT tli, name, min(sha256) AS sha256, max(size) AS size FROM v_incoming WHERE name NOT IN (SELECT name FROM a) GROUP BY tli, name)"
     " SELECT tli, name, sha256, size FROM a UNION ALL SELECT tli, name, sha256, size FROM b", "v_segments", "v_incoming"))
 def ingest_twice(v: S):
     """The archive after two batches, the second of them replayed."""
@@ -349,6 +395,23 @@ def ingest_twice(v: S):
     return read_archive(v.spark, root).select("tli", "name", "sha256", "size")
 
 
+@query(with_views("SELECT tli, name, min(sha256) AS sha256, max(size) AS size FROM v_segments GROUP BY tli, name", "v_segments"))
+def ingest_two_pushers(v: S):
+    """Two writers use the same batch id for different segments, and one of them runs again."""
+    root = scratch_path(v.spark, "archive")
+    odd = F.col("seg_no") % 2 == 1
+    for push in (v.segments().where(odd), v.segments().where(~odd), v.segments().where(odd)):
+        archive_ingest(push, root, "0")
+    return read_archive(v.spark, root).select("tli", "name", "sha256", "size")
+
+
+@query(f"""SELECT event_id, 'wal/00000001/' || {_seg(f'event_id + {BASE_SEG}')} || '-' AS prefix,
+                  'wal/00000001/' || {_seg(f'event_id + {BASE_SEG}')} || '-' || sha256(props) AS path FROM events""")
+def segment_keys(v: S):
+    named = v.table("events").select("event_id", F.lit(1).alias("tli"), fn.segment_name(F.lit(1), F.col("event_id") + BASE_SEG).alias("name"), F.upper(F.sha2("props", 256)).alias("sha256"))
+    return named.select("event_id", fn.segment_prefix("tli", "name").alias("prefix"), fn.segment_key("tli", "name", "sha256").alias("path"))
+
+
 # --- blocks ---------------------------------------------------------------
 
 
@@ -370,14 +433,14 @@ def block_range_check(v: S):
 
 @query(with_views(
     """SELECT path, block_no, arg_max(value, chain_pos) AS value, max(chain_pos) AS chain_pos FROM v_blocks LEFT JOIN v_limit USING (path)
-       WHERE truncation_block_length IS NULL OR block_no < truncation_block_length GROUP BY path, block_no""", "v_blocks", "v_limit"))
+       WHERE truncation_block_length IS NULL OR block_no < truncation_block_length OR chain_pos >= 2 GROUP BY path, block_no""", "v_blocks", "v_limit"))
 def combine_chain(v: S):
     return op.combine_chain(v.blocks(), v.limits(), base_pos=1)
 
 
 @query(with_views(
     """, m AS (SELECT path, block_no, arg_max(value, chain_pos) AS value FROM v_blocks LEFT JOIN v_limit USING (path)
-            WHERE truncation_block_length IS NULL OR block_no < truncation_block_length GROUP BY path, block_no)
+            WHERE truncation_block_length IS NULL OR block_no < truncation_block_length OR chain_pos >= 2 GROUP BY path, block_no)
        SELECT path, count(*) AS blocks, count(value) AS written, sum(value::DECIMAL(18,2)) AS total FROM (
          SELECT path, block_no, value FROM m UNION ALL
          SELECT l.path, n.i, NULL FROM v_limit l, (SELECT unnest(range((SELECT max(truncation_block_length) FROM v_limit))) AS i) n
@@ -397,9 +460,11 @@ def summary_gaps(v: S):
 
 
 @query(with_views(
-    """SELECT tli, greatest(coalesce(reach, 120), 120) AS from_lsn, start_lsn AS to_lsn FROM (SELECT tli, start_lsn, max(end_lsn) OVER (PARTITION BY tli ORDER BY start_lsn
-       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_summaries) WHERE start_lsn > greatest(coalesce(reach, 120), 120) AND start_lsn < 2000000
-       UNION ALL SELECT tli, max(end_lsn), 2000000 FROM v_summaries GROUP BY tli""", "v_summaries"))
+    """, s AS (SELECT tli, greatest(start_lsn, 120) AS a, least(end_lsn, 2000000) AS b FROM v_summaries WHERE end_lsn > 120 AND start_lsn < 2000000),
+       g AS (SELECT tli, a, greatest(coalesce(max(b) OVER (PARTITION BY tli ORDER BY a ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 120), 120) AS reach FROM s)
+       SELECT tli, reach AS from_lsn, a AS to_lsn FROM g WHERE a > reach
+       UNION ALL SELECT tli, max(b), 2000000 FROM s GROUP BY tli HAVING max(b) < 2000000
+       UNION ALL SELECT DISTINCT tli, 120, 2000000 FROM v_summaries WHERE tli NOT IN (SELECT tli FROM s)""", "v_summaries"))
 def summary_gaps_bounded(v: S):
     return op.summary_gaps(v.summaries(), 120, 2000000, bucket=1000)
 
@@ -417,12 +482,13 @@ def _fold(expr: str, words: str) -> str:
                FROM words, (SELECT unnest(range(32)) AS j, unnest([{lanes}]::UBIGINT[]) AS seed)),
      mixed AS (SELECT doc_id, block_no, any_value(h) AS h, bit_xor(xor((s * 16777619::UBIGINT) % 4294967296::UBIGINT, s // 131072::UBIGINT)) AS x FROM lanes GROUP BY doc_id, block_no)
      SELECT doc_id, block_no, CAST(('0x' || substr(h, 19, 2) || substr(h, 17, 2))::UBIGINT AS INTEGER) AS stored,
-            CAST(xor(x, block_no::UBIGINT) % 65535 + 1 AS INTEGER) AS computed FROM mixed
+            CAST(xor(x, block_no::UBIGINT) % 65535 + 1 AS INTEGER) AS computed,
+            CASE WHEN substr(h, 17, 4) = '0000' THEN 'skipped' WHEN ('0x' || substr(h, 19, 2) || substr(h, 17, 2))::UBIGINT = xor(x, block_no::UBIGINT) % 65535 + 1 THEN 'ok' ELSE 'failed' END AS status FROM mixed
+     UNION ALL SELECT doc_id, strlen(text) // 1024, NULL, NULL, 'skipped' FROM documents WHERE strlen(text) % 1024 <> 0
 """.replace("{lanes}", ", ".join(str(x) for x in op.blocks.LANES)))
 def page_fingerprints(v: S):
     contents = v.table("documents").select("doc_id", F.encode("text", "UTF-8").alias("content"))
-    pages = explode_blocks(contents, 1024).where(~F.col("partial"))
-    return op.page_check(pages, size=1024).select("doc_id", "block_no", "stored", "computed")
+    return op.page_check(explode_blocks(contents, 1024), size=1024).select("doc_id", "block_no", "stored", "computed", "status")
 
 
 # --- snapshots ------------------------------------------------------------
@@ -443,7 +509,7 @@ def incremental_by_fingerprint(v: S):
     parent = v.table("customer")
     values = [c for c in parent.columns if c != "c_custkey"]
     prints = parent.select("c_custkey", op.row_fingerprint(values).alias("fingerprint"))
-    return op.incremental_snapshot(prints, v.current(), ["c_custkey"])
+    return op.incremental_snapshot(prints, v.current(), ["c_custkey"], fingerprints=True)
 
 
 @query(with_views("SELECT * FROM v_current", "v_current"))
@@ -477,21 +543,22 @@ def verify_published(v: S):
     return rows.groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n")).withColumn("status", verdict)
 
 
-@query("SELECT c_custkey, c_name, copies FROM customer, (SELECT 2 AS copies)")
+@query("SELECT c_custkey, c_name, target, 2 AS copies FROM customer, (VALUES ('a'), ('c')) t(target)")
 def fan_out(v: S):
     root = scratch_path(v.spark, "targets")
     rows = v.table("customer").select("c_custkey", "c_name")
     publish_snapshot(rows, f"{root}/b", SnapshotInfo("x"))  # occupies x on target b
     status = write_fan_out(rows, {t: f"{root}/{t}" for t in ("a", "b", "c")}, "x")
     done = status.where(F.col("status") == "committed").agg(F.count(F.lit(1)).cast("int")).first()[0]
-    return v.spark.read.parquet(f"{root}/c/x/data").withColumn("copies", F.lit(done))
+    copies = [v.spark.read.parquet(f"{root}/{t}/x/data").withColumn("target", F.lit(t)) for t in "ac"]
+    return copies[0].unionByName(copies[1]).withColumn("copies", F.lit(done))
 
 
-@query("SELECT o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderpriority FROM orders")
+@query("SELECT * FROM orders")
 def resumed_snapshot(v: S):
     """A run dies after most steps, one stored step is damaged; the rerun completes it."""
     root, info = scratch_path(v.spark, "snapshots"), SnapshotInfo("20260101T000000F")
-    rows = v.table("orders").drop("o_orderdate").withColumn("part", F.concat(F.lit("p"), F.col("o_custkey") % 40))
+    rows = v.table("orders").withColumn("part", F.concat(F.lit("p"), F.col("o_custkey") % 40))
     backup_resumable(rows.where("part <> 'p7'"), root, info, "part", steps=4)
     crashed = SnapshotInfo("20260102T000000F")
     for piece in ("data", "progress"):

@@ -147,8 +147,9 @@ class S:
 
     def summaries(self) -> DataFrame:
         i = F.col("event_id")
-        return self.table("events").where(i % 50 == 0).select(
-            (i % 3 + 1).alias("tli"), i.alias("start_lsn"), (i + 40 + (i % 7) * 20).alias("end_lsn")
+        start = i * 50 + F.when(i % 11 == 0, 10_000_000).otherwise(0)  # timeline 4 begins late
+        return self.table("events").select(
+            F.when(i % 11 == 0, 4).otherwise(i % 3 + 1).cast("bigint").alias("tli"), start.alias("start_lsn"), (start + 40 + (i % 7) * 20).alias("end_lsn")
         )
 
     # --- a repository made of metadata bodies, three objects per backup ----
@@ -229,7 +230,7 @@ class S:
 
     def run_objects(self) -> DataFrame:
         k, ids = F.col("o_orderkey"), self.repo_ids()
-        copies = ids.where(k % 2 == 0).select(F.concat_ws("/", "backup_id", F.lit("backup_manifest.copy")).alias("path"))
+        copies = ids.select(F.concat_ws("/", "backup_id", F.lit("backup_manifest.copy")).alias("path"))
         done = ids.where(k % 3 == 0).select(F.concat_ws("/", "backup_id", F.lit("backup_manifest")).alias("path"))
         return copies.unionByName(done).withColumn("size", F.lit(1).cast("bigint"))
 
@@ -254,7 +255,7 @@ class S:
             array32,
         )
         text = F.when(k % 14 == 0, F.substring(text, 1, 40)).otherwise(text)
-        rows = self._spread(self.repo_ids()).where(k % 2 == 0).select(
+        rows = self._spread(self.repo_ids()).select(
             F.concat_ws("/", "backup_id", F.lit("backup_manifest.copy")).alias("path"), F.encode(text, "UTF-8").alias("content")
         )
         return materialize(rows)
@@ -359,8 +360,9 @@ SQL: dict[str, str] = {
                CASE WHEN event_id % 1000 = 999 THEN 'rp' || (event_id // 1000) END AS restore_point,
                ts, CASE WHEN event_type = 'error' THEN 'D' ELSE 'U' END AS op, value FROM events""",
     "v_summaries": """
-        SELECT event_id % 3 + 1 AS tli, event_id AS start_lsn, event_id + 40 + (event_id % 7) * 20 AS end_lsn
-        FROM events WHERE event_id % 50 = 0""",
+        SELECT tli, start_lsn, start_lsn + 40 + (event_id % 7) * 20 AS end_lsn
+        FROM (SELECT event_id, CASE WHEN event_id % 11 = 0 THEN 4 ELSE event_id % 3 + 1 END AS tli,
+                     event_id * 50 + CASE WHEN event_id % 11 = 0 THEN 10000000 ELSE 0 END AS start_lsn FROM events)""",
     "v_repo": """
         SELECT o_orderkey AS k, o_custkey, o_orderdate,
                strftime(o_orderdate, '%Y%m%d') || 'T' || lpad(CAST(o_orderkey % 1000000 AS VARCHAR), 6, '0') || 'F' AS parent,
