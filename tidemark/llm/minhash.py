@@ -9,8 +9,9 @@ standard deviations below the threshold are confirmed on full sets.
 Documents with equal sets form one class and take part once, under their
 smallest doc_id. In a bucket of a band the best connected member (the hub) is
 held against the rest, so a large group of copies costs its size and not its
-square. Two rounds of hubs settle most buckets; in what is left, members outside
-a bucket's main component are compared with all others, in tiles of bounded size.
+square. Two rounds of hubs settle most buckets. In what is left, members outside
+a bucket's main component are held against all others in tiles of bounded size,
+first to confirm their likeliest partners, then, if that leaves them outside, all.
 
 Defined results: a document without words has an empty set and no links; fewer
 words than a shingle count as one shingle; rows with a null doc_id cannot be
@@ -36,7 +37,7 @@ from .text import batch, hashes, mix, pair, stretches, utf8, words
 
 BANDS, ROWS, BITS = 48, 5, 4
 HUB_ROUNDS = 2
-TILE = 128
+TILE, PARTNERS = 128, 8
 _SEED = 20240311
 
 
@@ -123,11 +124,10 @@ def _fields(name: str):
     return lambda c: F.col(f"{name}.{c}")
 
 
-def _plausible(x, y, percent: int, size: int, longs: int, bits: int) -> Column:
-    """Set sizes allow the similarity, and so does the corrected estimate plus six deviations.
+def _differ(x, y, longs: int, bits: int) -> Column:
+    """Minima that differ in their low bits; ``x`` and ``y`` give a side's column by name.
 
-    ``x`` and ``y`` give a side's column by name. Minima differ where a lane of
-    the XOR of the packed bits has any bit set.
+    They differ where a lane of the XOR of the packed bits has any bit set.
     """
     lanes = int("".join(["0" * (bits - 1) + "1"] * (64 // bits)), 2)
     differ = F.lit(0)
@@ -136,10 +136,15 @@ def _plausible(x, y, percent: int, size: int, longs: int, bits: int) -> Column:
         for shift in (s for s in (1, 2, 4) if s < bits):
             z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
         differ = differ + F.bit_count(z.bitwiseAND(F.lit(lanes if lanes < 1 << 63 else lanes - (1 << 64))))
+    return differ
+
+
+def _plausible(x, y, percent: int, size: int, longs: int, bits: int) -> Column:
+    """Set sizes allow the similarity, and so does the corrected estimate plus six deviations."""
     chance = 2.0**-bits
     agree = chance + (1 - chance) * percent / 100
     most = size * (1 - agree) + 6 * math.sqrt(size * agree * (1 - agree))
-    return (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent) & (differ <= most)
+    return (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent) & (_differ(x, y, longs, bits) <= most)
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -184,7 +189,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     buckets = buckets.select("key", "rep").join(weights, "rep").withColumn("comp", F.col("rep"))
 
     links = tested = None
-    for turn in range(HUB_ROUNDS + 1):
+    for turn in range(HUB_ROUNDS + 2):
         if turn:
             named = components(links)
             buckets = buckets.drop("comp").join(named, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
@@ -200,7 +205,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
             found = pairs.join(x, "a").join(y, "b").where(_plausible(_fields("of_a"), _fields("of_b"), percent, size, longs, bits)).select("a", "b")
             buckets = facing.drop("hub", "hub_comp")
         else:
-            found = _tiles(buckets, members, percent, size, longs, bits)
+            found = _tiles(buckets, members, percent, size, longs, bits, best=turn == HUB_ROUNDS)
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = materialize(found)
@@ -219,11 +224,13 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _tiles(buckets: DataFrame, members: DataFrame, percent: int, size: int, longs: int, bits: int) -> DataFrame:
+def _tiles(buckets: DataFrame, members: DataFrame, percent: int, size: int, longs: int, bits: int, best: bool) -> DataFrame:
     """Plausible pairs of different components in a bucket, each once, in tiles of about ``TILE`` by ``TILE``.
 
     The members outside a bucket's main component meet all members inside it
-    and one another. A pair is given by the first band that both share.
+    and one another. With ``best`` each of them gives only its likeliest
+    partners, a few inside and a few outside, which connects all but the members
+    without any link; else all its pairs, each by the first band that both share.
     """
     counts = buckets.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mains = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all"))
@@ -244,9 +251,14 @@ def _tiles(buckets: DataFrame, members: DataFrame, percent: int, size: int, long
 
     def close(y):
         placed = F.when(F.col("kind") == 0, ~y["out"]).otherwise(y["out"] & (y["t"] == F.col("j")) & (y["comp"] != F.col("x.comp")) & ((F.col("i") < F.col("j")) | (F.col("x.rep") < y["rep"])))
-        first = F.element_at(F.array_intersect(F.col("x.keys"), y["keys"]), 1) == F.col("key")
+        first = F.lit(True) if best else F.element_at(F.array_intersect(F.col("x.keys"), y["keys"]), 1) == F.col("key")
         return F.when(placed, F.when(_plausible(_fields("x"), lambda c: y[c], percent, size, longs, bits), first).otherwise(False)).otherwise(False)
 
+    if best:
+        likely = F.array_min(F.transform(F.filter("all", close), lambda y: F.struct(_differ(_fields("x"), lambda c: y[c], longs, bits).alias("differ"), y["rep"].alias("other"))))
+        found = sides.select("x.rep", "kind", likely.alias("y")).where("y is not null")
+        found = found.groupBy("rep", "kind", F.pmod(F.xxhash64("y.other"), F.lit(PARTNERS))).agg(F.min("y").alias("y"))
+        return found.select(F.least("rep", "y.other").alias("a"), F.greatest("rep", "y.other").alias("b")).distinct()
     pairs = sides.select("x.rep", F.explode(F.transform(F.filter("all", close), lambda y: y["rep"])).alias("other"))
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
 
