@@ -11,7 +11,7 @@ smallest doc_id. In a bucket of a band the best connected member (the hub) is
 held against the rest, so a large group of copies costs its size and not its
 square. Two rounds of hubs settle most buckets. In what is left, members outside
 a bucket's main component are held against all others in tiles of bounded size,
-first to confirm their likeliest partners, then, if that leaves them outside, all.
+with longer signatures, whose estimate leaves little to confirm.
 
 Defined results: a document without words has an empty set and no links; fewer
 words than a shingle count as one shingle; rows with a null doc_id cannot be
@@ -37,7 +37,7 @@ from .text import batch, hashes, mix, pair, stretches, utf8, words
 
 BANDS, ROWS, BITS = 48, 5, 4
 HUB_ROUNDS = 2
-TILE, PARTNERS = 128, 8
+TILE, LONGER = 128, 2048
 _SEED = 20240311
 
 
@@ -129,22 +129,30 @@ def _differ(x, y, longs: int, bits: int) -> Column:
 
     They differ where a lane of the XOR of the packed bits has any bit set.
     """
-    lanes = int("".join(["0" * (bits - 1) + "1"] * (64 // bits)), 2)
     differ = F.lit(0)
     for i in range(longs):
-        z = x(f"s{i}").bitwiseXOR(y(f"s{i}"))
-        for shift in (s for s in (1, 2, 4) if s < bits):
-            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
-        differ = differ + F.bit_count(z.bitwiseAND(F.lit(lanes if lanes < 1 << 63 else lanes - (1 << 64))))
+        differ = differ + F.bit_count(_differing(x(f"s{i}").bitwiseXOR(y(f"s{i}")), bits))
     return differ
 
 
-def _plausible(x, y, percent: int, size: int, longs: int, bits: int) -> Column:
-    """Set sizes allow the similarity, and so does the corrected estimate plus six deviations."""
+def _differing(z: Column, bits: int) -> Column:
+    """One bit for each lane of ``bits`` bits with any bit set."""
+    lanes = int("".join(["0" * (bits - 1) + "1"] * (64 // bits)), 2)
+    for shift in (s for s in (1, 2, 4) if s < bits):
+        z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
+    return z.bitwiseAND(F.lit(lanes if lanes < 1 << 63 else lanes - (1 << 64)))
+
+
+def _most(percent: int, size: int, bits: int) -> float:
+    """Differing minima of ``size`` that a pair at the threshold stays below by six deviations."""
     chance = 2.0**-bits
     agree = chance + (1 - chance) * percent / 100
-    most = size * (1 - agree) + 6 * math.sqrt(size * agree * (1 - agree))
-    return (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent) & (_differ(x, y, longs, bits) <= most)
+    return size * (1 - agree) + 6 * math.sqrt(size * agree * (1 - agree))
+
+
+def _plausible(x, y, percent: int, size: int, longs: int, bits: int) -> Column:
+    """Set sizes allow the similarity, and so does the corrected estimate plus six deviations."""
+    return (F.least(x("n"), y("n")) * 100 >= F.greatest(x("n"), y("n")) * percent) & (_differ(x, y, longs, bits) <= _most(percent, size, bits))
 
 
 def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -184,12 +192,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     buckets = materialize(keys.join(sizes, "key"))
     # The member that meets the most others is the likeliest original of its group.
     weights = buckets.groupBy("rep").agg(F.sum("size").alias("weight"))
-    members = firsts.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), *names, "keys")
+    members = firsts.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "d1", *names, "keys")
     members = materialize(members.join(weights, "rep"))
     buckets = buckets.select("key", "rep").join(weights, "rep").withColumn("comp", F.col("rep"))
 
     links = tested = None
-    for turn in range(HUB_ROUNDS + 2):
+    for turn in range(HUB_ROUNDS + 1):
         if turn:
             named = components(links)
             buckets = buckets.drop("comp").join(named, F.col("rep") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "rep")).drop("node", "component")
@@ -205,7 +213,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
             found = pairs.join(x, "a").join(y, "b").where(_plausible(_fields("of_a"), _fields("of_b"), percent, size, longs, bits)).select("a", "b")
             buckets = facing.drop("hub", "hub_comp")
         else:
-            found = _tiles(buckets, members, percent, size, longs, bits, best=turn == HUB_ROUNDS)
+            found = _tiles(buckets, members, longer_signatures(buckets, members, docs, width, bits), percent, size, longs, bits)
         if tested is not None:
             found = found.join(tested, ["a", "b"], "left_anti")
         found = materialize(found)
@@ -224,13 +232,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def _tiles(buckets: DataFrame, members: DataFrame, percent: int, size: int, longs: int, bits: int, best: bool) -> DataFrame:
+def longer_signatures(buckets: DataFrame, members: DataFrame, docs: DataFrame, width: int, bits: int) -> DataFrame:
+    """(rep, longer): ``LONGER`` minima for the few members of unsettled buckets, which tell close calls apart."""
+    wanted = members.join(buckets.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "d1")
+    texts = docs.join(bounded_broadcast(materialize(wanted.select("doc_id").distinct())), "doc_id", "left_semi")
+    longs = LONGER * bits // 64
+    signed = signatures(texts, width, LONGER // 8, 8, bits).select("doc_id", "d1", F.array(*[f"s{i}" for i in range(longs)]).alias("longer"))
+    return materialize(signed.join(wanted, ["doc_id", "d1"]).select(F.col("doc_id").alias("rep"), "longer").dropDuplicates(["rep"]))
+
+
+def _tiles(buckets: DataFrame, members: DataFrame, longer: DataFrame, percent: int, size: int, longs: int, bits: int) -> DataFrame:
     """Plausible pairs of different components in a bucket, each once, in tiles of about ``TILE`` by ``TILE``.
 
     The members outside a bucket's main component meet all members inside it
-    and one another. With ``best`` each of them gives only its likeliest
-    partners, a few inside and a few outside, which connects all but the members
-    without any link; else all its pairs, each by the first band that both share.
+    and one another. A pair is given by the first band that both share, if the
+    longer signatures find it plausible too.
     """
     counts = buckets.groupBy("key", "comp").agg(F.count("*").alias("n"))
     mains = counts.groupBy("key").agg(F.max_by("comp", F.struct("n", "comp")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("all"))
@@ -244,21 +260,22 @@ def _tiles(buckets: DataFrame, members: DataFrame, percent: int, size: int, long
         F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda o: step(1, F.least(o, F.col("t")), F.greatest(o, F.col("t")))),
     )
     spread = placed.withColumn("tile", F.explode(F.when(F.col("out"), outside).otherwise(inside)))
-    of_rep = members.select("rep", "n", *[f"s{i}" for i in range(longs)], "keys")
+    of_rep = members.select("rep", "n", *[f"s{i}" for i in range(longs)], "keys").join(longer, "rep")
     spread = spread.join(of_rep, "rep").select("key", "tile.*", F.struct("rep", "comp", "out", "t", *of_rep.columns[1:]).alias("e"))
     met = spread.groupBy("key", "kind", "i", "j").agg(F.collect_list("e").alias("all"))
     sides = met.select("key", "kind", "j", "i", F.explode("all").alias("x"), "all").where("x.out and x.t = i")
 
     def close(y):
         placed = F.when(F.col("kind") == 0, ~y["out"]).otherwise(y["out"] & (y["t"] == F.col("j")) & (y["comp"] != F.col("x.comp")) & ((F.col("i") < F.col("j")) | (F.col("x.rep") < y["rep"])))
-        first = F.lit(True) if best else F.element_at(F.array_intersect(F.col("x.keys"), y["keys"]), 1) == F.col("key")
-        return F.when(placed, F.when(_plausible(_fields("x"), lambda c: y[c], percent, size, longs, bits), first).otherwise(False)).otherwise(False)
-
-    if best:
-        likely = F.array_min(F.transform(F.filter("all", close), lambda y: F.struct(_differ(_fields("x"), lambda c: y[c], longs, bits).alias("differ"), y["rep"].alias("other"))))
-        found = sides.select("x.rep", "kind", likely.alias("y")).where("y is not null")
-        found = found.groupBy("rep", "kind", F.pmod(F.xxhash64("y.other"), F.lit(PARTNERS))).agg(F.min("y").alias("y"))
-        return found.select(F.least("rep", "y.other").alias("a"), F.greatest("rep", "y.other").alias("b")).distinct()
+        first = F.element_at(F.array_intersect(F.col("x.keys"), y["keys"]), 1) == F.col("key")
+        each = F.zip_with(F.col("x.longer"), y["longer"], lambda a, b: F.bit_count(_differing(a.bitwiseXOR(b), bits)))
+        near = F.aggregate(each, F.lit(0), lambda a, b: a + b) <= _most(percent, LONGER, bits)
+        plausible = _plausible(_fields("x"), lambda c: y[c], percent, size, longs, bits)
+        out = F.lit(True)
+        for condition in (near, first, plausible, placed):  # the cheapest is asked first
+            out = F.when(condition, out).otherwise(F.lit(False))
+        return out
+
     pairs = sides.select("x.rep", F.explode(F.transform(F.filter("all", close), lambda y: y["rep"])).alias("other"))
     return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
 
