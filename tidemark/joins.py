@@ -37,11 +37,12 @@ def bounded_broadcast(df: DataFrame, max_bytes: int = BROADCAST_BYTES) -> DataFr
 def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left") -> DataFrame:
     """Join with a derived table that has one row per key.
 
-    A small table is broadcast. A large one is written out first: AQE splits the
-    hot partitions of ``left`` only if both inputs of the join are plain
-    shuffles, which an aggregate directly below the join is not.
+    A table that measures small is broadcast. A large one is written out first:
+    AQE splits the hot partitions of ``left`` only if both inputs of the join
+    are plain shuffles, which an aggregate directly below the join is not.
     """
-    return left.join(bounded_broadcast(materialize(right)), on, how)
+    side = bounded_broadcast(right)
+    return left.join(materialize(right) if side is right else side, on, how)
 
 
 def fixed_width(df: DataFrame, columns: list[str]) -> bool:
