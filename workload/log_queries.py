@@ -603,19 +603,28 @@ def replay_time(v: S):
     return _replay(v, time="2024-01-15 00:00:00")
 
 
-@query(_replay_sql("lsn <= (SELECT max(lsn) FROM v_changes WHERE xid = 100)"))
+# Targets lie three quarters into the log, at any size of it.
+_LATE = "(SELECT max(lsn) * 3 // 4 FROM v_changes)"
+_POINT = "'rp' || (((SELECT max(lsn) + 1 FROM v_changes) // 1000 - 1) * 3 // 4)"
+
+
+def _last(v: S) -> int:
+    return v.changes().agg(F.max("lsn")).first()[0]
+
+
+@query(_replay_sql(f"lsn <= (SELECT max(lsn) FROM v_changes WHERE xid = {_LATE} // 7)"))
 def replay_xid(v: S):
-    return _replay(v, xid=100)
+    return _replay(v, xid=_last(v) * 3 // 4 // 7)
 
 
-@query(_replay_sql("lsn <= 800"))
+@query(_replay_sql(f"lsn <= {_LATE}"))
 def replay_lsn(v: S):
-    return _replay(v, lsn=800)
+    return _replay(v, lsn=_last(v) * 3 // 4)
 
 
-@query(_replay_sql("lsn <= (SELECT max(lsn) FROM v_changes WHERE restore_point = 'rp0')"))
+@query(_replay_sql(f"lsn <= (SELECT max(lsn) FROM v_changes WHERE restore_point = {_POINT})"))
 def replay_name(v: S):
-    return _replay(v, name="rp0")
+    return _replay(v, name=f"rp{((_last(v) + 1) // 1000 - 1) * 3 // 4}")
 
 
 @query(_replay_sql("true"))
