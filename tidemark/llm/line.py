@@ -1,25 +1,15 @@
-"""Running sums over a whole table without one task per group.
+"""Cells: hash ranges of rows that keep every group of a window bounded.
 
-Rows are hashed into cells; the totals of cells, one row each, give the start of
-a cell on the line of its group, and a window inside the cell does the rest.
+Running sums over a whole table work without one task per group: rows are hashed
+into cells; the totals of cells, one row each, give the start of a cell on the
+line of its group, and a window inside the cell does the rest.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
-from pyspark.sql import functions as F
-
 ROWS_PER_CELL = 100_000
 
 
 def cells(rows: int, per_cell: int = ROWS_PER_CELL) -> int:
     """Cells for a table of ``rows``: one cell holds about ``per_cell`` rows at any size."""
     return max(1, -(-rows // per_cell))
-
-
-def ranked(df: DataFrame, group: list[str], order: list[Column], sums: dict[str, str]) -> DataFrame:
-    """Adds, per group (which includes the cell), ``sums[new]``'s total over the rows before."""
-    before = Window.partitionBy(*group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    for new, what in sums.items():
-        df = df.withColumn(new, F.coalesce(F.sum(what).over(before), F.lit(0)).cast("bigint"))
-    return df
