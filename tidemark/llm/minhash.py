@@ -101,9 +101,8 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int) ->
 
     def run(batches):
         flips, factors = _permutations(bands * rows)
-        for table in batches:
-            if not table.num_rows:
-                continue
+        step = max(32, 200_000 // (bands * rows))
+        for table in (x.slice(lo, step) for x in batches for lo in range(0, x.num_rows, step)):
             least = np.empty((table.num_rows, bands * rows), np.uint32)
             counts, digests = np.zeros(table.num_rows, np.int64), np.zeros((2, table.num_rows), np.uint64)
             for i, elements in enumerate(shingle_sets(table.column("text"), width)):
