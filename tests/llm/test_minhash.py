@@ -66,6 +66,18 @@ def test_versions_of_one_id_are_one_document(documents):
     assert got == {(1, 1, True), (2, 1, False), (3, 1, False), (4, 4, True)}
 
 
+def test_each_version_keeps_its_own_longer_signature(documents):
+    rng = random.Random(9)
+    bases = [[f"{x}{i}" for i in range(100)] for x in "ab"]
+    rows = [(1, " ".join(bases[0])), (1, " ".join(bases[1])), (2, edited(rng, bases[0], 0.01)), (3, edited(rng, bases[1], 0.01))]
+    docs, longs = documents(rows).select("doc_id", "text").cache(), minhash.BANDS * minhash.ROWS * minhash.BITS // 64
+    signed = minhash.signatures(docs, 2, minhash.BANDS, minhash.ROWS, minhash.BITS).withColumnsRenamed({"doc_id": "rep", "n_shingles": "n"}).cache()
+    buckets = signed.selectExpr("explode(keys) AS key", "rep", "rep AS comp")
+    longer = minhash.longer_signatures(buckets, signed, docs, 2, minhash.BITS)
+    found = minhash._tiles(buckets, signed, longer, 80, minhash.BANDS * minhash.ROWS, longs, minhash.BITS)
+    assert set(map(tuple, found.collect())) == {(1, 2), (1, 3)}
+
+
 def test_empty_table(documents):
     assert minhash.near_duplicates(documents([])).count() == 0
 

@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
     buckets = materialize(keys.join(sizes, "key"))
     # The member that meets the most others is the likeliest original of its group.
     weights = buckets.groupBy("rep").agg(F.sum("size").alias("weight"))
-    members = firsts.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "d1", *names, "keys")
+    members = firsts.select(F.col("doc_id").alias("rep"), F.col("n_shingles").alias("n"), "d1", "d2", *names, "keys")
     members = materialize(members.join(weights, "rep"))
     buckets = buckets.select("key", "rep").join(weights, "rep").withColumn("comp", F.col("rep"))
 
@@ -232,12 +232,12 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
 
 
 def longer_signatures(buckets: DataFrame, members: DataFrame, docs: DataFrame, width: int, bits: int) -> DataFrame:
-    """(rep, longer): ``LONGER`` minima for the few members of unsettled buckets, which tell close calls apart."""
-    wanted = members.join(buckets.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "d1")
+    """(rep, d1, d2, longer): ``LONGER`` minima for each version of the few members of unsettled buckets, which tell close calls apart."""
+    wanted = members.join(buckets.select("rep").distinct(), "rep", "left_semi").select(F.col("rep").alias("doc_id"), "d1", "d2")
     texts = docs.join(bounded_broadcast(materialize(wanted.select("doc_id").distinct())), "doc_id", "left_semi")
     longs = LONGER * bits // 64
-    signed = signatures(texts, width, LONGER // 8, 8, bits).select("doc_id", "d1", F.array(*[f"s{i}" for i in range(longs)]).alias("longer"))
-    return materialize(signed.join(wanted, ["doc_id", "d1"]).select(F.col("doc_id").alias("rep"), "longer").dropDuplicates(["rep"]))
+    signed = signatures(texts, width, LONGER // 8, 8, bits).select("doc_id", "d1", "d2", F.array(*[f"s{i}" for i in range(longs)]).alias("longer"))
+    return materialize(signed.join(wanted, ["doc_id", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "d1", "d2", "longer").dropDuplicates(["rep", "d1", "d2"]))
 
 
 def _tiles(buckets: DataFrame, members: DataFrame, longer: DataFrame, percent: int, size: int, longs: int, bits: int) -> DataFrame:
@@ -259,7 +259,7 @@ def _tiles(buckets: DataFrame, members: DataFrame, longer: DataFrame, percent: i
         F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda o: step(1, F.least(o, F.col("t")), F.greatest(o, F.col("t")))),
     )
     spread = placed.withColumn("tile", F.explode(F.when(F.col("out"), outside).otherwise(inside)))
-    of_rep = members.select("rep", "n", *[f"s{i}" for i in range(longs)], "keys").join(longer, "rep")
+    of_rep = members.select("rep", "d1", "d2", "n", *[f"s{i}" for i in range(longs)], "keys").join(longer, ["rep", "d1", "d2"]).drop("d1", "d2")
     spread = spread.join(of_rep, "rep").select("key", "tile.*", F.struct("rep", "comp", "out", "t", *of_rep.columns[1:]).alias("e"))
     met = spread.groupBy("key", "kind", "i", "j").agg(F.collect_list("e").alias("all"))
     sides = met.select("key", "kind", "j", "i", F.explode("all").alias("x"), "all").where("x.out and x.t = i")
