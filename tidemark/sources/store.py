@@ -1,4 +1,4 @@
-"""Writing: snapshots with the manifest last, fan-out, and archive ingest.
+"""Writing: snapshots with the manifest last, and fan-out; ``archive.py`` has the log archive.
 
 Layout of a snapshot directory: ``<dir>/<id>/data`` (parquet) and, written only
 after the data is complete, ``<dir>/<id>/manifest`` (parquet).
@@ -6,7 +6,6 @@ after the data is complete, ``<dir>/<id>/manifest`` (parquet).
 
 from __future__ import annotations
 
-import hashlib
 import re
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -15,10 +14,8 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..joins import bounded_broadcast
-from ..operators.wal import classify_push
 from ..schemas import REPLICAS
-from ..session import materialize
+from .archive import archive_ingest, read_archive, vacuum_archive  # noqa: F401
 
 # Directory level of snapshots that were written step by step.
 STEP = "_step"
@@ -141,62 +138,3 @@ def write_fan_out(df: DataFrame, targets: dict[str, str], backup_id: str, data_o
         with ThreadPoolExecutor(max_workers=len(waiting)) as pool:
             results += [row for _, row in pool.map(lambda name: write(name, spark.read.parquet(copy)), waiting)]
     return spark.createDataFrame(results, REPLICAS)
-
-
-# --- log archive ----------------------------------------------------------
-
-
-def read_archive(spark: SparkSession, archive: str, except_batch: str | None = None) -> DataFrame:
-    """Segments ingested so far, optionally without one batch."""
-    try:
-        rows = spark.read.parquet(f"{archive.rstrip('/')}/")
-    except AnalysisException as exc:
-        if exc.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
-            return spark.createDataFrame([], "name STRING, sha256 STRING, size BIGINT, batch STRING, tli BIGINT")
-        raise
-    rows = rows.withColumn("batch", F.col("batch").cast("string")).withColumn("tli", F.col("tli").cast("bigint"))
-    return rows if except_batch is None else rows.where(F.col("batch") != except_batch)
-
-
-def archive_ingest(incoming: DataFrame, archive: str, batch: str, arrived: str | None = None) -> DataFrame:
-    """Add the new segments of one batch; returns the classified batch.
-
-    Each batch owns the directory ``batch=<id>.<print>``, where the print is that
-    of its segments: a batch replayed replaces itself, and another one pushed
-    under the same id, by whomever, stands beside it. Of several contents of a
-    name that is not stored yet, the one that came first is stored, by the
-    column ``arrived`` if there is one and then by hash; the others are
-    conflicts, which are returned and never written. So the archive holds the
-    first content of a name wherever the input is cut into batches.
-    """
-    spark = incoming.sparkSession
-    moment = F.min(arrived) if arrived else F.lit(0)
-    # Repeats collapse first; everything below reads this reduced batch.
-    pushed = materialize(
-        incoming.groupBy("tli", "name", "sha256").agg(
-            F.count(F.lit(1)).alias("copies"), F.max("size").alias("size"), moment.alias("_arrived")
-        )
-    )
-    row = F.xxhash64("tli", "name", "sha256", "size")
-    mark = pushed.agg(F.count(F.lit(1)), F.bit_xor(row), F.sum(row.cast("decimal(38,0)"))).first()
-    batch = f"{batch}.{hashlib.sha256(repr(tuple(mark)).encode()).hexdigest()[:16]}"
-    known = read_archive(spark, archive, except_batch=batch)
-    # Names arrive nearly in order: bounds on the name let the scan skip old row groups,
-    # and only rows of arriving names are left to be shuffled.
-    low, high = pushed.agg(F.min("name"), F.max("name")).first()
-    names = bounded_broadcast(pushed.select("tli", "name").distinct())
-    known = known.where(F.col("name").between(low, high)).join(names, ["tli", "name"], "left_semi")
-    known = materialize(known.select("tli", "name", "sha256"))
-    first = pushed.groupBy("tli", "name").agg(F.min_by("sha256", F.struct("_arrived", "sha256")).alias("_first"))
-    first = first.join(known.select("tli", "name").distinct(), ["tli", "name"], "left_anti")
-    verdict = classify_push(pushed, known).join(first, ["tli", "name"], "left")
-    verdict = materialize(verdict.withColumn("status", F.when(F.col("sha256") == F.col("_first"), "new").otherwise(F.col("status"))).drop("_first"))
-    fresh = verdict.where(F.col("status") == "new").join(pushed.drop("copies", "_arrived"), ["tli", "name", "sha256"])
-    (
-        fresh.select("name", "sha256", "size", "tli")
-        .sortWithinPartitions("tli", "name")
-        .write.mode("overwrite")
-        .partitionBy("tli")
-        .parquet(f"{archive.rstrip('/')}/batch={batch}")
-    )
-    return verdict

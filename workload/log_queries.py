@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -405,6 +407,40 @@ def ingest_two_pushers(v: S):
     return read_archive(v.spark, root).select("tli", "name", "sha256", "size")
 
 
+@query(
+    f"""SELECT name, CAST(1 AS BIGINT) AS contents, true AS known, CAST(1 AS BIGINT) AS new,
+               CAST(sum(CASE WHEN event_id % 3 = 1 THEN 1 ELSE 0 END) AS BIGINT) AS duplicate,
+               CAST(sum(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END) AS BIGINT) AS conflict
+        FROM (SELECT event_id, {_seg(f'event_id + {BASE_SEG}')} AS name FROM events) GROUP BY name""")
+def ingest_at_once(v: S):
+    """Two writers push all segments at the same moment: a third with other contents, a third with the same, a third from one only."""
+    root, i = scratch_path(v.spark, "archive"), F.col("event_id")
+    events = v.table("events").select(i, F.lit(1).cast("bigint").alias("tli"), fn.segment_name(F.lit(1), i + BASE_SEG).alias("name"), F.lit(1).cast("bigint").alias("size"), "props")
+    left = events.select("tli", "name", "size", F.sha2("props", 256).alias("sha256"))
+    right = events.where(i % 3 != 2).select("tli", "name", "size", F.sha2(F.when(i % 3 == 0, F.concat("props", F.lit("x"))).otherwise(F.col("props")), 256).alias("sha256"))
+    with ThreadPoolExecutor(2) as pool:
+        told = list(pool.map(lambda push: archive_ingest(push[1], root, push[0]), [("left", left), ("right", right)]))
+    status = told[0].unionByName(told[1]).groupBy("name").agg(*[F.count_if(F.col("status") == s).alias(s) for s in ("new", "duplicate", "conflict")])
+    pushed = left.unionByName(right).select("name", "sha256").distinct()
+    stored = read_archive(v.spark, root).join(pushed.withColumn("_known", F.lit(True)), ["name", "sha256"], "left")
+    stored = stored.groupBy("name").agg(F.count(F.lit(1)).alias("contents"), F.min(F.coalesce("_known", F.lit(False))).alias("known"))
+    return stored.join(status, "name").select("name", "contents", "known", "new", "duplicate", "conflict")
+
+
+@query(with_views(
+    f"""SELECT tli, name, min(sha256) AS sha256, max(size) AS size FROM v_segments
+        WHERE name BETWEEN {_seg(f'(SELECT max(event_id) // 4 FROM events) + {BASE_SEG}')} AND {_seg(f'(SELECT max(event_id) // 2 FROM events) + {BASE_SEG}')}
+        GROUP BY tli, name""", "v_segments"))
+def archive_of_compacted_ranges(v: S):
+    """Seven pushes into the same ranges, which are compacted on the way; then a stretch of names is read."""
+    root, segments = scratch_path(v.spark, "archive"), materialize(v.segments())
+    for push in range(7):
+        archive_ingest(segments.where(F.col("seg_no") % 7 == push), root, str(push), compact_after=3)
+    top = v.table("events").agg(F.max("event_id")).first()[0]
+    names = v.spark.range(1).select(*[fn.segment_name(F.lit(1), F.lit(top // part + BASE_SEG)) for part in (4, 2)]).first()
+    return read_archive(v.spark, root, names=tuple(names)).select("tli", "name", "sha256", "size")
+
+
 @query(f"""SELECT event_id, 'wal/00000001/' || {_seg(f'event_id + {BASE_SEG}')} || '-' AS prefix,
                   'wal/00000001/' || {_seg(f'event_id + {BASE_SEG}')} || '-' || sha256(props) AS path FROM events""")
 def segment_keys(v: S):

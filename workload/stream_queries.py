@@ -19,13 +19,13 @@ def _stream(v: S, table: str = "events", schema: str = _EVENTS):
     return v.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(v.dir)
 
 
-def _drain(writer, v: S) -> None:
+def _drain(writer, v: S, progress: str | None = None) -> None:
     """Run until the input is used up. State is split by the cores at hand, not by the batch default."""
     conf, key = v.spark.conf, "spark.sql.shuffle.partitions"
     before = conf.get(key)
     conf.set(key, str(min(int(before), v.spark.sparkContext.defaultParallelism)))
     try:
-        job = writer.option("checkpointLocation", scratch_path(v.spark, "stream")).trigger(availableNow=True).start()
+        job = writer.option("checkpointLocation", progress or scratch_path(v.spark, "stream")).trigger(availableNow=True).start()
         job.awaitTermination()
     finally:
         conf.set(key, before)
@@ -38,28 +38,28 @@ def _to_table(stream, v: S):
 
 
 def _in_turns(v: S, turns: int):
-    """The events as a stream of ``turns`` micro-batches, one file each, oldest first."""
-    path, k = scratch_path(v.spark, "arriving"), F.col("event_id")
+    """Yields ``turns`` times a stream over the events that arrived so far, oldest first, and the folder of its progress."""
+    path, progress, k = scratch_path(v.spark, "arriving"), scratch_path(v.spark, "stream"), F.col("event_id")
     top = v.table("events").agg(F.max(k) + 1).scalar()
     for turn in range(turns):
         part = v.table("events").where(k * turns >= top * turn).where(k * turns < top * (turn + 1))
-        part.coalesce(1).write.mode("append").parquet(path)
-    return v.spark.readStream.schema(_EVENTS).option("maxFilesPerTrigger", 1).parquet(path)
+        part.write.mode("append").parquet(path)
+        yield v.spark.readStream.schema(_EVENTS).parquet(path), progress
 
 
 @query(with_views(
     "SELECT tli, name, arg_min(sha256, {'ts': ts, 'sha256': sha256}) AS sha256, max(size) AS size FROM v_incoming GROUP BY tli, name", "v_incoming"))
 def stream_ingest(v: S):
     """Four micro-batches; the first content of a name stays, however the input is cut."""
-    i = F.col("event_id")
+    i, root = F.col("event_id"), scratch_path(v.spark, "archive")
     shift = F.when(i % 31 == 0, 1000000).otherwise(0)
     body = F.when(i % 29 == 0, F.concat("props", F.lit("x"))).otherwise(F.col("props"))
-    incoming = _in_turns(v, 4).select(
-        "ts", F.lit(1).cast("bigint").alias("tli"), fn.segment_name(F.lit(1), i + BASE_SEG + shift).alias("name"),
-        F.sha2(body, 256).alias("sha256"), (i % 1000 + 1).alias("size"), (i + BASE_SEG + shift).alias("seg_no"),
-    )
-    root = scratch_path(v.spark, "archive")
-    _drain(ingest_stream(incoming, f"{root}/segments", f"{root}/side", arrived="ts"), v)
+    for events, progress in _in_turns(v, 4):
+        incoming = events.select(
+            "ts", F.lit(1).cast("bigint").alias("tli"), fn.segment_name(F.lit(1), i + BASE_SEG + shift).alias("name"),
+            F.sha2(body, 256).alias("sha256"), (i % 1000 + 1).alias("size"), (i + BASE_SEG + shift).alias("seg_no"),
+        )
+        _drain(ingest_stream(incoming, f"{root}/segments", f"{root}/side", arrived="ts"), v, progress)
     return read_archive(v.spark, f"{root}/segments").select("tli", "name", "sha256", "size")
 
 
