@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -45,6 +47,11 @@ def lookup(left: DataFrame, right: DataFrame, on: list[str], how: str = "left")
     return left.join(materialize(right) if side is right else side, on, how)
 
 
+def null_safe(left: DataFrame, right: DataFrame, on: dict[str, str]) -> Column:
+    """Condition of an equi join in which NULL equals NULL; ``on`` maps columns of ``left`` to those of ``right``."""
+    return reduce(lambda a, b: a & b, [left[x].eqNullSafe(right[y]) for x, y in on.items()])
+
+
 def fixed_width(df: DataFrame, columns: list[str]) -> bool:
     return all(isinstance(df.schema[c].dataType, _FIXED_WIDTH) for c in columns)
 
@@ -72,7 +79,7 @@ def overlay(base: DataFrame, latest: DataFrame, keys: list[str], deleted: str) -
     ``latest`` is read three times and therefore materialized once.
     """
     latest = materialize(latest)
-    changed_keys = bounded_broadcast(latest.select(*keys))
-    kept = base.join(changed_keys, keys, "left_anti")
+    changed_keys = bounded_broadcast(latest.select(*[F.col(c).alias(f"_changed_{c}") for c in keys]))
+    kept = base.join(changed_keys, null_safe(base, changed_keys, {c: f"_changed_{c}" for c in keys}), "left_anti")
     written = latest.where(~F.col(deleted)).select(*base.columns)
     return kept.unionByName(written)

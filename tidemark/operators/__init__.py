@@ -20,6 +20,7 @@ from .catalog import (
 )
 from .chains import orphans, resolve_chains
 from .health import health_report
+from .prints import changes_by_prints
 from .prune import prune_objects, prune_segments, prune_summary
 from .replay import replay_to_target
 from .replicate import replica_status, run_totals

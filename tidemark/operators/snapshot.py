@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..joins import latest_by, overlay
+from ..joins import latest_by, null_safe, overlay
 
 
 def row_fingerprint(columns: list[str]) -> Column:
@@ -23,14 +23,16 @@ def incremental_snapshot(
 
     The parent is the full table or, with ``fingerprints``, ``key`` and the
     ``fingerprint`` of the values. Deleted rows keep their key and have NULL values. Keys are unique on both
-    sides, so the full outer join cannot be skewed.
+    sides, so the full outer join cannot be skewed; a NULL in a key is a value like others.
+    Whole rows of both sides are joined; ``changes_by_prints`` moves only prints and changed rows.
     """
     columns = columns or [c for c in current.columns if c not in key]
+    held = [F.col(c).alias(f"_old_{c}") for c in key]
     if fingerprints:
-        old = parent.select(*key, F.struct("fingerprint").alias("_old"))
+        old = parent.select(*held, F.struct("fingerprint").alias("_old"))
         new_value = F.struct(row_fingerprint(columns).alias("fingerprint"))
     else:
-        old = parent.select(*key, F.struct(*columns).alias("_old"))
+        old = parent.select(*held, F.struct(*columns).alias("_old"))
         new_value = F.struct(*columns)
     new = current.select(*key, F.struct(*columns).alias("_row"), new_value.alias("_new"))
     op = (
@@ -38,9 +40,10 @@ def incremental_snapshot(
         .when(F.col("_new").isNull(), "D")
         .when(~F.col("_old").eqNullSafe(F.col("_new")), "U")
     )
+    keys = [F.when(F.col("_new").isNull(), F.col(f"_old_{c}")).otherwise(F.col(c)).alias(c) for c in key]
     return (
-        old.join(new, key, "full_outer")
-        .select(*key, op.alias("op"), "_row")
+        old.join(new, null_safe(old, new, {f"_old_{c}": c for c in key}), "full_outer")
+        .select(*keys, op.alias("op"), "_row")
         .where(F.col("op").isNotNull())
         .select(*key, "op", *[F.col("_row")[c].alias(c) for c in columns])
     )

@@ -80,7 +80,7 @@ def verify(
     if not full:
         wanted = files.where(F.col("sha256").isNotNull()).select("backup_id", "path")
         listed = listed.join(wanted, ["backup_id", "path"], "left_semi")
-    digests = stored_digests(listed.select("backup_id", "path", "location", "codec"), root)
+    digests = stored_digests(listed.select("backup_id", "path", "location", "size", "codec"), root)
     checked = materialize(verify_files(files, digests, codecs, full))
     flags = (
         ids.join(manifests.select("backup_id", "readable", "checksum_ok"), "backup_id", "left")

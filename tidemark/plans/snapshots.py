@@ -6,10 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.catalog import identity_check
+from ..operators.prints import bits_for, changes_by_prints, row_prints
 from ..operators.snapshot import incremental_snapshot, restore_chain
 from ..operators.verify import verify_files
 from ..session import materialize
-from ..sources.store import SnapshotInfo, part_digests, publish_snapshot, read_snapshot, snapshot_catalog, snapshot_manifests
+from ..sources.store import (
+    SnapshotInfo,
+    part_digests,
+    publish_snapshot,
+    read_buckets,
+    read_prints,
+    read_snapshot,
+    snapshot_catalog,
+    snapshot_manifests,
+    write_buckets,
+    write_manifest,
+    write_prints,
+)
 from .repository import chain_members
 
 
@@ -30,20 +43,55 @@ def check_identity(spark: SparkSession, root: str, info: SnapshotInfo) -> None:
         )
 
 
-def backup_full(df: DataFrame, root: str, info: SnapshotInfo) -> None:
-    """Identity check, then data, then the manifest."""
+def backup_full(df: DataFrame, root: str, info: SnapshotInfo, key: list[str] | None = None) -> None:
+    """Identity check, then data, then the manifest; with ``key`` also the prints increments start from."""
     check_identity(df.sparkSession, root, info)
-    publish_snapshot(df, root, info)
+    publish_snapshot(df, root, info, key=key)
 
 
 def backup_incremental(df: DataFrame, root: str, info: SnapshotInfo, key: list[str]) -> None:
-    """Publish only what changed since the parent named in ``info``."""
+    """Publish only what changed since the parent named in ``info``.
+
+    If the parent was stored with prints, they are all that is read of it, and the
+    increment stores those of the buckets it changes. Otherwise the parent is
+    rebuilt and compared row by row.
+    """
     if not info.parent_backup_id:
         raise ValueError("an incremental snapshot needs a parent")
     spark = df.sparkSession
     check_identity(spark, root, info)
-    parent = restore_table(spark, root, info.parent_backup_id, key)
-    publish_snapshot(incremental_snapshot(parent, df, key), root, info)
+    old = read_buckets(spark, root, info.parent_backup_id)
+    if old is None:
+        parent = restore_table(spark, root, info.parent_backup_id, key)
+        publish_snapshot(incremental_snapshot(parent, df, key), root, info)
+        return
+    chain_members(materialize(snapshot_catalog(spark, root)), info.parent_backup_id)  # raises if a member is gone
+    changed, buckets = increment_by_prints(df, root, info, key, old)
+    changed.write.mode("error").parquet(f"{root.rstrip('/')}/{info.backup_id}/data")
+    write_buckets(buckets, f"{root.rstrip('/')}/{info.backup_id}")
+    write_manifest(spark, root, info)
+
+
+def increment_by_prints(df: DataFrame, root: str, info: SnapshotInfo, key: list[str], old: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``(changed rows, buckets with their holders)``; writes the prints of the buckets that changed."""
+    spark, target = df.sparkSession, f"{root.rstrip('/')}/{info.backup_id}"
+    first = old.select("bits").first()
+    # An empty parent has no bucket; any number of bits describes it.
+    bits = first[0] if first else bits_for(df.count())
+    schema = row_prints(df.limit(0), key, bits).schema
+
+    def stored(differing: DataFrame) -> DataFrame:
+        return read_prints(spark, root, old.join(F.broadcast(differing), "bucket", "left_semi"), schema)
+
+    def keep(name: str, rows: DataFrame) -> DataFrame:
+        return write_prints(rows, target) if name == "prints" else materialize(rows)
+
+    changed, new, buckets = changes_by_prints(df, key, bits, old, stored, keep)
+    touched = new.select("bucket").distinct().withColumn("_mine", F.lit(True))
+    holders = old.select("bucket", "holder")
+    owner = F.when(F.col("_mine"), F.lit(info.backup_id)).otherwise(F.col("holder"))
+    buckets = buckets.join(touched, "bucket", "left").join(holders, "bucket", "left").withColumns({"holder": owner, "bits": F.lit(bits)})
+    return changed, buckets
 
 
 def restore_table(spark: SparkSession, root: str, backup_id: str, key: list[str]) -> DataFrame:

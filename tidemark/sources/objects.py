@@ -2,18 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import naming
 from ..functions.lsn import SEGMENT_BYTES, segment_no_of_name
 from ..schemas import OBJECTS
+from ..session import materialize
 from .codecs import DIGEST_FIELDS, digest_function
 
 
 # Bytes of bodies that one task reads, about.
 TASK_BYTES = 256 << 20
+# What opening a file costs beside its bytes.
+OPEN_BYTES = 64 << 10
+# Listing rows whose sizes are summed in one window.
+_ROWS_PER_CELL = 100_000
 
 
 def visible_objects(objects: DataFrame, prefix: str = "", temp_marker: str | None = None) -> DataFrame:
@@ -157,6 +162,34 @@ def scan_objects(
     return visible_objects(rows.where(~F.col("folder")).drop("folder"), prefix, temp_marker)
 
 
+def spread_by_bytes(objects: DataFrame, location: str = "path", task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Rows dealt to tasks of about equal bytes, by running totals of ``size``.
+
+    The files stand on a line of bytes, each as long as its size and what opening
+    it costs, and the line is cut into equal stretches, one per task; a file goes
+    where its middle lies. So a task holds at most a stretch and the halves of the
+    two files that cross its ends. The totals are summed in cells of bounded
+    size, dealt by hash, and then over the cells. There are as many stretches as
+    the bytes ask for, and at least as many as keep all cores busy.
+    """
+    spark = objects.sparkSession
+    weight = F.greatest(F.coalesce(F.col("size"), F.lit(0)).cast("bigint"), F.lit(0)) + OPEN_BYTES
+    rows, total = objects.agg(F.count(F.lit(1)), F.coalesce(F.sum(weight), F.lit(0)).cast("bigint")).first()
+    if not rows:
+        return objects
+    tasks = min(rows, max(_tasks(spark, per_core=4), -(-total // task_bytes)))
+    cells = -(-rows // _ROWS_PER_CELL)
+    placed = objects.withColumns({"_weight": weight, "_cell": F.pmod(F.xxhash64(location), F.lit(cells))})
+    # One row per 100,000 files.
+    starts = placed.groupBy("_cell").agg(F.sum("_weight").alias("_all"))
+    starts = starts.select("_cell", (F.sum("_all").over(Window.orderBy("_cell")) - F.col("_all")).alias("_start"))
+    before = F.sum("_weight").over(Window.partitionBy("_cell").orderBy(location).rowsBetween(Window.unboundedPreceding, -1))
+    placed = placed.withColumn("_before", F.coalesce(before, F.lit(0))).join(F.broadcast(starts) if cells < 1 << 16 else starts, "_cell")
+    middle = F.col("_start") + F.col("_before") + F.floor(F.col("_weight") / 2)
+    task = F.least(F.floor(middle.cast("double") / F.lit(total / tasks)), F.lit(tasks - 1)).cast("int")
+    return placed.select(*objects.columns, task.alias("_task")).repartitionById(tasks, "_task").drop("_task")
+
+
 def read_bodies(objects: DataFrame, root: str) -> DataFrame:
     """``(…, content)`` of listed objects; an object that has gone meanwhile is left out.
 
@@ -182,7 +215,8 @@ def read_bodies(objects: DataFrame, root: str) -> DataFrame:
                     [*batch.slice(i, 1).columns, pa.array([body], pa.binary())], names=schema.names
                 )
 
-    return objects.repartition(_tasks(spark), "path").mapInArrow(read, schema)
+    dealt = spread_by_bytes(objects) if "size" in objects.columns else objects.repartition(_tasks(spark), "path")
+    return dealt.mapInArrow(read, schema)
 
 
 def scan_contents(
@@ -199,7 +233,7 @@ def scan_contents(
     ``names`` keeps files with these basenames, ``paths`` is a table of wanted
     paths, ``objects`` a listing that already exists.
     """
-    objects = scan_objects(spark, root, prefix, temp_marker) if objects is None else objects
+    objects = materialize(scan_objects(spark, root, prefix, temp_marker)) if objects is None else objects
     if names:
         objects = objects.where(naming.basename("path").isin(*names))
     if paths is not None:
@@ -211,8 +245,9 @@ def stored_digests(objects: DataFrame, root: str, codec: str = "codec", location
     """Stored and plain size and SHA-256 of listed objects, streamed in the tasks.
 
     ``location`` names the column with the path below ``root``; ``codec`` the
-    column with the codec. Rows are spread over many tasks by path, so a backup
-    that owns most objects is read by all of them, and no body has to fit a row.
+    column with the codec. With a column ``size`` the tasks get equal bytes,
+    otherwise files spread by path; so a backup that owns most objects is read by
+    all tasks, and no body has to fit a row.
     """
     spark = objects.sparkSession
     schema = T.StructType([*objects.schema.fields, *DIGEST_FIELDS])
@@ -234,12 +269,8 @@ def stored_digests(objects: DataFrame, root: str, codec: str = "codec", location
             cells = [pa.array([row[k] for row in found], t) for k, t in enumerate(types)]
             yield pa.RecordBatch.from_arrays([*batch.columns, *cells], names=schema.names)
 
-    tasks = _tasks(spark, per_core=4)
-    if "size" in objects.columns:
-        # As many tasks as the bytes ask for, whatever cores are there at the moment.
-        total = objects.agg(F.coalesce(F.sum("size"), F.lit(0)).cast("bigint")).first()[0]
-        tasks = max(tasks, -(-total // TASK_BYTES))
-    return objects.repartition(tasks, location).mapInArrow(digest, schema)
+    dealt = spread_by_bytes(objects, location) if "size" in objects.columns else objects.repartition(_tasks(spark, per_core=4), location)
+    return dealt.mapInArrow(digest, schema)
 
 
 def split_backup_path(objects: DataFrame) -> DataFrame:

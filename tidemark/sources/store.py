@@ -14,6 +14,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.prints import FOLDERS, bits_for, bucket_prints, row_prints
 from ..schemas import REPLICAS
 from .archive import archive_ingest, read_archive, vacuum_archive  # noqa: F401
 
@@ -46,19 +47,62 @@ def part_digests(spark: SparkSession, data_dir: str) -> DataFrame:
     return files.select(part, F.col("length").alias("size")).join(read, "part", "left")
 
 
-def publish_snapshot(df: DataFrame, root: str, info: SnapshotInfo, partition_by: list[str] | None = None) -> None:
+def publish_snapshot(df: DataFrame, root: str, info: SnapshotInfo, partition_by: list[str] | None = None, key: list[str] | None = None) -> None:
     """Write data, then the part digests as the manifest. Never overwrites.
 
     A reader that lists manifests cannot see a snapshot before it is complete.
+    With ``key`` the prints of the rows are stored beside the data, from which the
+    next increment is told without reading the data again.
     """
     spark, target = df.sparkSession, f"{root.rstrip('/')}/{info.backup_id}"
     writer = df.write.mode("error")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(f"{target}/data")
+    if key:
+        stored = spark.read.parquet(f"{target}/data")
+        bits = bits_for(stored.count())
+        prints = write_prints(row_prints(stored, key, bits), target)
+        write_buckets(bucket_prints(prints, key).withColumns({"holder": F.lit(info.backup_id), "bits": F.lit(bits)}), target)
     write_manifest(spark, root, info)
 
 
+def write_prints(prints: DataFrame, target: str) -> DataFrame:
+    """Row prints ``(bucket, <key>, print)`` in folders by bucket; returned as stored."""
+    folder = F.pmod(F.col("bucket"), F.lit(FOLDERS)).alias("folder")
+    prints.select("*", folder).write.mode("overwrite").partitionBy("folder").parquet(f"{target}/prints")
+    return prints.sparkSession.read.schema(prints.schema).parquet(f"{target}/prints").select(*prints.columns)
+
+
+def write_buckets(buckets: DataFrame, target: str) -> None:
+    """Bucket prints with the snapshot that holds the row prints of each; 65,536 rows at most."""
+    buckets.select("bucket", "rows", "xor", "sum", "holder", "bits").coalesce(1).write.mode("overwrite").parquet(f"{target}/buckets")
+
+
+def read_buckets(spark: SparkSession, root: str, backup_id: str) -> DataFrame | None:
+    """Bucket prints of a published snapshot; None if it was stored without them."""
+    try:
+        return spark.read.parquet(f"{root.rstrip('/')}/{backup_id}/buckets")
+    except AnalysisException as exc:
+        if exc.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def read_prints(spark: SparkSession, root: str, buckets: DataFrame, schema) -> DataFrame:
+    """Row prints of ``(bucket, holder)``: only the folders of these buckets, of the snapshots that hold them."""
+    held = buckets.select("bucket", "holder", F.pmod(F.col("bucket"), F.lit(FOLDERS)).alias("folder"))
+    # At most FOLDERS numbers for each snapshot of a chain.
+    wanted = held.groupBy("holder").agg(F.collect_set("folder").alias("folders")).collect()
+    found = spark.createDataFrame([], schema)
+    for r in wanted:
+        base = f"{root.rstrip('/')}/{r['holder']}/prints"
+        part = spark.read.schema(schema).parquet(*[f"{base}/folder={k}" for k in sorted(r["folders"])])
+        mine = held.where(F.col("holder") == r["holder"]).select("bucket")
+        found = found.unionByName(part.select(*schema.names).join(F.broadcast(mine), "bucket", "left_semi"))
+    return found
+
+
 def write_manifest(spark: SparkSession, root: str, info: SnapshotInfo) -> None:
     """Digest the data files as stored and publish the snapshot."""
     target = f"{root.rstrip('/')}/{info.backup_id}"

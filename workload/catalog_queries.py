@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from tidemark import functions as fn
 from tidemark import operators as op
-from tidemark.plans import plan_prune, restore_plan
+from tidemark.plans import plan_prune, restore_plan, verify
 from tidemark.sources import decode_sidecars, manifest_files, manifest_headers, scan_checkpoints, scan_manifests, scan_sidecars, wal_ranges
 
 from .registry import query
+from .trees import TREE_SQL, documents_tree
 from .views import NOW, BASE_LSN, BASE_SEG, S, _seg, with_views
 
 DAY = 86400
@@ -487,3 +488,23 @@ def replica_status(v: S):
     return op.replica_status(v.table("orders").select(
         F.col("o_custkey").alias("backup_id"), F.when(F.col("o_orderstatus") == "F", "committed").otherwise("failed").alias("status")
     ))
+
+
+# --- verification of a repository on disk ------------------------------------
+
+
+@query(f"""SELECT backup_id, 'base/' || d || CASE WHEN status = 'EXTRA' THEN 'x' ELSE '' END AS path, status
+           FROM ({TREE_SQL}) WHERE status NOT IN ('OK', 'ENCRYPTED')""")
+def verify_repository(v: S):
+    """Every file that is not as recorded, in a tree of plain, gzip and zstd files."""
+    return verify(v.spark, documents_tree(v), full=True)[1].select("backup_id", "path", "status")
+
+
+@query(f"""WITH t AS ({TREE_SQL}), ids AS (SELECT DISTINCT '2026010' || (doc_id % 6 + 1) || 'T000000F' AS backup_id, doc_id % 6 + 1 AS n FROM documents)
+           SELECT backup_id, count(*) FILTER (status = 'OK') AS files_ok, count(*) FILTER (status NOT IN ('OK', 'ENCRYPTED')) AS files_mismatched,
+                  count(*) FILTER (status = 'ENCRYPTED') AS files_encrypted, n <> 4 AS manifest_checksum_ok,
+                  CASE WHEN n = 6 THEN 'UNREADABLE' WHEN n = 4 OR count(*) FILTER (status NOT IN ('OK', 'ENCRYPTED')) > 0 THEN 'FAILED'
+                       WHEN count(*) FILTER (status = 'ENCRYPTED') > 0 THEN 'ENCRYPTED' ELSE 'OK' END AS status
+           FROM ids LEFT JOIN t USING (backup_id, n) GROUP BY backup_id, n""")
+def verify_repository_summary(v: S):
+    return verify(v.spark, documents_tree(v), full=True)[0]

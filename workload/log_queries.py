@@ -561,7 +561,7 @@ def restore_chain(v: S):
 def snapshot_round_trip(v: S):
     """Full and incremental snapshot written, then the table rebuilt from the chain."""
     root, key = scratch_path(v.spark, "snapshots"), ["c_custkey"]
-    backup_full(v.table("customer"), root, SnapshotInfo("20260101T000000F", server="s1", system_identifier=7))
+    backup_full(v.table("customer"), root, SnapshotInfo("20260101T000000F", server="s1", system_identifier=7), key)
     backup_incremental(
         v.current(), root,
         SnapshotInfo("20260101T000000F_20260102T000000I", "incremental", "20260101T000000F", "s1", 7), key,
@@ -569,6 +569,22 @@ def snapshot_round_trip(v: S):
     return restore_table(v.spark, root, "20260101T000000F_20260102T000000I", key)
 
 
+@query("SELECT o_orderkey, o_custkey, o_orderstatus, CASE WHEN o_orderkey % 9 = 0 THEN -o_totalprice ELSE o_totalprice END AS o_totalprice FROM orders WHERE o_orderkey % 50 <> 0")
+def snapshot_chain_by_prints(v: S):
+    """A full and four increments, each told by the prints of the one before; the fourth changes nothing."""
+    root, key, k = scratch_path(v.spark, "snapshots"), ["o_orderkey"], F.col("o_orderkey")
+    orders = v.table("orders").select("o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice")
+    signed = orders.withColumn("o_totalprice", F.when(k % 9 == 0, -F.col("o_totalprice")).otherwise(F.col("o_totalprice")))
+    last = signed.where(k % 50 != 0)
+    parent = "20260101T000000F"
+    backup_full(orders.where(k % 7 != 0), root, SnapshotInfo(parent), key)
+    for day, state in enumerate((orders.where(k % 7 != 1), signed.where(k % 50 > 10), last, last), start=2):
+        name = f"{parent}_2026010{day}T000000I"
+        backup_incremental(state, root, SnapshotInfo(name, "incremental", parent), key)
+        parent = name
+    return restore_table(v.spark, root, parent, key)
+
+
 @query("SELECT o_orderpriority, count(*) AS n, 'OK' AS status FROM orders GROUP BY o_orderpriority")
 def verify_published(v: S):
     """Rows read back from a published snapshot, with the verdict over its part files."""
