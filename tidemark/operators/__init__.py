@@ -20,6 +20,7 @@ from .catalog import (
 )
 from .chains import orphans, resolve_chains
 from .health import health_report
+from .intervals import points_in_windows
 from .prints import changes_by_prints
 from .prune import prune_objects, prune_segments, prune_summary
 from .replay import replay_to_target
@@ -31,6 +32,7 @@ from .verify import mismatches, verify_files, verify_summary
 from .wal import (
     classify_push,
     duplicate_segments,
+    missing_runs,
     missing_segments,
     required_segments,
     segment_gaps,

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from ..functions.lsn import SEGMENT_BYTES, int_div
 from ..joins import bounded_broadcast, latest_by, lookup, overlay
+from .intervals import at_levels, covered, used_levels
 
 _BLOCK = ["rel", "fork", "block_no"]
 
@@ -34,26 +35,24 @@ def changed_in_windows(
     """Distinct ``(window_id, block)`` for many half-open windows
     ``(window_id, tli, start_lsn, end_lsn)``.
 
-    Positions are cut into buckets, which makes the range join an equi join. A
-    bucket that lies wholly inside a window needs no comparison, so its changes
-    are first reduced to distinct blocks; only the two edge buckets of a window
-    meet single changes.
+    Positions are cut into buckets. The whole buckets of a window are covered by
+    the nodes of a tree (see ``intervals``), a few hundred rows at most however
+    long it is; changes are first reduced to distinct blocks per node, so only the
+    two edge buckets of a window meet single changes. All joins are equi joins.
     """
-    spans = windows.where(F.col("end_lsn") > F.col("start_lsn")).select(
-        "window_id",
-        "tli",
-        "start_lsn",
-        "end_lsn",
-        F.explode(F.sequence(int_div("start_lsn", bucket), int_div(F.col("end_lsn") - 1, bucket))).alias("_b"),
-    )
-    first, last = F.col("_b") * bucket, F.col("_b") * bucket + (bucket - 1)
-    inside = (F.col("start_lsn") <= first) & (last < F.col("end_lsn"))
+    at = windows.where(F.col("end_lsn") > F.col("start_lsn")).select("window_id", "tli", "start_lsn", "end_lsn")
+    low, high = int_div("start_lsn", bucket), int_div("end_lsn", bucket)
+    begun = F.col("start_lsn") % F.lit(bucket) != 0
+    spans = at.withColumns({"_low": low + F.when(begun, 1).otherwise(0), "_high": high})
     marked = changed.select("tli", "lsn", *key, int_div("lsn", bucket).alias("_b"))
-    per_bucket = marked.select("tli", "_b", *key).distinct()
-    on = ["tli", "_b"]
     # While the windows are few they travel to the changes, which then stay in place.
-    whole = per_bucket.join(bounded_broadcast(spans.where(inside).select("window_id", *on)), on).select("window_id", *key)
-    edges = marked.join(bounded_broadcast(spans.where(~inside)), on)
+    nodes = covered(spans.where("_low < _high").select("window_id", "tli", "_low", "_high"), "_low", "_high").drop("_low", "_high")
+    per_bucket = marked.select("tli", "_b", *key).distinct()
+    per_node = at_levels(per_bucket, "_b", used_levels(nodes)).drop("_b").distinct()
+    whole = per_node.join(bounded_broadcast(nodes), ["tli", "_level", "_node"]).select("window_id", *key)
+    first, last = F.when(begun, low), F.when(F.col("end_lsn") % F.lit(bucket) != 0, high)
+    ends = F.array_distinct(F.array_compact(F.array(first, last)))
+    edges = marked.join(bounded_broadcast(at.select("*", F.explode(ends).alias("_b"))), ["tli", "_b"])
     edges = edges.where((F.col("lsn") >= F.col("start_lsn")) & (F.col("lsn") < F.col("end_lsn")))
     return whole.unionByName(edges.select("window_id", *key)).distinct()
 

@@ -328,6 +328,21 @@ def missing_segments(v: S):
     return op.missing_segments(op.required_segments(v.backups()), v.segments())
 
 
+_FAR = 1 << 62
+
+
+@query(with_views(
+    f""", s AS (SELECT DISTINCT seg_no FROM v_segments),
+       g AS (SELECT seg_no + 1 AS a, coalesce(lead(seg_no) OVER (ORDER BY seg_no), {_FAR}) - 1 AS b FROM s UNION ALL SELECT 0, min(seg_no) - 1 FROM s),
+       r AS (SELECT backup_id, timeline AS tli, start_lsn // 16777216 AS lo, (CASE WHEN backup_id % 500 = 1 THEN {_FAR} ELSE stop_lsn END - 1) // 16777216 AS hi FROM v_backups)
+       SELECT backup_id, tli, greatest(lo, a) AS from_seg, least(hi, b) AS to_seg, NULL::VARCHAR AS error FROM r JOIN g ON a <= hi AND b >= lo WHERE a <= b""",
+    "v_backups", "v_segments"))
+def missing_runs(v: S):
+    """One backup in 500 has a stop position near 2^62."""
+    far = F.when(F.col("backup_id") % 500 == 1, F.lit(_FAR)).otherwise(F.col("stop_lsn"))
+    return op.missing_runs(v.backups().withColumn("stop_lsn", far), v.segments())
+
+
 _UNREAD = "(start_lsn // 5000000) % 5 = 0"
 
 
@@ -461,6 +476,16 @@ def changed_in_windows(v: S):
     return op.changed_in_windows(v.changed(), v.windows(), bucket=1 << 14)
 
 
+@query(with_views(
+    f"""SELECT window_id, count(DISTINCT (rel, fork, block_no)) AS blocks
+        FROM (SELECT window_id, start_lsn, CASE WHEN window_id % 400 = 1 THEN {_FAR} ELSE end_lsn END AS end_lsn FROM v_windows)
+        JOIN v_changed ON lsn >= start_lsn AND lsn < end_lsn GROUP BY window_id""", "v_windows", "v_changed"))
+def changed_in_long_windows(v: S):
+    """One window in 400 ends at 2^62."""
+    end = F.when(F.col("window_id") % 400 == 1, F.lit(_FAR)).otherwise(F.col("end_lsn"))
+    return op.changed_in_windows(v.changed(), v.windows().withColumn("end_lsn", end)).groupBy("window_id").agg(F.count(F.lit(1)).alias("blocks"))
+
+
 @query(with_views("SELECT rel, fork, block_no, lsn, CASE WHEN fork > 3 THEN 'block out of range' END AS error FROM (SELECT rel, fork + rel % 3 AS fork, block_no, lsn FROM v_changed)", "v_changed"))
 def block_range_check(v: S):
     ok, bad = op.block_range_check(v.changed().withColumn("fork", F.col("fork") + F.col("rel") % 3).drop("tli"))
