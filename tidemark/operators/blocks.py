@@ -77,7 +77,9 @@ def combine_chain(
     the increment that states it: what that increment carries itself was written
     after the file had been that short. Only increments are aggregated; blocks
     of the full that no increment touches pass through.
-    ``fill`` adds ``zero_page`` for the holes below a path's limit.
+    ``fill`` adds ``zero_page`` for the holes below a path's limit. The other
+    columns move with the rows: give places of pages rather than pages, as
+    ``sources.combine_files`` does.
     """
     key = ["path", "block_no"]
     payload = [c for c in blocks.columns if c not in (*key, "backup_id")]

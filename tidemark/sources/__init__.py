@@ -19,6 +19,6 @@ from .objects import (
     stored_digests,
     visible_objects,
 )
-from .pages import PAGE_BYTES, explode_blocks, scan_incremental_files
+from .pages import PAGE_BYTES, combine_files, explode_blocks, fetch_pages, scan_incremental_files, scan_page_index
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -12,6 +12,7 @@ from tidemark import operators as op
 from tidemark.plans import backup_full, backup_incremental, backup_resumable, restore_table, resume_state, verify_snapshots
 from tidemark.session import materialize, scratch_path
 from tidemark.sources import (
+    combine_files,
     content_digests,
     decode_contents,
     dual_digest,
@@ -27,6 +28,7 @@ from tidemark.sources import (
 from tidemark.sources.store import SnapshotInfo, archive_ingest, publish_snapshot, read_archive, read_snapshot, write_fan_out
 
 from .registry import query
+from .trees import PAGE, PAGES_SQL, pages_tree
 from .views import BASE_SEG, S, _seg, with_views
 
 # --- column functions over whole tables -----------------------------------
@@ -513,6 +515,24 @@ def combine_chain_filled(v: S):
     )
 
 
+@query(f"""WITH p AS ({PAGES_SQL}), l AS (
+             SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN 2 ELSE 1 END AS pos, CASE WHEN doc_id % 2 <> 0 THEN 3 WHEN doc_id % 4 = 0 THEN 2 ELSE 100 END AS len
+             FROM documents WHERE doc_id % 2 = 0 OR (doc_id % 3 = 0 AND doc_id % 29 <> 0))
+           SELECT 'base/' || doc_id AS path, block_no, CAST(max(chain_pos) AS INTEGER) AS chain_pos, arg_max(sha256, chain_pos) AS sha256
+           FROM p LEFT JOIN l USING (doc_id) WHERE len IS NULL OR block_no < len OR chain_pos >= pos GROUP BY doc_id, block_no""")
+def combine_stored_chain(v: S):
+    """A chain of files on disk: merged on page numbers, then only the winning pages are read."""
+    root, files = pages_tree(v)
+    pages, _ = combine_files(files, root, size=PAGE)
+    return pages.select("path", "block_no", "chain_pos", F.sha2("data", 256).alias("sha256"))
+
+
+@query("SELECT 'base/' || doc_id AS path, 'bad marker' AS error FROM documents WHERE doc_id % 3 = 0 AND doc_id % 29 = 0")
+def combine_stored_chain_errors(v: S):
+    root, files = pages_tree(v)
+    return combine_files(files, root, size=PAGE)[1].select("path", "error")
+
+
 @query(with_views(
     """SELECT tli, reach AS from_lsn, start_lsn AS to_lsn FROM (SELECT *, max(end_lsn) OVER (PARTITION BY tli ORDER BY start_lsn
        ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM v_summaries) WHERE start_lsn > reach""", "v_summaries"))

@@ -124,3 +124,43 @@ TREE_SQL = """
                 WHEN doc_id % 53 = 0 THEN 'SIZE' ELSE 'OK' END AS status
     FROM documents WHERE doc_id % 6 <> 5
     UNION ALL SELECT doc_id, '2026010' || (doc_id % 6 + 1) || 'T000000F', doc_id % 6 + 1, 'EXTRA' FROM documents WHERE doc_id % 43 = 0 AND doc_id % 6 <> 5"""
+
+
+# --- a full backup and two increments, as files of pages -----------------------------
+
+PAGE = 512
+
+
+def _le32(number):
+    h = F.lpad(F.hex(number.cast("bigint")), 8, "0")
+    return F.concat(*[F.substring(h, p, 2) for p in (7, 5, 3, 1)])
+
+
+def _increment(doc_id, pos: int, numbers: tuple[int, ...], limit, magic):
+    head = F.concat(_le32(magic), _le32(F.lit(len(numbers))), _le32(limit), *[_le32(F.lit(n)) for n in numbers])
+    pages = [F.rpad(F.md5(F.concat_ws(":", doc_id, F.lit(pos), F.lit(n))), PAGE, "z") for n in numbers]
+    return F.concat(F.unhex(head), *[F.encode(p, "UTF-8") for p in pages])
+
+
+def pages_tree(v: S) -> tuple[str, DataFrame]:
+    """``(root, files)``: documents as files of 512-byte pages, and increments of a third and of a half of them, the second gzipped."""
+    root, d = scratch_path(v.spark, "chain"), F.col("doc_id")
+    docs = v.table("documents").select(d, F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("body"))
+    magic = F.when(d % 29 == 0, F.lit(0x11223344)).otherwise(F.lit(0x494E4352))
+    limit = F.when(d % 4 == 0, 2).otherwise(100)
+    parts = [
+        docs.select(F.lit("none").alias("codec"), F.concat(F.lit("base/"), d).alias("path"), F.lit(0).alias("chain_pos"), F.col("body").alias("content")),
+        docs.where(d % 3 == 0).select(F.lit("none").alias("codec"), F.concat(F.lit("base/INCREMENTAL."), d).alias("path"), F.lit(1).alias("chain_pos"), _increment(d, 1, (0, 2), F.lit(3), magic).alias("content")),
+        docs.where(d % 2 == 0).select(F.lit("gzip").alias("codec"), F.concat(F.lit("base/INCREMENTAL."), d).alias("path"), F.lit(2).alias("chain_pos"), _increment(d, 2, (1,), limit, F.lit(0x494E4352)).alias("content")),
+    ]
+    files = materialize(parts[0].unionByName(parts[1]).unionByName(parts[2]))
+    location = F.concat_ws("/", "chain_pos", "path")
+    _write_files(files.select(location.alias("path"), "content", "codec", F.lit(False).alias("cut")), root).write.format("noop").mode("overwrite").save()
+    return root, files.select("path", "chain_pos", location.alias("location"), "codec", F.octet_length("content").cast("bigint").alias("size"))
+
+
+PAGES_SQL = """
+    SELECT doc_id, 0 AS chain_pos, b AS block_no, sha256(array_slice(body, b * 512 + 1, least(b * 512 + 512, octet_length(body)))) AS sha256
+    FROM (SELECT doc_id, body, unnest(range((octet_length(body) + 511) // 512)) AS b FROM (SELECT doc_id, encode(coalesce(text, '')) AS body FROM documents))
+    UNION ALL SELECT doc_id, 1, n, sha256(rpad(md5(doc_id || ':1:' || n), 512, 'z')) FROM documents, (VALUES (0), (2)) t(n) WHERE doc_id % 3 = 0 AND doc_id % 29 <> 0
+    UNION ALL SELECT doc_id, 2, 1, sha256(rpad(md5(doc_id || ':2:1'), 512, 'z')) FROM documents WHERE doc_id % 2 = 0"""
