@@ -66,6 +66,67 @@ def test_watch_required(spark, workdir):
     ]
 
 
+def test_watch_required_in_pieces(spark, workdir):
+    """Backups over several pieces, one that needs nothing, one whose need is unknown."""
+    t = [day(0) + timedelta(minutes=m) for m in range(200)]
+    step = 5000
+    required = spark.createDataFrame(
+        [("wide", 1, n, t[50]) for n in range(0, 100_000, step)] + [("hole", 2, n, t[50]) for n in range(0, 100_000, step)] + [("unknown", None, None, t[40])],
+        "backup_id STRING, tli BIGINT, seg_no BIGINT, deadline TIMESTAMP",
+    )
+    backups = spark.createDataFrame([("wide",), ("hole",), ("nothing",), ("nothing",)], "backup_id STRING")
+    every = list(range(0, 100_000, step))
+    batches = [
+        [(1, n, t[1]) for n in every[:9]] + [(2, n, t[1]) for n in every[1:]],
+        [(1, n, t[2]) for n in every[9:]] + [(2, 0, t[60])],
+        [(9, None, t[199])],  # matches nothing, but time moves
+    ]
+    arrivals = feed(spark, workdir, "arr", "tli BIGINT, seg_no BIGINT, ts TIMESTAMP", batches)
+    got = table(spark, watch_required(required, arrivals, backups=backups), workdir, "pieces")
+    assert sorted(tuple(map(str, (r["backup_id"], r["status"], r["tli"], r["seg_no"]))) for r in got) == [
+        ("hole", "timeout", "2", "0"), ("nothing", "complete", "None", "None"), ("unknown", "timeout", "None", "None"), ("wide", "complete", "None", "None")
+    ]
+
+
+def test_progress_in_groups(spark, workdir):
+    sizes = [3, 0, 5, 1, 9, 2]
+    rows, n = [], 0
+    for k in sizes:
+        rows.append([(f"p{(n + i):03}", n + i) for i in reversed(range(k))])
+        n += k
+    files = feed(spark, workdir, "f", "path STRING, size BIGINT", [r or [("empty", -1)] for r in rows])
+    seen = []
+    drain(progress_stream(files.where("size >= 0"), lambda b, i: seen.append((i, b.count())), f"{workdir}/progress", every=4), workdir, "p")
+    got = {r["path"]: r["batch"] for r in read_progress(spark, f"{workdir}/progress", "path STRING, size BIGINT").collect()}
+    total, want = 0, {}
+    for batch, k in enumerate(sizes):
+        total += k
+        for i in range(total // 4 * 4):
+            want.setdefault(f"p{i:03}", batch)
+    assert got == want and sum(c for _, c in seen) == 20
+
+
+def test_a_repeated_step_records_the_same(spark, workdir):
+    from tidemark.streaming import ingest
+
+    recorded = {}
+
+    class Writer:
+        def foreachBatch(self, step):
+            recorded["step"] = step
+
+    class Files:
+        writeStream = Writer()
+
+    ingest.progress_stream(Files(), lambda b, i: None, f"{workdir}/p", every=3)
+    frame = lambda *names: spark.createDataFrame([(n,) for n in names], "path STRING")
+    steps = [frame("a", "b"), frame("c", "c", "c", "d"), frame("e")]
+    for k in (0, 0, 1, 1, 2, 2):
+        recorded["step"](steps[k], k)
+    got = sorted((r["path"], r["batch"]) for r in read_progress(spark, f"{workdir}/p", "path STRING").collect())
+    assert got == [("a", 1), ("b", 1), ("c", 1), ("c", 1), ("c", 1), ("d", 1)]
+
+
 def test_archive_lag(spark, workdir):
     t = [day(0) + timedelta(minutes=m) for m in range(400)]
     markers = feed(spark, workdir, "m", "marker_id BIGINT, tli BIGINT, name STRING, ts TIMESTAMP", [[(1, 1, "A", t[0]), (2, 1, "B", t[1]), (3, 1, "C", t[2])], [(4, 1, "D", t[300])], [(5, 1, "E", t[301])]])

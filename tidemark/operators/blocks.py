@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.lsn import SEGMENT_BYTES, int_div
-from ..joins import bounded_broadcast, latest_by, lookup, overlay
+from ..joins import bounded_broadcast, latest_by, lookup, null_safe, overlay
+from ..session import materialize
 from .intervals import at_levels, covered, used_levels
 
 _BLOCK = ["rel", "fork", "block_no"]
@@ -116,15 +117,18 @@ def combine_chain(
 
 
 def summary_gaps(
-    summaries: DataFrame, start: int | None = None, end: int | None = None, bucket: int = 1 << 40
+    summaries: DataFrame, start: int | None = None, end: int | None = None, bucket: int = 100_000
 ) -> DataFrame:
     """Stretches ``(tli, from_lsn, to_lsn)`` no summary covers.
 
     Without bounds the gaps between the summaries of each timeline; with bounds
     also what is missing at both ends, for all timelines that have summaries
-    anywhere: one without any inside the bounds lacks all of them. The
-    running maximum is taken inside buckets of start positions and carried from
-    bucket to bucket by a second, short running maximum.
+    anywhere: one without any inside the bounds lacks all of them. Rows without a
+    timeline are a timeline of their own.
+
+    The rows are dealt by ranges of (timeline, start), sampled so that each has
+    about ``bucket`` rows however they are spread; the running maximum is taken
+    inside the ranges and carried from range to range by a second, short one.
     """
     rows = summaries.select("tli", "start_lsn", "end_lsn").where(F.col("end_lsn") > F.col("start_lsn"))
     everywhere = rows.select("tli").distinct()
@@ -132,16 +136,18 @@ def summary_gaps(
         rows = rows.where(F.col("end_lsn") > start).withColumn("start_lsn", F.greatest("start_lsn", F.lit(start)))
     if end is not None:
         rows = rows.where(F.col("start_lsn") < end).withColumn("end_lsn", F.least("end_lsn", F.lit(end)))
-    # Equal starts collapse, so a bucket never holds more rows than it has positions.
-    rows = rows.groupBy("tli", "start_lsn").agg(F.max("end_lsn").alias("end_lsn"))
-    rows = rows.withColumn("_b", int_div("start_lsn", bucket))
+    # Equal starts collapse, so a range never holds more rows than it has positions.
+    rows = materialize(rows.groupBy("tli", "start_lsn").agg(F.max("end_lsn").alias("end_lsn")))
+    ranges = -(-max(rows.count(), 1) // bucket)
+    rows = materialize(rows.repartitionByRange(ranges, "tli", "start_lsn").withColumn("_b", F.spark_partition_id()))
     before = Window.partitionBy("tli", "_b").orderBy("start_lsn").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("_local", F.max("end_lsn").over(before))
+    inner = rows.withColumn("_local", F.max("end_lsn").over(before))
     reach = rows.groupBy("tli", "_b").agg(F.max("end_lsn").alias("_reach"))
     earlier = Window.partitionBy("tli").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    carry = reach.select("tli", "_b", F.max("_reach").over(earlier).alias("_carry"))
+    # One row per range and timeline in it.
+    carry = reach.select(F.col("tli").alias("_tli"), F.col("_b").alias("_at"), F.max("_reach").over(earlier).alias("_carry"))
     covered = F.greatest("_local", "_carry", F.lit(start).cast("bigint"))
-    joined = rows.join(carry, ["tli", "_b"])
+    joined = inner.join(bounded_broadcast(carry), null_safe(inner, carry, {"tli": "_tli", "_b": "_at"}))
     gaps = joined.where(F.col("start_lsn") > covered).select(
         "tli", covered.alias("from_lsn"), F.col("start_lsn").alias("to_lsn")
     )
@@ -149,7 +155,8 @@ def summary_gaps(
         tail = rows.groupBy("tli").agg(F.max("end_lsn").alias("from_lsn")).where(F.col("from_lsn") < end)
         gaps = gaps.unionByName(tail.select("tli", "from_lsn", F.lit(end).cast("bigint").alias("to_lsn")))
     if start is not None and end is not None and start < end:
-        bare = everywhere.join(rows.select("tli").distinct(), "tli", "left_anti")
+        inside = rows.select(F.col("tli").alias("_tli")).distinct()
+        bare = everywhere.join(inside, null_safe(everywhere, inside, {"tli": "_tli"}), "left_anti")
         whole = bare.select("tli", F.lit(start).cast("bigint").alias("from_lsn"), F.lit(end).cast("bigint").alias("to_lsn"))
         gaps = gaps.unionByName(whole)
     return gaps

@@ -203,12 +203,23 @@ def restore_plan(
 def chain_members(backups: DataFrame, backup_id: str) -> DataFrame:
     """``(backup_id, seq)`` from the root full to ``backup_id``: at most 64 rows.
 
-    Walks the one wanted chain upwards: a handful of key lookups, each a filter
-    the scan can use, rather than a resolution of all chains.
+    An id names its ancestors (``<full>_<increment>_…``), so one job fetches the
+    whole chain, of any length. The parent pointers decide all the same: a parent
+    that the id does not name is looked up by itself.
     """
+    known: dict = {}
+
+    def fetch(ids: list) -> None:
+        rows = backups.where(F.col("backup_id").isin(ids)).select("backup_id", "type", "parent_backup_id")
+        known.update((r["backup_id"], r) for r in rows.collect())
+
+    parts = backup_id.split("_") if isinstance(backup_id, str) else []
+    fetch(["_".join(parts[: n + 1]) for n in range(len(parts))] or [backup_id])
     chain, current, seen = [], backup_id, set()
     while True:
-        row = backups.where(F.col("backup_id") == current).select("type", "parent_backup_id").first()
+        if current not in known:
+            fetch([current])
+        row = known.get(current)
         if row is None:
             raise LookupError(f"backup {current} not found")
         chain.append(current)

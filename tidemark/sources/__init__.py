@@ -19,6 +19,7 @@ from .objects import (
     stored_digests,
     visible_objects,
 )
+from .ordered import read_sorted, write_sorted
 from .pages import PAGE_BYTES, combine_files, explode_blocks, fetch_pages, scan_incremental_files, scan_page_index
 
 __all__ = [name for name in dir() if not name.startswith("_")]

@@ -17,6 +17,8 @@ from .codecs import DIGEST_FIELDS, digest_function
 TASK_BYTES = 256 << 20
 # What opening a file costs beside its bytes.
 OPEN_BYTES = 64 << 10
+# Names of one directory that one task looks at.
+NAMES_PER_TASK = 50_000
 # Listing rows whose sizes are summed in one window.
 _ROWS_PER_CELL = 100_000
 
@@ -54,10 +56,14 @@ def _tasks(spark: SparkSession, per_core: int = 1) -> int:
 
 
 def _walker(root: str):
-    """``walk(directory, recursive)`` yields ``(path, size, mtime, folder)`` in a task."""
+    """``walk(directory, recursive, share, shares)`` yields ``(path, size, mtime, folder)`` in a task.
+
+    Of a directory in several shares, a task takes the names whose hash falls to
+    its own; on a mounted root only those are looked at.
+    """
     open_store = _open_store()
 
-    def mounted(base, directory, recursive):
+    def mounted(base, directory, recursive, mine):
         # scandir hands out entries one by one, however many a directory has.
         import os
 
@@ -70,6 +76,8 @@ def _walker(root: str):
                 continue
             with entries:
                 for entry in entries:
+                    if folder == directory and not mine(entry.name):
+                        continue
                     path = f"{folder}/{entry.name}" if folder else entry.name
                     try:
                         # A link to a directory is no directory of this tree: it may lead back up.
@@ -86,16 +94,24 @@ def _walker(root: str):
                     except FileNotFoundError:
                         continue
 
-    def walk(directory, recursive):
+    def walk(directory, recursive, share, shares):
+        import os
+        import zlib
+
         from pyarrow import fs
 
+        def mine(name):
+            return shares == 1 or zlib.crc32(os.fsencode(name)) % shares == share
+
         store, base = open_store(root)
         if isinstance(store, fs.LocalFileSystem):
-            yield from mounted(base, directory, recursive)
+            yield from mounted(base, directory, recursive, mine)
             return
         selector = fs.FileSelector(f"{base}/{directory}" if directory else base, allow_not_found=True, recursive=recursive)
         for info in store.get_file_info(selector):
             path = info.path[len(base) + 1 :]
+            if not mine(path[len(directory) + 1 if directory else 0 :].split("/", 1)[0]):
+                continue
             if info.is_file:
                 yield path, info.size, info.mtime_ns // 1000 if info.mtime_ns else None, False
             elif not recursive:
@@ -115,10 +131,10 @@ def _expand(root: str, recursive: bool, skip: tuple[str, ...]):
 
         for batch in batches:
             folder = batch.column("folder")
-            directories = batch.column("path").filter(folder).to_pylist()
+            directories = batch.filter(folder)
             yield batch.filter(pc.invert(folder))
-            for directory in directories:
-                found = (row for row in walk(directory, recursive) if row[0] not in skip)
+            for directory, share, shares in zip(*(directories.column(c).to_pylist() for c in ("path", "share", "shares")), strict=True):
+                found = (row for row in walk(directory, recursive, share, shares) if row[0] not in skip)
                 while part := list(islice(found, 4096)):
                     path, size, mtime, is_folder = zip(*part)
                     yield pa.RecordBatch.from_arrays(
@@ -127,13 +143,46 @@ def _expand(root: str, recursive: bool, skip: tuple[str, ...]):
                             pa.array(size, pa.int64()),
                             pa.array(mtime, pa.int64()).cast(pa.timestamp("us", tz="UTC")),
                             pa.array(is_folder, pa.bool_()),
+                            pa.array([0] * len(part), pa.int32()),
+                            pa.array([1] * len(part), pa.int32()),
                         ],
-                        names=["path", "size", "mod_time", "folder"],
+                        names=["path", "size", "mod_time", "folder", "share", "shares"],
                     )
 
     return expand
 
 
+def _share(root: str, most: int):
+    """Cuts mounted directories of more than ``most`` names into shares; counting names looks at none of them."""
+    open_store = _open_store()
+
+    def share(batches):
+        import os
+
+        import pyarrow as pa
+        from pyarrow import fs
+
+        store, base = open_store(root)
+        local = isinstance(store, fs.LocalFileSystem)
+        for batch in batches:
+            rows, number, total = [], [], []
+            for i, (path, folder) in enumerate(zip(batch.column("path").to_pylist(), batch.column("folder").to_pylist(), strict=True)):
+                parts = 1
+                if local and folder:
+                    try:
+                        with os.scandir(os.path.join(base, path)) as entries:
+                            parts = max(1, -(-sum(1 for _ in entries) // most))
+                    except OSError:
+                        pass
+                rows += [i] * parts
+                number += range(parts)
+                total += [parts] * parts
+            known = batch.select(["path", "size", "mod_time", "folder"]).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*known.columns, pa.array(number, pa.int32()), pa.array(total, pa.int32())], names=[*known.schema.names, "share", "shares"])
+
+    return share
+
+
 def scan_objects(
     spark: SparkSession,
     root: str,
@@ -145,6 +194,7 @@ def scan_objects(
 
     Tasks list the directories, three levels one by one and the rest recursively,
     so neither the driver nor one task holds the listing of a large repository.
+    On a mounted root a directory of very many names is listed by several tasks.
     (Spark's file index would drop empty files and names starting with ``_`` or
     ``.``, which a backup has to account for.) ``inventory`` takes the place of
     the listing where the store publishes one; prefer it for object stores with
@@ -152,14 +202,15 @@ def scan_objects(
     """
     if inventory is not None:
         return visible_objects(inventory.select("path", "size", "mod_time"), prefix, temp_marker)
-    schema = OBJECTS + ", folder BOOLEAN"
+    schema = OBJECTS + ", folder BOOLEAN, share INT, shares INT"
     skip = () if prefix else (naming.WAL_DIR,)
-    rows = spark.createDataFrame([(prefix.strip("/"), None, None, True)], schema).coalesce(1)
+    rows = spark.createDataFrame([(prefix.strip("/"), None, None, True, 0, 1)], schema).coalesce(1)
     for recursive in (False, False, False, True):
+        rows = rows.mapInArrow(_share(root, NAMES_PER_TASK), schema).repartition(_tasks(spark), "path", "share")
         rows = rows.mapInArrow(_expand(root, recursive, skip), schema)
         if not recursive:
             rows = rows.repartition(_tasks(spark), "path")
-    return visible_objects(rows.where(~F.col("folder")).drop("folder"), prefix, temp_marker)
+    return visible_objects(rows.where(~F.col("folder")).drop("folder", "share", "shares"), prefix, temp_marker)
 
 
 def spread_by_bytes(objects: DataFrame, location: str = "path", task_bytes: int = TASK_BYTES) -> DataFrame:

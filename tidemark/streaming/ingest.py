@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
 from ..schemas import REPLICAS
+from ..session import materialize
 from ..sources.store import archive_ingest
 
 log = logging.getLogger(__name__)
@@ -81,23 +82,45 @@ def fan_out_stream(rows: DataFrame, targets: dict[str, str], status_dir: str) ->
 
 
 def progress_stream(
-    files: DataFrame, process: Callable[[DataFrame, int], None], progress_dir: str
+    files: DataFrame, process: Callable[[DataFrame, int], None], progress_dir: str, every: int | None = None, order: list[str] | None = None
 ) -> DataStreamWriter:
     """Process arriving files and record which are done.
 
     Bound the files per step with the source option ``maxFilesPerTrigger``; each
     step adds its own part to the progress table, so recording costs the same at
-    every step. If recording fails, it is given up and the run goes on.
+    every step. With ``every``, files are recorded in groups of that many, counted
+    across the steps in the order they arrived and, within a step, by ``order``
+    (all columns by default): fewer than ``every`` processed files wait under
+    ``<progress_dir>/waiting`` for the step that fills their group. A step that is
+    repeated writes the same again. If recording fails, it is given up and the
+    run goes on.
     """
     enabled = True
 
+    def record(batch: DataFrame, batch_id: int) -> None:
+        if every is None:
+            batch.write.mode("overwrite").parquet(f"{progress_dir}/batch={batch_id}")
+            return
+        spark, columns = batch.sparkSession, list(batch.columns)
+        step = batch.withColumn("_step", F.lit(batch_id).cast("bigint"))
+        earlier = _waiting(spark, progress_dir, batch_id, step)
+        # Equal rows need numbers of their own, so that each is recorded once.
+        rows = materialize(step.unionByName(earlier).withColumn("_row", F.monotonically_increasing_id()))
+        rank = ["_step", *(order or columns), "_row"]
+        wait = rows.count() % every
+        # Fewer than ``every`` rows.
+        last = materialize(rows.orderBy(*[F.desc(c) for c in rank]).limit(wait))
+        full = rows.join(F.broadcast(last.select("_row")), "_row", "left_anti")
+        last.drop("_row").write.mode("overwrite").parquet(f"{progress_dir}/waiting/step={batch_id}")
+        full.select(*columns).write.mode("overwrite").parquet(f"{progress_dir}/batch={batch_id}")
+
     def step(batch: DataFrame, batch_id: int) -> None:
         nonlocal enabled
         process(batch, batch_id)
         if not enabled:
             return
         try:
-            batch.write.mode("overwrite").parquet(f"{progress_dir}/batch={batch_id}")
+            record(batch, batch_id)
         except Exception as exc:  # any storage error: the copy itself must not suffer
             enabled = False
             log.warning("progress recording is off: %s", str(exc).splitlines()[0])
@@ -105,8 +128,19 @@ def progress_stream(
     return files.writeStream.foreachBatch(step)
 
 
+def _waiting(spark: SparkSession, progress_dir: str, batch_id: int, like: DataFrame) -> DataFrame:
+    """Rows the step before left over."""
+    try:
+        return spark.read.schema(like.schema).parquet(f"{progress_dir}/waiting/step={batch_id - 1}")
+    except AnalysisException as exc:
+        if exc.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return like.limit(0)
+
+
 def read_progress(spark: SparkSession, progress_dir: str, schema: str) -> DataFrame:
+    """The recorded files, with the step that recorded each as ``batch``."""
     try:
-        return spark.read.schema(schema).parquet(progress_dir)
+        return spark.read.schema(f"{schema}, batch BIGINT").option("basePath", progress_dir).parquet(f"{progress_dir}/batch=*")
     except AnalysisException:
-        return spark.createDataFrame([], schema)
+        return spark.createDataFrame([], f"{schema}, batch BIGINT")

@@ -6,12 +6,19 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.lsn import int_div
+from ..session import materialize
+
 STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def _processor():
-    """The stateful processor, built as a closure so that tasks need no package import."""
+#: Numbers of one piece of a requirement: a backup's state is spread over pieces.
+PIECE = 1 << 14
+
+
+def _pieces():
+    """The processor of pieces, built as a closure so that tasks need no package import."""
     import numpy as np
     import pandas as pd
     from pyspark.sql.streaming import StatefulProcessor
@@ -31,8 +38,16 @@ def _processor():
         first, last = np.concatenate(([low], hit + 1)), np.concatenate((hit - 1, [high]))
         return [(tli, int(a), int(b)) for a, b in zip(first, last) if a <= b]
 
+    def out(key, status, spans):
+        columns = list(zip(*spans))
+        number = lambda v: pd.array([None if x < 0 else x for x in v], dtype="Int64")
+        return pd.DataFrame({
+            "backup_id": [key[0]] * len(spans), "status": [status] * len(spans),
+            "tli": number(columns[0]), "low": number(columns[1]), "high": number(columns[2]),
+        })
+
     class Outstanding(StatefulProcessor):
-        """Keeps the segment ranges a backup still waits for; they shrink as segments arrive."""
+        """Keeps the ranges a piece still waits for; they shrink as segments arrive. -1 stands for what cannot be named."""
 
         def init(self, handle):
             self.handle = handle
@@ -46,13 +61,17 @@ def _processor():
             self.open.update(tuple(list(c) for c in zip(*spans)))
 
         def handleInitialState(self, key, initialState, timerValues):
-            spans = self.load()
-            for tli, part in initialState.groupby("tli"):
-                spans += ranges_of(tli, part["seg_no"].to_numpy())
-            self.store(spans)
-            deadline = int(initialState["deadline"].iloc[0].timestamp() * 1000)
-            if deadline not in [int(t) for t in self.handle.listTimers()]:
-                self.handle.registerTimer(deadline)
+            spans, named = self.load(), initialState[initialState["seg_no"].notna() & initialState["tli"].notna()]
+            for tli, part in named.groupby("tli"):
+                spans += ranges_of(tli, part["seg_no"].to_numpy().astype("int64"))
+            if len(named) < len(initialState) and not initialState["nothing"].all():
+                spans.append((-1, -1, -1))
+            # A backup that needs nothing is done as soon as the stream knows any time.
+            moment = int(initialState["deadline"].iloc[0].timestamp() * 1000) if spans else 1
+            if spans:
+                self.store(spans)
+            if moment not in [int(t) for t in self.handle.listTimers()]:
+                self.handle.registerTimer(moment)
 
         def handleInputRows(self, key, rows, timerValues):
             spans = self.load()
@@ -67,19 +86,12 @@ def _processor():
                 self.open.clear()
                 for timer in list(self.handle.listTimers()):
                     self.handle.deleteTimer(timer)
-                nothing = pd.array([None], dtype="Int64")
-                yield pd.DataFrame({"backup_id": [key[0]], "status": ["complete"], "tli": nothing, "seg_no": nothing})
+                yield out(key, "complete", [(-1, -1, -1)])
 
         def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
             spans = self.load()
             self.open.clear()
-            for tli, low, high in spans:
-                for start in range(low, high + 1, 10000):
-                    numbers = np.arange(start, min(start + 10000, high + 1))
-                    yield pd.DataFrame({
-                        "backup_id": [key[0]] * len(numbers), "status": ["timeout"] * len(numbers),
-                        "tli": pd.array([tli] * len(numbers), dtype="Int64"), "seg_no": pd.array(numbers, dtype="Int64"),
-                    })
+            yield out(key, "timeout", spans) if spans else out(key, "complete", [(-1, -1, -1)])
 
         def close(self):
             pass
@@ -87,35 +99,84 @@ def _processor():
     return Outstanding()
 
 
-def watch_required(required: DataFrame, arrivals: DataFrame, delay: str = "0 seconds") -> DataFrame:
+def _counter():
+    """Counts the pieces of a backup that are complete; the last one completes the backup."""
+    import pandas as pd
+    from pyspark.sql.streaming import StatefulProcessor
+
+    class Remaining(StatefulProcessor):
+        def init(self, handle):
+            self.left = handle.getValueState("left", "n BIGINT")
+
+        def handleInitialState(self, key, initialState, timerValues):
+            self.left.update((int(initialState["pieces"].iloc[0]),))
+
+        def handleInputRows(self, key, rows, timerValues):
+            value = self.left.get()
+            left = 0 if value is None else value[0]
+            for batch in rows:
+                done = int((batch["status"] == "complete").sum())
+                if done:
+                    left -= done
+                    self.left.update((left,))
+                missed = batch[batch["status"] == "timeout"]
+                if len(missed):
+                    yield missed[["backup_id", "status", "tli", "low", "high"]]
+                if done and not left:
+                    nothing = pd.array([None], dtype="Int64")
+                    yield pd.DataFrame({"backup_id": [key[0]], "status": ["complete"], "tli": nothing, "low": nothing, "high": nothing})
+
+        def close(self):
+            pass
+
+    return Remaining()
+
+
+def watch_required(required: DataFrame, arrivals: DataFrame, delay: str = "0 seconds", backups: DataFrame | None = None) -> DataFrame:
     """Stream of ``(backup_id, status, tli, seg_no)``.
 
     One ``complete`` row once every required segment arrived by the deadline;
     otherwise, when event time passes the deadline, one ``timeout`` row per
     missing segment. ``required`` is a table ``(backup_id, tli, seg_no,
-    deadline)``, ``arrivals`` a stream ``(tli, seg_no, ts)``. A backup that needs
-    nothing has no row in ``required`` and is complete from the start.
+    deadline)``, ``arrivals`` a stream ``(tli, seg_no, ts)``. A required segment
+    without a number never arrives. ``backups`` ``(backup_id)`` are all that are
+    watched: one that needs nothing is complete as soon as time moves.
+
+    The state of a backup is kept in pieces of at most ``PIECE`` numbers, each
+    with a timer of its own, so a backup of any size is spread over the tasks. A
+    second, small state per backup counts its pieces. Missing segments travel as
+    ranges and are written out last.
     """
     spark = arrivals.sparkSession
     if spark.conf.get(STATE_STORE, "") != ROCKSDB:
         spark.conf.set(STATE_STORE, ROCKSDB)
     id_type = required.schema["backup_id"].dataType
-    schema = T.StructType([
-        T.StructField("backup_id", id_type),
-        T.StructField("status", T.StringType()),
-        T.StructField("tli", T.LongType()),
-        T.StructField("seg_no", T.LongType()),
-    ])
-    timed = arrivals.select("tli", "seg_no", "ts").withWatermark("ts", delay)
-    wanted = required.select("backup_id", "tli", "seg_no", "deadline")
+    number = lambda name: T.StructField(name, T.LongType())
+    schema = T.StructType([T.StructField("backup_id", id_type), T.StructField("status", T.StringType()), number("tli"), number("low"), number("high")])
+    # Arrivals nobody waits for move time as well: a condition that is not
+    # deterministic keeps the filters of the join from going below the watermark.
+    timed = arrivals.select("tli", "seg_no", "ts").withWatermark("ts", delay).where(F.spark_partition_id() >= 0)
+    piece = F.coalesce(int_div("seg_no", PIECE), F.lit(-1)).alias("piece")
+    wanted = required.select("backup_id", F.col("tli").cast("bigint").alias("tli"), "seg_no", "deadline", piece, F.lit(False).alias("nothing"))
+    if backups is not None:
+        none, epoch = F.lit(None).cast("bigint"), F.timestamp_millis(F.lit(1))
+        idle = backups.select("backup_id").distinct().join(required.select("backup_id").distinct(), "backup_id", "left_anti")
+        wanted = wanted.unionByName(idle.select(
+            F.col("backup_id").cast(id_type).alias("backup_id"), none.alias("tli"), none.alias("seg_no"), epoch.alias("deadline"), F.lit(-1).cast("bigint").alias("piece"), F.lit(True).alias("nothing")
+        ))
+    wanted = materialize(wanted)  # read by the join and by both states
     hits = (
-        timed.join(wanted, ["tli", "seg_no"])
+        timed.join(wanted.drop("nothing"), ["tli", "seg_no"])
         .where(F.col("ts") <= F.col("deadline"))
-        .select("backup_id", "tli", "seg_no", "ts")
+        .select("backup_id", "piece", "tli", "seg_no", "ts")
     )
-    return hits.groupBy("backup_id").transformWithStateInPandas(
-        _processor(), schema, "Append", "EventTime", initialState=wanted.groupBy("backup_id")
+    pieces = hits.groupBy("backup_id", "piece").transformWithStateInPandas(
+        _pieces(), schema, "Append", "EventTime", initialState=wanted.groupBy("backup_id", "piece")
     )
+    counts = wanted.groupBy("backup_id").agg(F.count_distinct("piece").alias("pieces"))
+    told = pieces.groupBy("backup_id").transformWithStateInPandas(_counter(), schema, "Append", "None", initialState=counts.groupBy("backup_id"))
+    numbers = F.when(F.col("low").isNotNull(), F.sequence("low", "high")).otherwise(F.array(F.lit(None).cast("bigint")))
+    return told.select("backup_id", "status", "tli", F.explode(numbers).alias("seg_no"))
 
 
 def archive_lag(markers: DataFrame, arrivals: DataFrame, timeout: str, delay: str = "1 minute") -> DataFrame:

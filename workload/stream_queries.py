@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidemark import functions as fn
 from tidemark.session import scratch_path
 from tidemark.sources.store import read_archive
-from tidemark.streaming import archive_lag, fan_out_stream, ingest_stream, progress_stream, replica_liveness, watch_required
+from tidemark.streaming import archive_lag, fan_out_stream, ingest_stream, progress_stream, read_progress, replica_liveness, watch_required
 
 from .registry import query
 from .views import BASE_SEG, S, _seg, with_views
@@ -37,14 +37,22 @@ def _to_table(stream, v: S):
     return v.spark.read.schema(stream.schema).parquet(path)
 
 
-def _in_turns(v: S, turns: int):
-    """Yields ``turns`` times a stream over the events that arrived so far, oldest first, and the folder of its progress."""
-    path, progress, k = scratch_path(v.spark, "arriving"), scratch_path(v.spark, "stream"), F.col("event_id")
-    top = v.table("events").agg(F.max(k) + 1).scalar()
+def _in_turns(v: S, turns: int, table: str = "events", key: str = "event_id", schema: str = _EVENTS):
+    """Yields ``turns`` times a stream over the rows that arrived so far, by rising key, and the folder of its progress."""
+    path, progress, k = scratch_path(v.spark, "arriving"), scratch_path(v.spark, "stream"), F.col(key)
+    top = v.table(table).agg(F.max(k) + 1).scalar()
     for turn in range(turns):
-        part = v.table("events").where(k * turns >= top * turn).where(k * turns < top * (turn + 1))
+        part = v.table(table).where(k * turns >= top * turn).where(k * turns < top * (turn + 1))
         part.write.mode("append").parquet(path)
-        yield v.spark.readStream.schema(_EVENTS).parquet(path), progress
+        yield v.spark.readStream.schema(schema).parquet(path), progress
+
+
+def _until_far(v: S, stream, other: int = -1):
+    """The stream and one last row, ten years on, that lets event time pass all deadlines; ``other`` in its other columns matches nothing."""
+    path = scratch_path(v.spark, "far")
+    end = v.table("events").agg(F.max("ts").cast("timestamp").alias("ts")).select((F.col("ts") + F.expr("INTERVAL 10 YEARS")).alias("ts"))
+    end.select(*[F.col(f.name) if f.name == "ts" else F.lit(other).cast(f.dataType).alias(f.name) for f in stream.schema.fields]).write.parquet(path)
+    return stream.unionByName(v.spark.readStream.schema(stream.schema).parquet(path))
 
 
 @query(with_views(
@@ -65,45 +73,40 @@ def stream_ingest(v: S):
 
 _LAG = """SELECT event_id AS marker_id, ts AS written_at,
                  CASE WHEN event_id % 30 <> 0 AND event_id % 7 <= 5 THEN ts + (event_id % 7) * INTERVAL 1 MINUTE END AS seen_at,
-                 event_id % 30 <> 0 AND event_id % 7 <= 5 AS reached
-          FROM events WHERE event_id % 10 = 0 AND ts <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)"""
+                 event_id % 30 <> 0 AND event_id % 7 <= 5 AS reached FROM events"""
 
 
 @query(_LAG)
 def stream_archive_lag(v: S):
+    """Every event is a marker; one in 30 never arrives, one in 7 too late."""
     i = F.col("event_id")
     key = [F.lit(1).cast("bigint").alias("tli"), fn.segment_name(F.lit(1), i + BASE_SEG).alias("name")]
-    markers = _stream(v).where(i % 10 == 0).select(i.alias("marker_id"), *key, "ts")
+    markers = _until_far(v, _stream(v).select(i.alias("marker_id"), *key, "ts"))
     later = F.col("ts") + F.make_dt_interval(mins=(i % 7).cast("int"))
-    arrivals = _stream(v).where((i % 10 == 0) & (i % 30 != 0)).select(*key, later.alias("ts"))
-    out = _to_table(archive_lag(markers, arrivals, "5 minutes"), v)
-    # The last markers stay open until event time moves on; the day before the end is left out.
-    end = v.table("events").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 1 DAY")).alias("t")).scalar()
-    return out.where(F.col("written_at") <= end)
+    arrivals = _until_far(v, _stream(v).where(i % 30 != 0).select(*key, later.alias("ts")), -2)
+    return _to_table(archive_lag(markers, arrivals, "5 minutes"), v)
 
 
 _WATCH = f"""WITH req AS (SELECT b, seg_no, d FROM (SELECT event_id // 40 AS b, event_id + {BASE_SEG} AS seg_no, max(ts) OVER (PARTITION BY event_id // 40) + INTERVAL 10 MINUTE AS d FROM events)),
      arr AS (SELECT event_id + {BASE_SEG} AS seg_no, ts FROM events WHERE event_id % 97 <> 5),
-     miss AS (SELECT b, seg_no, d FROM req r WHERE NOT EXISTS (SELECT 1 FROM arr a WHERE a.seg_no = r.seg_no AND a.ts <= r.d)),
-     closed AS (SELECT * FROM miss WHERE d <= (SELECT max(ts) - INTERVAL 1 HOUR FROM events))
-     SELECT b AS backup_id, 'timeout' AS status, CAST(1 AS BIGINT) AS tli, seg_no FROM closed
-     UNION ALL SELECT DISTINCT b, 'complete', NULL, NULL FROM req WHERE b NOT IN (SELECT b FROM miss)"""
+     miss AS (SELECT b, seg_no FROM req r WHERE NOT EXISTS (SELECT 1 FROM arr a WHERE a.seg_no = r.seg_no AND a.ts <= r.d))
+     SELECT b AS backup_id, 'timeout' AS status, CAST(1 AS BIGINT) AS tli, seg_no FROM miss
+     UNION ALL SELECT DISTINCT b, 'complete', NULL, NULL FROM req WHERE b NOT IN (SELECT b FROM miss)
+     UNION ALL SELECT -1 - n_nationkey, 'complete', NULL, NULL FROM nation"""
 
 
 @query(_WATCH)
 def stream_required_segments(v: S):
-    """Groups of 40 segments; a segment in 97 never arrives."""
+    """Groups of 40 segments, of which one in 97 never arrives, and groups that need none."""
     i = F.col("event_id")
     events = v.table("events").withColumn("ts", F.col("ts").cast("timestamp"))
     group = fn.int_div(i, 40)
     deadlines = events.groupBy(group.alias("backup_id")).agg((F.max("ts") + F.expr("INTERVAL 10 MINUTES")).alias("deadline"))
     required = events.select(group.alias("backup_id"), F.lit(1).cast("bigint").alias("tli"), (i + BASE_SEG).alias("seg_no")).join(deadlines, "backup_id")
     arrivals = _stream(v).where(i % 97 != 5).select(F.lit(1).cast("bigint").alias("tli"), (i + BASE_SEG).alias("seg_no"), "ts")
-    out = _to_table(watch_required(required, arrivals), v)
-    end = events.agg((F.max("ts") - F.expr("INTERVAL 1 HOUR")).alias("t")).scalar()
-    late = required.where(F.col("deadline") > end).select("backup_id").distinct()
-    still_open = out.where(F.col("status") == "timeout").join(late, "backup_id", "left_semi").select("backup_id", "seg_no")
-    return out.join(still_open, ["backup_id", "seg_no"], "left_anti").select("backup_id", "status", "tli", "seg_no")
+    idle = v.table("nation").select((-1 - F.col("n_nationkey").cast("bigint")).alias("backup_id"))
+    backups = required.select("backup_id").unionByName(idle)
+    return _to_table(watch_required(required, _until_far(v, arrivals), backups=backups), v)
 
 
 _SAMPLE = """SELECT user_id AS host, ts, event_id % 4 <> 0 AS in_recovery, CASE WHEN event_id % 5 <> 0 THEN '0/' || event_id ELSE '' END AS replay_lsn,
@@ -162,3 +165,18 @@ def stream_progress(v: S):
     _drain(progress_stream(files.select("doc_id", "source", "n_chars"), copy, f"{path}/progress"), v)
     progress = v.spark.read.parquet(f"{path}/progress")
     return progress.groupBy("source").agg(F.count(F.lit(1)).alias("files"), F.sum("n_chars").alias("chars"))
+
+
+_EVERY, _TURNS = 37, 5
+
+
+@query(f"""WITH d AS (SELECT doc_id, row_number() OVER (ORDER BY doc_id) AS p, doc_id * {_TURNS} // (SELECT max(doc_id) + 1 FROM documents) AS turn FROM documents),
+                t AS (SELECT turn, max(p) // {_EVERY} * {_EVERY} AS full FROM d GROUP BY turn)
+           SELECT doc_id, CAST(min(t.turn) AS BIGINT) AS batch FROM d JOIN t ON d.p <= t.full GROUP BY doc_id""")
+def stream_progress_groups(v: S):
+    """Five steps whose files are recorded 37 at a time; those of the last, unfinished group are not."""
+    path = scratch_path(v.spark, "progress")
+    for files, progress in _in_turns(v, _TURNS, "documents", "doc_id", "doc_id BIGINT, source STRING, n_chars BIGINT"):
+        done = lambda batch, batch_id: batch.write.mode("overwrite").parquet(f"{path}/copied/batch={batch_id}")
+        _drain(progress_stream(files, done, f"{path}/progress", every=_EVERY, order=["doc_id"]), v, progress)
+    return read_progress(v.spark, f"{path}/progress", "doc_id BIGINT").select("doc_id", "batch")
