@@ -208,8 +208,6 @@ def scan_objects(
     for recursive in (False, False, False, True):
         rows = rows.mapInArrow(_share(root, NAMES_PER_TASK), schema).repartition(_tasks(spark), "path", "share")
         rows = rows.mapInArrow(_expand(root, recursive, skip), schema)
-        if not recursive:
-            rows = rows.repartition(_tasks(spark), "path")
     return visible_objects(rows.where(~F.col("folder")).drop("folder", "share", "shares"), prefix, temp_marker)
 
 

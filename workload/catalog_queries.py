@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 from tidemark import functions as fn
 from tidemark import operators as op
 from tidemark.plans import plan_prune, restore_plan, verify
-from tidemark.sources import decode_sidecars, manifest_files, manifest_headers, scan_checkpoints, scan_manifests, scan_sidecars, wal_ranges
+from tidemark.session import scratch_path
+from tidemark.sources import (
+    decode_sidecars,
+    manifest_files,
+    manifest_headers,
+    read_sorted,
+    scan_checkpoints,
+    scan_manifests,
+    scan_sidecars,
+    wal_ranges,
+    write_sorted,
+)
 
 from .registry import query
 from .trees import TREE_SQL, documents_tree
@@ -490,6 +501,27 @@ def replica_status(v: S):
     ))
 
 
+# --- sorted outputs -----------------------------------------------------------
+
+
+def _through_file(v: S, rows, order):
+    path = scratch_path(v.spark, "sorted")
+    write_sorted(rows, path, order)
+    return read_sorted(v.spark, path)
+
+
+@query(with_views("SELECT row_number() OVER (ORDER BY stop_time, backup_id) - 1 AS position, backup_id, type, stop_time FROM v_backups", "v_backups"))
+def sorted_catalog(v: S):
+    """The catalog oldest first, written and read back with the positions of its rows."""
+    return _through_file(v, v.backups().select("backup_id", "type", "stop_time"), ["stop_time", "backup_id"])
+
+
+@query(with_views("SELECT row_number() OVER (ORDER BY rel, fork, block_no) - 1 AS position, rel, fork, block_no FROM (SELECT DISTINCT rel, fork, block_no FROM v_changed)", "v_changed"))
+def sorted_blocks(v: S):
+    """Changed blocks by file, fork and number, written and read back with the positions of their rows."""
+    return _through_file(v, v.changed().select("rel", "fork", "block_no").distinct(), ["rel", "fork", "block_no"])
+
+
 # --- verification of a repository on disk ------------------------------------
 
 

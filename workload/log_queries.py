@@ -550,6 +550,16 @@ def summary_gaps_bounded(v: S):
     return op.summary_gaps(v.summaries(), 120, 2000000, bucket=1000)
 
 
+@query(with_views(
+    """, n AS (SELECT CASE WHEN tli <> 2 THEN tli END AS tli, start_lsn, end_lsn FROM v_summaries)
+       SELECT tli, reach AS from_lsn, start_lsn AS to_lsn FROM (SELECT *, max(end_lsn) OVER (PARTITION BY tli ORDER BY start_lsn
+       ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM n) WHERE start_lsn > reach""", "v_summaries"))
+def summary_gaps_unknown_timeline(v: S):
+    """Summaries without a timeline are a timeline of their own."""
+    unnamed = v.summaries().withColumn("tli", F.when(F.col("tli") != 2, F.col("tli")))
+    return op.summary_gaps(unnamed, bucket=1000)
+
+
 def _fold(expr: str, words: str) -> str:
     return f"list_reduce(list_prepend({expr}, {words}), lambda s, w: (xor(s, w) * 16777619 % 4294967296).xor(xor(s, w) // 131072))"
 
