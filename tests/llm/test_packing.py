@@ -4,7 +4,7 @@ import zlib
 import numpy as np
 import pytest
 
-from tidemark.llm import packing
+from tidemark.llm import packing, text
 from tidemark.llm.queries import tokenizer_path
 
 TEXTS = [
@@ -97,3 +97,19 @@ def test_bounds_never_exceed_the_optimum(seed):
 def test_bound_beats_the_volume():
     assert packing.bound(np.array([51]), np.array([10]), 100) == 10
     assert packing.bound(np.array([34]), np.array([6]), 100) == 3
+
+
+def test_memo_of_two_generations_gives_the_same_ids(monkeypatch):
+    texts = [" ".join(f"w{i * j % 97}, Word{i}." for j in range(60)).encode() for i in range(120)]
+    whole = list(packing.WordIds(tokenizer_path()).of(texts))
+    monkeypatch.setattr(packing, "_MEMO_BYTES", 4000)
+    small = packing.WordIds(tokenizer_path())
+    got = [x for lo in range(0, len(texts), 7) for x in small.of(texts[lo : lo + 7])]
+    assert got == whole and small.older
+
+
+def test_other_work_drops_what_packing_kept():
+    packing.encoder(tokenizer_path())
+    assert text.memo("packing")
+    text.memo("quality")
+    assert not text.memo("packing")

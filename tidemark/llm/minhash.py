@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from ..joins import bounded_broadcast
 from ..session import materialize
 from .graph import components
-from .text import batch, hashes, mix, pair, stretches, utf8, words
+from .text import batch, hashes, memo, mix, pair, stretches, utf8, words
 
 BANDS, ROWS, BITS = 48, 5, 4
 HUB_ROUNDS = 2
@@ -100,6 +100,7 @@ def signatures(docs: DataFrame, width: int, bands: int, rows: int, bits: int) ->
     schema = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), *[(x, pa.int64()) for x in names], ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
+        memo("minhash")
         flips, factors = _permutations(bands * rows)
         step = max(32, 200_000 // (bands * rows))
         for table in (x.slice(lo, step) for x in batches for lo in range(0, x.num_rows, step)):
@@ -161,6 +162,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
     left, right = (needed.select(F.col("doc_id").alias(x), F.col("text").alias(f"text_{x}")) for x in "ab")
 
     def run(batches):
+        memo("minhash")
         for table in batches:
             sides = zip(shingle_sets(table.column("text_a"), width), shingle_sets(table.column("text_b"), width), strict=True)
             same = []

@@ -27,12 +27,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .text import batch
+from .text import batch, memo
 
 CAPACITY = 4096
 END_ID = 1
 PIECES_PER_PARTITION = 100_000
-_MEMO_WORDS = 400_000
+#: Bytes of words and ids in a generation of a worker's memo, each counted with what keeping it takes.
+_MEMO_BYTES, _ENTRY_BYTES = 100 << 20, 200
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PARTS = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
@@ -45,7 +46,9 @@ class WordIds:
     The tokenizer drops white space and never joins across it, so the ids of a
     text are those of its words in a row. The ids of a word are kept; a word of
     ASCII letters, digits and symbols (no apostrophe, no special token) splits
-    further into runs that the tokenizer treats alone.
+    further into runs that the tokenizer treats alone. When the words kept
+    exceed their bytes they become the older generation: of it, those met again
+    move to the new one, and the rest go when that is full as well.
     """
 
     def __init__(self, path: str):
@@ -53,11 +56,17 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
+        self.older: dict[bytes, bytes] = {}
+        self.held = 0
+
+    def keep(self, items: dict[bytes, bytes]) -> None:
+        self.known.update(items)
+        self.held += sum(map(len, items)) + sum(map(len, items.values())) + _ENTRY_BYTES * len(items)
 
     def encode(self, items: list[bytes]) -> None:
         if items:
             found = self.tokenizer.encode_batch_fast([x.decode() for x in items], add_special_tokens=False)
-            self.known.update((x, packed(f"<{len(y.ids)}I", *y.ids)) for x, y in zip(items, found, strict=True))
+            self.keep({x: packed(f"<{len(y.ids)}I", *y.ids) for x, y in zip(items, found, strict=True)})
 
     def learn(self, items: set[bytes]) -> None:
         split, ended, direct = {}, [], set()
@@ -73,18 +82,22 @@ class WordIds:
             else:
                 direct.add(x)
         known = self.known
-        self.encode([*direct.difference(known), b".", b","])
+        direct = direct.union((b".", b",")).difference(known)
+        self.keep(again := {x: self.older[x] for x in direct if x in self.older})
+        self.encode([x for x in direct if x not in again])
         stops = {x: known[x] for x in (b".", b",")}
-        known.update((x, known[x[:-1]] + stops[x[-1:]]) for x in ended)
-        known.update((x, b"".join([known[p] for p in parts])) for x, parts in split.items())
+        self.keep({x: known[x[:-1]] + stops[x[-1:]] for x in ended})
+        self.keep({x: b"".join([known[p] for p in parts]) for x, parts in split.items()})
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [plain(x).split(b" ") for x in texts]
+        if self.held > _MEMO_BYTES:
+            self.known, self.older, self.held = {}, self.known, 0
         new = set().union(*split).difference(self.known) if split else set()
+        if self.older:
+            self.keep(again := {x: self.older[x] for x in new if x in self.older})
+            new.difference_update(again)
         if new:
-            if len(self.known) + len(new) > _MEMO_WORDS:
-                self.known.clear()
-                new = set().union(*split)
             self.learn(new)
         get = self.known.__getitem__
         for x in split:
@@ -102,14 +115,12 @@ def plain(text: bytes) -> bytes:
     return text.replace(b"\n", b" ")
 
 
-_encoders: dict[str, WordIds] = {}
-
-
 def encoder(path: str) -> WordIds:
     """One per Python worker, which serves many tasks."""
-    if path not in _encoders:
-        _encoders[path] = WordIds(path)
-    return _encoders[path]
+    encoders = memo("packing")
+    if path not in encoders:
+        encoders[path] = WordIds(path)
+    return encoders[path]
 
 
 def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:

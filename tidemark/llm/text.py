@@ -7,6 +7,7 @@ the working memory follows ``STRETCH`` and not the size of an Arrow batch.
 
 from __future__ import annotations
 
+import gc
 import zlib
 from collections.abc import Iterator
 
@@ -24,6 +25,22 @@ _BYTE = np.random.default_rng(20240229).integers(1, 1 << 63, 256, dtype=np.uint6
 _BASE = 0x9E3779B97F4A7C15
 _SEGMENT = 1 << 20
 _powers: list[np.ndarray] = []
+_memos: dict[str, dict] = {}
+
+
+def memo(owner: str) -> dict:
+    """What one operator keeps in a Python worker from task to task.
+
+    Workers serve all stages of an application, so taking a memo, or beginning
+    another operator's work, gives back what the others have kept.
+    """
+    others = [name for name in _memos if name != owner]
+    for name in others:
+        _memos.pop(name).clear()
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+    return _memos.setdefault(owner, {})
 
 
 def powers() -> tuple[np.ndarray, np.ndarray]:
