@@ -39,3 +39,10 @@ def test_cuts_cover_the_text_and_survive_a_shift():
     lengths = np.diff([0, *ends])
     assert ends[-1] == len(text) and lengths[:-1].min() >= chunking.LEAST and lengths.max() <= chunking.MOST
     assert chunking.likeness(chunking.chunks(text[:20_000]), chunking.chunks(b"inserted " + text[:20_000])) > 0.97
+
+
+def test_least_and_greatest_ids(documents):
+    ids = [-(2**63), 2**63 - 1, 0, None]
+    rows = [(i, f"text of {i} " * 50) for i in ids]
+    got = {r["doc_id"]: r for r in chunking.fingerprints(documents(rows)).collect()}
+    assert set(got) == set(ids) and all(got[i]["n_chars"] == len(t) for i, t in rows)

@@ -105,3 +105,9 @@ def test_components_of_paths_stars_and_circles(spark):
     for nodes in (range(100, 161), range(500, 700), range(700, 709)):
         nodes = [order[i] for i in nodes]
         assert {got[i] for i in nodes} == {min(nodes)}
+
+
+def test_least_and_greatest_ids(documents):
+    rows = [(i, "a b c d e f g h") for i in (-(2**63), 2**63 - 1, 0)] + [(5, "other words than those")]
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(rows)).collect()}
+    assert got == {-(2**63): -(2**63), 2**63 - 1: -(2**63), 0: -(2**63), 5: 5}

@@ -53,3 +53,16 @@ def test_mix_meets_targets_and_reruns_agree(documents, odd):
 def test_empty_table_and_texts(documents):
     assert mixing.mix(documents([])).count() == 0
     assert [r["taken"] for r in mixing.mix(documents([(1, None), (2, " ")])).collect()] == [0, 0]
+
+
+def test_a_source_named_like_no_source(documents):
+    rows = [(i, "word " * 40, "en", ("\x00null", None, "", "a")[i % 4]) for i in range(80)]
+    got = mixing.mix(documents(rows)).collect()
+    assert len(got) == 80 and {r["source"] for r in got} == {"\x00null", None, "", "a"}
+    assert all(r["source_size"] == 800 for r in got)
+
+
+def test_very_many_sources_take_no_longer_than_their_rows(documents):
+    rows = [(i, "w " * 5, "en", f"s{i}") for i in range(3000)]
+    got = mixing.mix(documents(rows)).collect()
+    assert len(got) == 3000 and all(r["taken"] <= 3 * r["size"] for r in got)

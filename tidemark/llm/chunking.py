@@ -142,10 +142,10 @@ def ranges(keys: DataFrame) -> tuple[Ranges, dict[tuple[int | None, int], list[i
             yield pa.RecordBatch.from_arrays([pa.array(order.of(doc_id, missing, crc)), rows.column("doc_id"), rows.column("crc")], names=["range", "doc_id", "crc"])
 
     placed = keys.mapInArrow(place, "range bigint, doc_id bigint, crc bigint")
-    rows = placed.groupBy("range").agg(F.min(F.struct(-F.col("doc_id"), "crc")).alias("f")).orderBy("range").collect()
+    rows = placed.groupBy("range").agg(F.min(F.struct(F.bitwise_not("doc_id"), "crc")).alias("f")).orderBy("range").collect()
     firsts: dict[tuple[int | None, int], list[int]] = {}
     for k, r in enumerate(rows):
-        key = (None if r["f"][0] is None else -r["f"][0], r["f"]["crc"])
+        key = (None if r["f"][0] is None else ~r["f"][0], r["f"]["crc"])
         firsts.setdefault(key, []).append(rows[k - 1]["range"])
     return order, firsts
 

@@ -207,7 +207,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
             if buckets.isEmpty():
                 break
         if turn < HUB_ROUNDS:
-            hubs = buckets.groupBy("key").agg(F.max_by(F.struct(F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")), F.struct("weight", -F.col("rep"))).alias("h")).select("key", "h.*")
+            hubs = buckets.groupBy("key").agg(F.max_by(F.struct(F.col("rep").alias("hub"), F.col("comp").alias("hub_comp")), F.struct("weight", F.bitwise_not("rep"))).alias("h")).select("key", "h.*")
             facing = materialize(buckets.join(hubs, "key").where("rep <> hub"))
             pairs = facing.where("comp <> hub_comp").select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
             x, y = (members.select(F.col("rep").alias(side), F.struct("n", *names).alias(f"of_{side}")) for side in "ab")

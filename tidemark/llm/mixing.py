@@ -130,7 +130,9 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
     rows = rows.withColumn("shard", F.pmod(F.xxhash64("doc_id", "stamp", F.lit(seed)), F.lit(shards)))
     found = rows.groupBy("source", "shard").agg(F.sum("size").alias("words")).collect()
     names = sorted({r["source"] for r in found}, key=lambda x: (x is None, (x or "").encode("utf-8", "surrogatepass")))
-    by_shard = {name: sorted((r["shard"], r["words"]) for r in found if r["source"] == name) for name in names}
+    by_shard = {name: [] for name in names}
+    for r in sorted(found, key=lambda r: r["shard"]):
+        by_shard[r["source"]].append((r["shard"], r["words"]))
     sizes = [sum(n for _, n in by_shard[x]) for x in names]
     wanted = targets(sizes, [weights[i % len(weights)] for i in range(len(names))], repeats)
     room = [[repeats * n // block for _, n in by_shard[x]] for x in names]
@@ -149,14 +151,16 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOC
         size = table.column("size").to_numpy()
         n, quota = table.column("words")[0].as_py(), table.column("quota")[0].as_py()
         ends = np.cumsum(size)
-        of = taken_before(n, quota, block, zlib.crc32(f"{seed}/{key[0]}/{key[1]}".encode()))
+        label = "\x00null" if key[0].as_py() else key[1]
+        of = taken_before(n, quota, block, zlib.crc32(f"{seed}/{label}/{key[2]}".encode()))
         taken = of(ends) - of(ends - size)
         return pa.table({**{x: table.column(x) for x in schema.names[:-1]}, "taken": pa.array(taken)}, schema=schema)
 
     # Null-safe on source; the plan is a row per source and shard and joins by shuffle or broadcast as Spark sees fit.
     same = rows["source"].eqNullSafe(quotas["source"]) & (rows["shard"] == quotas["shard"])
     placed = rows.join(quotas, same).select(rows["doc_id"], rows["source"], "stamp", "size", rows["shard"], "words", "quota", "source_size", "target", F.xxhash64("doc_id", F.lit(seed)).alias("mark"))
-    return placed.groupBy(F.coalesce(F.col("source"), F.lit("\x00null")).alias("s"), "shard").applyInArrow(run, "doc_id bigint, source string, stamp bigint, size bigint, source_size bigint, target double, taken bigint")
+    group = [F.col("source").isNull().alias("none"), F.coalesce("source", F.lit("")).alias("name"), "shard"]
+    return placed.groupBy(*group).applyInArrow(run, "doc_id bigint, source string, stamp bigint, size bigint, source_size bigint, target double, taken bigint")
 
 
 def apply_mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, block: int = BLOCK, repeats: int = REPEATS, seed: int = 0) -> DataFrame:
