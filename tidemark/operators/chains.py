@@ -37,7 +37,8 @@ def resolve_chains(backups: DataFrame, max_depth: int | None = None) -> DataFram
 
     Many backups may point at one parent. The parent side has one row per id, so
     the probing side is the only one that can be skewed, and it is the side a
-    left join lets AQE split.
+    left join lets AQE split. Ids are unique, as the directories of a repository
+    are; of a repeated id each row would count as a parent.
 
     ``status`` is ok, missing_parent, no_parent, cycle or too_deep; ``chain_id``
     is NULL unless a root was found. With ``max_depth`` a chain of more backups
