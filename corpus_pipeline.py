@@ -7,6 +7,8 @@ return the columns of documents.
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import DataFrame, SparkSession
 
 from tidemark.llm import chaining, minhash, mixing, packing, quality
@@ -14,26 +16,47 @@ from tidemark.llm.queries import tokenizer_path
 from tidemark.session import scratch_path
 
 
+#: Rows and bytes of texts that pass to and from a Python worker at once.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
+
+
+def stage(fn):
+    """A stage with batches bounded by bytes, so that long texts take no more memory than short ones."""
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        for name, value in BATCH.items():
+            spark.conf.set(name, value)
+        return fn(spark, docs, sf_dir)
+
+    return run
+
+
+@stage
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the rules and lie in the perplexity band of their language."""
     return quality.keep_good(docs)
 
 
+@stage
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares four fifths of its five-word shingles, the one with the smallest id."""
     return minhash.keep_first(docs)
 
 
+@stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words and more that an earlier document has."""
     return chaining.without_repeats(docs)
 
 
+@stage
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; sources by code point weigh 5, 2, 1, repeating."""
     return mixing.apply_mix(docs)
 
 
+@stage
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 4096 tokens with their place in a sequence."""
     return packing.pack_documents(docs, tokenizer_path())
@@ -54,8 +77,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     root = scratch_path(spark, "pipeline")
-    for number, (name, stage) in enumerate(STAGES):
+    for number, (name, step) in enumerate(STAGES):
         path = f"{root}/{number}-{name}"
-        stage(spark, docs, sf_dir).write.parquet(path)
+        step(spark, docs, sf_dir).write.parquet(path)
         docs = spark.read.parquet(path)
     return docs
