@@ -118,6 +118,15 @@ def test_a_full_generation_that_nobody_closed_is_closed_later(spark, workdir):
     assert len(stored(spark, archive)) == 6 and glob.glob(f"{archive}/tli=1/range=*/gen=1/*.parquet")
 
 
+def test_a_range_with_a_lost_file_is_refused(spark, workdir, monkeypatch):
+    monkeypatch.setattr(arc, "_LISTINGS", 3)
+    for k in range(3):
+        settle(f"{workdir}/a", [(names(3)[k], "a", 1)], str(k))
+    os.remove(f"{workdir}/a/tli=1/range=r000000/gen=0/00000001.parquet")
+    with pytest.raises(OSError, match="is missing"):
+        settle(f"{workdir}/a", [(names(3)[1], "b", 1)], "x")
+
+
 def test_replays_and_repeated_tasks_change_nothing(spark, workdir):
     archive, rows = f"{workdir}/a", [(1, n, "a", 1) for n in names(5)]
     first = push(spark, archive, "7", rows)

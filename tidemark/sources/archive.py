@@ -41,6 +41,8 @@ Claim = Callable[[str, bytes], bool]
 COMPACT_AFTER = 64
 #: Names that are no segment names are spread over so many ranges.
 OTHER_RANGES = 1024
+#: Listings with a gap before a range counts as damaged.
+_LISTINGS = 500
 NO_TIMELINE = "__HIVE_DEFAULT_PARTITION__"
 
 SCHEMA = "name STRING, sha256 STRING, size BIGINT, batch STRING, tli BIGINT, range STRING, gen INT"
@@ -115,17 +117,21 @@ def _range_files(archive: str, claim: Claim | None):
 
 def _newest(files, folder: str) -> tuple[int, int]:
     """(newest generation, files in it); (0, 0) for a range that is not there."""
-    while True:
+    import time
+
+    for _ in range(_LISTINGS):
         generations = sorted((int(n[4:]) for n in files.names(folder) if n.startswith("gen=")), reverse=True)
         for gen in generations:
             versions = sorted(int(n[:8]) for n in files.names(f"{folder}/gen={gen}") if n.endswith(".parquet"))
             # A listing made while files appear may miss one; then it has a gap.
             if versions != list(range(len(versions))):
+                time.sleep(0.01)
                 break
             if versions:
                 return gen, len(versions)
         else:
             return 0, 0
+    raise OSError(f"{folder}: a file of the newest generation is missing")
 
 
 def _settle(files, folder: str, pushed: list[tuple], owner: str, compact_after: int) -> dict:
