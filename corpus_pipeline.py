@@ -47,7 +47,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 @stage
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the passages of 50 words and more that an earlier document has."""
-    return chaining.without_repeats(docs)
+    return chaining.without_repeats(docs, broadcast_bytes=16 << 20)
 
 
 @stage
