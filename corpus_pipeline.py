@@ -15,7 +15,6 @@ from tidemark.llm import chaining, minhash, mixing, packing, quality
 from tidemark.llm.queries import tokenizer_path
 from tidemark.session import scratch_path
 
-
 #: Rows and bytes of texts that pass to and from a Python worker at once.
 BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": "1024", "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20)}
 
