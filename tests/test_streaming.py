@@ -211,3 +211,13 @@ def test_snapshot_resumes_after_a_crash(spark, workdir):
     after = {d: os.stat(f"{root}/A/data/{d}").st_mtime_ns for d in before}
     assert sum(before[d] != after[d] for d in before) == 1
     assert sorted(map(tuple, read_snapshot(spark, root, "A").collect())) == sorted(map(tuple, changed.collect()))
+
+
+def test_streams_read_tables_that_are_folders(spark, workdir):
+    import __spark_entry__ as entry
+
+    small = "/root/testdata/sf0.001"
+    for table in ("documents", "events"):
+        spark.read.parquet(f"{small}/{table}.parquet").repartition(3).write.parquet(f"{workdir}/{table}.parquet")
+    for name in ("stream_progress", "stream_fan_out"):
+        assert sorted(entry.queries()[name](spark, workdir).collect()) == sorted(entry.queries()[name](spark, small).collect())

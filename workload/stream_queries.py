@@ -16,7 +16,8 @@ _EVENTS = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, val
 
 
 def _stream(v: S, table: str = "events", schema: str = _EVENTS):
-    return v.spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet").parquet(v.dir)
+    # The table may be one file or a folder of files; a stream takes a single file only by a pattern.
+    return v.spark.readStream.schema(schema).parquet(f"{v.dir}/{table}.parque[t]")
 
 
 def _drain(writer, v: S, progress: str | None = None) -> None:
