@@ -348,16 +348,27 @@ def sidecar_warnings(v: S):
 
 _HEADER_OK = "k % 43 <> 0 AND k % 59 <> 0"
 
+# An id carries six digits of its key, so ids repeat in tables of more than a million keys: what
+# belongs to a backup is found by its id, as the operator does, not by the key it was made from.
+_SIDECARS = f"""v_sidecars AS (SELECT *, CASE WHEN {_SIDECAR_OK} THEN NULL WHEN k % 67 = 0 THEN 'invalid JSON'
+           WHEN k % 61 = 0 AND k % 71 = 0 THEN 'unknown field: surprise, extra'
+           WHEN k % 61 = 0 THEN 'unknown field: surprise' ELSE 'unknown field: extra' END AS error FROM v_repo WHERE k % 47 <> 0),
+       v_warnings AS (SELECT backup_id, CASE WHEN s.k IS NULL THEN 'sidecar missing' ELSE s.error END AS error
+           FROM (SELECT DISTINCT backup_id FROM v_repo) LEFT JOIN v_sidecars s USING (backup_id) WHERE s.k IS NULL OR s.error IS NOT NULL)"""
+_CATALOG = f"""{_SIDECARS},
+       v_headers AS (SELECT backup_id, k % 3 + 1 AS timeline, start_lsn, start_lsn + 20000000 AS stop_lsn,
+           least(o_orderdate, TIMESTAMP '2001-01-01') AS start_time, greatest(o_orderdate, TIMESTAMP '2001-01-01') AS stop_time,
+           CAST(2 AS BIGINT) AS files, k % 5000 + 10 AS bytes FROM v_repo WHERE {_HEADER_OK}),
+       v_catalog AS (SELECT s.backup_id, s.incremental, s.parent, 's' || (s.o_custkey % 10) AS server,
+           h.timeline, h.start_lsn, h.stop_lsn, h.start_time, h.stop_time, h.files, h.bytes
+           FROM v_sidecars s LEFT JOIN v_headers h USING (backup_id) WHERE s.error IS NULL)"""
+
 
 @query(with_views(
-    f"""SELECT backup_id, CASE WHEN incremental THEN 'incremental' ELSE 'full' END AS type,
-               CASE WHEN incremental THEN parent END AS parent_backup_id, 's' || (o_custkey % 10) AS server,
-               CASE WHEN {_HEADER_OK} THEN k % 3 + 1 END AS timeline, CASE WHEN {_HEADER_OK} THEN start_lsn END AS start_lsn,
-               CASE WHEN {_HEADER_OK} THEN start_lsn + 20000000 END AS stop_lsn,
-               CASE WHEN {_HEADER_OK} THEN least(o_orderdate, TIMESTAMP '2001-01-01') END AS start_time,
-               CASE WHEN {_HEADER_OK} THEN greatest(o_orderdate, TIMESTAMP '2001-01-01') END AS stop_time,
-               CASE WHEN {_HEADER_OK} THEN 2 END AS files, CASE WHEN {_HEADER_OK} THEN k % 5000 + 10 END AS bytes
-        FROM v_repo WHERE {_SIDECAR_OK}""", "v_repo"))
+    f""", {_CATALOG}
+        SELECT backup_id, CASE WHEN incremental THEN 'incremental' ELSE 'full' END AS type,
+               CASE WHEN incremental THEN parent END AS parent_backup_id, server,
+               timeline, start_lsn, stop_lsn, start_time, stop_time, files, bytes FROM v_catalog""", "v_repo"))
 def build_catalog(v: S):
     return _catalog(v)[0].drop("compression", "recipients", "annotation", "system_identifier")
 
@@ -367,20 +378,18 @@ def _catalog(v: S):
     return op.build_catalog(v.repo_objects(), decode_sidecars(contents), manifest_headers(scan_manifests(contents)))
 
 
-@query(with_views(
-    """SELECT backup_id, CASE WHEN k % 47 = 0 THEN 'sidecar missing' WHEN k % 67 = 0 THEN 'invalid JSON'
-              WHEN k % 61 = 0 AND k % 71 = 0 THEN 'unknown field: surprise, extra'
-              WHEN k % 61 = 0 THEN 'unknown field: surprise' ELSE 'unknown field: extra' END AS error
-       FROM v_repo WHERE k % 47 = 0 OR k % 61 = 0 OR k % 67 = 0 OR k % 71 = 0""", "v_repo"))
+@query(with_views(f", {_SIDECARS} SELECT backup_id, error FROM v_warnings", "v_repo"))
 def catalog_warnings(v: S):
     return _catalog(v)[1]
 
 
 @query(with_views(
-    f"""SELECT 0 AS ord, 'storage_reachable' AS name, true AS ok,
+    f""", {_CATALOG}
+        SELECT 0 AS ord, 'storage_reachable' AS name, true AS ok,
                (SELECT count(*) FROM v_repo) + (SELECT count(*) FROM v_repo WHERE k % 43 <> 0) + (SELECT count(*) FROM v_repo WHERE k % 9 = 0) || ' objects listed' AS detail, false AS all_ok
-        UNION ALL SELECT 1, 'info_decodable', n = 0, n || ' sidecar(s) failed to decode', false FROM (SELECT count(*) AS n FROM v_repo WHERE NOT ({_SIDECAR_OK}))
-        UNION ALL SELECT 2, 'chain_integrity', n = 0, n || ' orphan(s)', false FROM (SELECT count(*) AS n FROM v_repo WHERE incremental AND {_SIDECAR_OK})
+        UNION ALL SELECT 1, 'info_decodable', n = 0, n || ' sidecar(s) failed to decode', false FROM (SELECT count(*) AS n FROM v_warnings)
+        UNION ALL SELECT 2, 'chain_integrity', n = 0, n || ' orphan(s)', false FROM (SELECT count(*) AS n FROM v_catalog c
+          WHERE incremental AND NOT EXISTS (SELECT 1 FROM v_catalog p WHERE p.backup_id = c.parent))
         UNION ALL SELECT 3, 'wal_expected', true, count(*) || ' segments archived', false FROM v_segments
         UNION ALL SELECT 4, 'archive_command', true, 'skipped', false
         UNION ALL SELECT 5, 'standby_coordination', n = 0, CASE WHEN n = 0 THEN 'ok' ELSE n || ' standby host(s) disconnected' END, false
@@ -397,9 +406,11 @@ _GATE = op.Gate(tool_version="1.0", backup_type="full", compression="zstd", syst
 
 
 @query(with_views(
-    """, j AS (SELECT backup_id, CASE WHEN k % 14 = 0 OR k % 10 = 4 THEN 'corrupt'
-                WHEN TIMESTAMP '2001-08-02 12:00:00' - o_orderdate > INTERVAL 700 DAY THEN 'expired'
-                WHEN k % 8 = 6 OR k % 5 = 0 OR k % 2 <> 0 THEN 'mismatch' END AS r FROM v_repo WHERE k % 3 <> 0),
+    """, u AS (SELECT backup_id FROM v_repo GROUP BY backup_id HAVING bool_and(k % 3 <> 0)),
+       c AS (SELECT * FROM v_repo WHERE NOT (k % 14 = 0 OR k % 10 = 4)),
+       j AS (SELECT backup_id, CASE WHEN c.k IS NULL THEN 'corrupt'
+                WHEN TIMESTAMP '2001-08-02 12:00:00' - c.o_orderdate > INTERVAL 700 DAY THEN 'expired'
+                WHEN c.k % 8 = 6 OR c.k % 5 = 0 OR c.k % 2 <> 0 THEN 'mismatch' END AS r FROM u LEFT JOIN c USING (backup_id)),
        m AS (SELECT max(backup_id) AS newest FROM j WHERE r IS NULL)
        SELECT backup_id, CASE WHEN r IN ('corrupt', 'expired') THEN 'reap' WHEN r IS NULL AND backup_id = newest THEN 'resume' ELSE 'leave' END AS action,
               coalesce(r, CASE WHEN backup_id = newest THEN 'newest' ELSE 'superseded' END) AS reason FROM j, m""", "v_repo"))
