@@ -9,7 +9,8 @@ from pyspark.sql import types as T
 from ..functions.lsn import SEGMENT_BYTES, int_div
 from ..joins import bounded_broadcast, latest_by, lookup, null_safe, overlay
 from ..session import materialize
-from .intervals import at_levels, covered, used_levels
+from .intervals import covered, first_at_levels, used_levels
+from .wal import segment_gaps
 
 _BLOCK = ["rel", "fork", "block_no"]
 
@@ -36,26 +37,37 @@ def changed_in_windows(
     """Distinct ``(window_id, block)`` for many half-open windows
     ``(window_id, tli, start_lsn, end_lsn)``.
 
+    A block counts in a window at its first change there, the one whose change
+    before it (of the same timeline) lies before the window. So every pair comes
+    once by itself, and no pairs are gathered, however many a long window has.
     Positions are cut into buckets. The whole buckets of a window are covered by
     the nodes of a tree (see ``intervals``), a few hundred rows at most however
-    long it is; changes are first reduced to distinct blocks per node, so only the
-    two edge buckets of a window meet single changes. All joins are equi joins.
+    long it is, which meet the first change of each block in a node; only the two
+    edge buckets of a window meet single changes. All joins are equi joins.
+    Positions are not negative.
     """
     at = windows.where(F.col("end_lsn") > F.col("start_lsn")).select("window_id", "tli", "start_lsn", "end_lsn")
+    # Windows beyond the last change need no nodes there.
+    top = changed.agg(F.max("lsn").cast("bigint")).first()[0]
     low, high = int_div("start_lsn", bucket), int_div("end_lsn", bucket)
     begun = F.col("start_lsn") % F.lit(bucket) != 0
-    spans = at.withColumns({"_low": low + F.when(begun, 1).otherwise(0), "_high": high})
-    marked = changed.select("tli", "lsn", *key, int_div("lsn", bucket).alias("_b"))
+    spans = at.withColumns({"_low": low + F.when(begun, 1).otherwise(0), "_high": F.least(high, F.lit((top or 0) // bucket + 1))})
+    order = Window.partitionBy("tli", *key).orderBy("lsn")
+    dated = changed.where(F.col("lsn").isNotNull()).select("tli", "lsn", *key, F.lag("lsn").over(order).alias("_before"))
+    marked = dated.select("*", int_div("lsn", bucket).alias("_b"))
+    fresh = F.col("_before").isNull() | (F.col("_before") < F.col("start_lsn"))
     # While the windows are few they travel to the changes, which then stay in place.
-    nodes = covered(spans.where("_low < _high").select("window_id", "tli", "_low", "_high"), "_low", "_high").drop("_low", "_high")
-    per_bucket = marked.select("tli", "_b", *key).distinct()
-    per_node = at_levels(per_bucket, "_b", used_levels(nodes)).drop("_b").distinct()
-    whole = per_node.join(bounded_broadcast(nodes), ["tli", "_level", "_node"]).select("window_id", *key)
+    nodes = covered(spans.where("_low < _high").select("window_id", "tli", "start_lsn", "_low", "_high"), "_low", "_high").drop("_low", "_high")
+    per_node = first_at_levels(marked.withColumn("_last", int_div("_before", bucket)), "_b", "_last", used_levels(nodes))
+    whole = per_node.join(bounded_broadcast(nodes), ["tli", "_level", "_node"]).where(fresh).select("window_id", *key)
     first, last = F.when(begun, low), F.when(F.col("end_lsn") % F.lit(bucket) != 0, high)
     ends = F.array_distinct(F.array_compact(F.array(first, last)))
     edges = marked.join(bounded_broadcast(at.select("*", F.explode(ends).alias("_b"))), ["tli", "_b"])
-    edges = edges.where((F.col("lsn") >= F.col("start_lsn")) & (F.col("lsn") < F.col("end_lsn")))
-    return whole.unionByName(edges.select("window_id", *key)).distinct()
+    edges = edges.where((F.col("lsn") >= F.col("start_lsn")) & (F.col("lsn") < F.col("end_lsn")) & fresh)
+    found = whole.unionByName(edges.select("window_id", *key))
+    # Several windows under one id may find a block more than once.
+    repeated = at.groupBy("window_id").count().where("count > 1").limit(1).count()
+    return found.distinct() if repeated else found
 
 
 def newest_limits(limits: DataFrame) -> DataFrame:
@@ -97,25 +109,30 @@ def combine_chain(
     merged = overlay(live.where(F.col("chain_pos") == base_pos), latest, key, "_gone").select(*key, *values, "chain_pos")
     if not fill:
         return merged
-    # Spread the numbers of one long path over many tasks before writing them out.
-    starts = lim.where(F.col("truncation_block_length") > 0).select(
-        "path",
-        "truncation_block_length",
-        F.explode(F.expr(f"sequence(0L, truncation_block_length - 1, {chunk}L)")).alias("_from"),
-    )
-    numbers = starts.repartition("path", "_from").select(
-        "path",
-        F.explode(
-            F.sequence(F.col("_from"), F.least(F.col("_from") + (chunk - 1), F.col("truncation_block_length") - 1))
-        ).alias("block_no"),
-    )
-    holes = numbers.join(merged.select(*key), key, "left_anti")
+    # The holes are runs between blocks; only runs are shuffled, and numbers are written out where they are used.
+    within = lim.where(F.col("truncation_block_length") > 0).select("path", "truncation_block_length")
+    ends = F.explode(F.array(F.lit(-1).cast("bigint"), F.col("truncation_block_length").cast("bigint")))
+    below = lookup(merged.select(*key), within, ["path"], "inner").where(F.col("block_no") < F.col("truncation_block_length"))
+    known = below.select("path", F.col("block_no").cast("bigint").alias("block_no")).unionByName(within.select("path", ends.alias("block_no")))
+    runs = segment_gaps(known.select(F.col("path").alias("tli"), F.col("block_no").alias("seg_no"), F.lit("segment").alias("kind")))
+    runs = materialize(runs.select(F.col("tli").alias("path"), F.col("from_seg").alias("_from"), F.col("to_seg").alias("_to")))
+    total = runs.agg(F.coalesce(F.sum(F.col("_to") - F.col("_from") + 1), F.lit(0)).cast("bigint")).first()[0]
+    # Long runs are cut so that their numbers spread over the tasks; the cuts are few beside the runs.
+    tasks = 8 * runs.sparkSession.sparkContext.defaultParallelism
+    pieces = _cut(_cut(runs, max(chunk, -(-total // tasks))).repartition(tasks, "path", "_from"), chunk)
+    holes = pieces.select("path", F.explode(F.sequence("_from", "_to")).alias("block_no"))
     filler = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in merged.schema.fields if f.name not in key}
     if "data" in filler:
         filler["data"] = F.lit(bytearray(zero_page if zero_page is not None else 8192)).alias("data")
     return merged.unionByName(holes.select(*key, *filler.values()))
 
 
+def _cut(runs: DataFrame, length: int) -> DataFrame:
+    """Runs ``(path, _from, _to)`` in pieces of at most ``length`` numbers."""
+    pieces = runs.select("path", "_to", F.explode(F.sequence("_from", "_to", F.lit(length).cast("bigint"))).alias("_from"))
+    return pieces.select("path", "_from", F.least("_to", F.col("_from") + (length - 1)).alias("_to"))
+
+
 def summary_gaps(
     summaries: DataFrame, start: int | None = None, end: int | None = None, bucket: int = 100_000
 ) -> DataFrame:
