@@ -106,3 +106,14 @@ def test_one_timeline_is_cut_into_even_ranges(spark):
         op.blocks.materialize = real
     counts = [r["count"] for r in sizes[-1].groupBy("_b").count().collect()]
     assert len(counts) == 8 and max(counts) < 1000
+
+
+def test_the_tree_of_documents_is_written_by_tasks_without_a_commit(spark):
+    import os
+
+    from workload.log_queries import _stored_documents
+    from workload.views import S
+
+    root, listing = _stored_documents(S(spark, "/root/testdata/sf0.001"))
+    assert not os.path.exists(f"{root.removeprefix('file:')}/_SUCCESS")
+    assert listing.count() == spark.read.parquet("/root/testdata/sf0.001/documents.parquet").count()
