@@ -119,3 +119,23 @@ def test_dropped_target_stays_dropped_after_a_restart(spark, workdir):
     writer = fan_out_stream(rows, {"a": f"{workdir}/a", "b": f"{workdir}/b"}, f"{workdir}/status")
     writer.option("checkpointLocation", f"{workdir}/cp").trigger(availableNow=True).start().awaitTermination()
     assert os.path.isdir(f"{workdir}/a") and not os.path.exists(f"{workdir}/b")
+
+
+def test_decoded_bodies_leave_in_batches_of_bounded_bytes(spark):
+    import pyarrow as pa
+
+    from tidemark.sources import decode_contents
+
+    class Contents:
+        schema = spark.createDataFrame([], "id BIGINT, codec STRING, content BINARY").schema
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    bodies = [b"x" * (1 << 20)] * 40 + [None, b"bad"]
+    batch = pa.RecordBatch.from_pydict({"id": list(range(42)), "codec": ["none"] * 41 + ["gzip"], "content": pa.array(bodies, pa.binary())})
+    out = list(decode_contents(Contents())(iter([batch])))
+    assert max(b.nbytes for b in out) < 5 << 20
+    whole = pa.Table.from_batches(out).to_pydict()
+    assert whole["id"] == list(range(42)) and whole["content"] == bodies[:41] + [None]
+    assert whole["error"][:41] == [None] * 41 and whole["error"][41].startswith("decompress")

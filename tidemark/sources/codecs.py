@@ -101,8 +101,17 @@ def digest_function():
     return digest
 
 
+#: Decoded bytes that are handed on together, about; a body is never cut.
+SENT_BYTES = 4 << 20
+
+
 def decode_contents(contents: DataFrame, codec: str = "codec") -> DataFrame:
-    """Replace ``content`` by its decoded form; ``error`` tells why it is NULL."""
+    """Replace ``content`` by its decoded form; ``error`` tells why it is NULL.
+
+    Bodies leave a task as they are decoded, so it holds one batch of stored
+    bodies and about ``SENT_BYTES`` of decoded ones, or one body if that is larger.
+    """
+    most = SENT_BYTES
     keep = [f for f in contents.schema.fields if f.name != "content"]
     schema = T.StructType([*keep, T.StructField("content", T.BinaryType()), T.StructField("error", T.StringType())])
     decoded = _decoder()
@@ -111,7 +120,7 @@ def decode_contents(contents: DataFrame, codec: str = "codec") -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            bodies, errors = [], []
+            bodies, errors, held, first = [], [], 0, 0
             column, codecs = batch.column("content"), batch.column(codec)
             for i in range(batch.num_rows):
                 name, value, body, error = codecs[i].as_py(), column[i], None, None
@@ -127,11 +136,15 @@ def decode_contents(contents: DataFrame, codec: str = "codec") -> DataFrame:
                     error = f"decompress: {exc}"
                 bodies.append(body)
                 errors.append(error)
-            columns = [batch.column(f.name) for f in keep]
-            yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(bodies, pa.binary()), pa.array(errors, pa.string())],
-                names=[f.name for f in schema.fields],
-            )
+                held += len(body or b"")
+                if held < most and i + 1 < batch.num_rows:
+                    continue
+                columns = [batch.column(f.name).slice(first, len(bodies)) for f in keep]
+                yield pa.RecordBatch.from_arrays(
+                    [*columns, pa.array(bodies, pa.binary()), pa.array(errors, pa.string())],
+                    names=[f.name for f in schema.fields],
+                )
+                bodies, errors, held, first = [], [], 0, i + 1
 
     return contents.mapInArrow(decode, schema)
 
