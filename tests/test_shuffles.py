@@ -62,3 +62,17 @@ def test_missing_runs_of_long_ranges_are_spread_over_tasks(spark):
         load[r["task"]] = load.get(r["task"], 0) + r["n"]
     assert rows == {i: 20_000 - i for i in range(20)} and lowest == {i: 3 * i + 1 for i in range(20)}
     assert max(load.values()) < sum(load.values()) / 4
+
+
+def test_summary_gaps_takes_tasks_by_cores_not_by_rows(spark):
+    rows = spark.range(3000).select((F.col("id") % 2).alias("tli"), (F.col("id") * 10).alias("start_lsn"), (F.col("id") * 10 + F.when(F.col("id") % 5 == 0, 15).otherwise(25)).alias("end_lsn"))
+    sc = spark.sparkContext
+    sc.setJobGroup("gaps", "")
+    try:
+        gaps = sorted(map(tuple, op.summary_gaps(rows, bucket=10).collect()))
+    finally:
+        sc.setLocalProperty("spark.jobGroup.id", None)
+    assert gaps == [(i % 2, i * 10 + 15, i * 10 + 20) for i in sorted(range(0, 2998, 5), key=lambda i: (i % 2, i))]
+    tracker = sc.statusTracker()
+    stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup("gaps") for s in tracker.getJobInfo(job).stageIds]
+    assert max(s.numTasks for s in stages if s is not None) <= 8 * sc.defaultParallelism

@@ -13,6 +13,8 @@ from .intervals import covered, first_at_levels, used_levels
 from .wal import segment_gaps
 
 _BLOCK = ["rel", "fork", "block_no"]
+#: Ranges of summaries per core, and the most rows of a range while there are more of them.
+RANGES_PER_CORE, MOST_ROWS = 4, 1 << 20
 
 
 def block_range_check(blocks: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,9 +145,12 @@ def summary_gaps(
     anywhere: one without any inside the bounds lacks all of them. Rows without a
     timeline are a timeline of their own.
 
-    The rows are dealt by ranges of (timeline, start), sampled so that each has
-    about ``bucket`` rows however they are spread; the running maximum is taken
-    inside the ranges and carried from range to range by a second, short one.
+    The rows are dealt by ranges of (timeline, start), sampled so that they are
+    even however the rows are spread: of about ``bucket`` rows while these make no
+    more than a few ranges per core, of up to ``MOST_ROWS`` beyond. Ranges are
+    tasks, of which the driver hears one by one, and a long range spills. The
+    running maximum is taken inside the ranges and carried from range to range by
+    a second, short one.
     """
     rows = summaries.select("tli", "start_lsn", "end_lsn").where(F.col("end_lsn") > F.col("start_lsn"))
     everywhere = rows.select("tli").distinct()
@@ -155,7 +160,9 @@ def summary_gaps(
         rows = rows.where(F.col("start_lsn") < end).withColumn("end_lsn", F.least("end_lsn", F.lit(end)))
     # Equal starts collapse, so a range never holds more rows than it has positions.
     rows = materialize(rows.groupBy("tli", "start_lsn").agg(F.max("end_lsn").alias("end_lsn")))
-    ranges = -(-max(rows.count(), 1) // bucket)
+    n = max(rows.count(), 1)
+    most = max(RANGES_PER_CORE * rows.sparkSession.sparkContext.defaultParallelism, -(-n // MOST_ROWS))
+    ranges = min(-(-n // bucket), most)
     rows = materialize(rows.repartitionByRange(ranges, "tli", "start_lsn").withColumn("_b", F.spark_partition_id()))
     before = Window.partitionBy("tli", "_b").orderBy("start_lsn").rowsBetween(Window.unboundedPreceding, -1)
     inner = rows.withColumn("_local", F.max("end_lsn").over(before))
