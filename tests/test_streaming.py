@@ -221,3 +221,29 @@ def test_streams_read_tables_that_are_folders(spark, workdir):
         spark.read.parquet(f"{small}/{table}.parquet").repartition(3).write.parquet(f"{workdir}/{table}.parquet")
     for name in ("stream_progress", "stream_fan_out"):
         assert sorted(entry.queries()[name](spark, workdir).collect()) == sorted(entry.queries()[name](spark, small).collect())
+
+
+def test_watched_backups_share_the_keys_of_the_state(spark, workdir):
+    """Sixty backups with deadlines of their own, every third over two pieces, in four keys of state."""
+    t = [day(0) + timedelta(minutes=m) for m in range(300)]
+    need = {b: [b * 10, b * 10 + 1, b * 10 + 2 + (1 << 20 if b % 3 == 0 else 0)] for b in range(60)}
+    required = spark.createDataFrame([(b, 1, n, t[50 + b]) for b, ns in need.items() for n in ns], "backup_id BIGINT, tli BIGINT, seg_no BIGINT, deadline TIMESTAMP")
+    backups = spark.createDataFrame([(b,) for b in [*need, 70, 71]], "backup_id BIGINT")
+    late = {b: ns[-1] for b, ns in need.items() if b % 5 == 0}
+    batches = [
+        [(1, ns[0], t[1]) for ns in need.values()],
+        [(1, n, t[2]) for b, ns in need.items() for n in ns[1:] if late.get(b) != n],
+        [(1, n, t[51 + b]) for b, n in late.items() if b < 20],
+        [(9, 0, t[80])],
+        [(1, late[55], t[90]), (9, 0, t[250])],
+    ]
+    arrivals = feed(spark, workdir, "arr", "tli BIGINT, seg_no BIGINT, ts TIMESTAMP", batches)
+    out = watch_required(required, arrivals, backups=backups, shelves=4)
+    job = out.writeStream.format("parquet").option("path", f"{workdir}/out").option("checkpointLocation", f"{workdir}/cp").trigger(availableNow=True).start()
+    job.awaitTermination()
+    got = [tuple(r) for r in spark.read.schema(out.schema).parquet(f"{workdir}/out").collect()]
+    missed = {b: n for b, n in late.items() if b != 55}
+    want = [(b, "timeout", 1, n) for b, n in missed.items()] + [(b, "complete", None, None) for b in [*need, 70, 71] if b not in missed]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    # A key holds its value and at most a timer in two orders.
+    assert all(s["numRowsTotal"] <= 4 * 3 for p in job.recentProgress for s in p["stateOperators"])
