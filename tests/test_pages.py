@@ -101,3 +101,15 @@ def test_row_merge_keeps_its_rules(spark):
     rows = spark.createDataFrame([("f", 0, 1, "x"), ("f", 1, 1, "y")], "path STRING, chain_pos INT, block_no BIGINT, location STRING")
     none = spark.createDataFrame([], "path STRING, chain_pos INT, truncation_block_length BIGINT")
     assert combine_chain(rows, none).first()["location"] == "y"
+
+
+def test_pages_of_whole_files_are_numbered_by_several_tasks(spark, workdir):
+    """Sizes say all about whole files: none is opened, and a large one is not the work of one task."""
+    sizes = {"big": 200_000 * SIZE + 3, "even": 2 * SIZE, "short": 1, "empty": 0, "unknown": None}
+    files = spark.createDataFrame([(name, 0, f"absent/{name}", "none", n) for name, n in sizes.items()], "path STRING, chain_pos INT, location STRING, codec STRING, size BIGINT")
+    index = scan_page_index(files, workdir, SIZE)
+    pages = index.groupBy("path", "kind").agg(F.count_distinct("block_no"), F.max("offset"), F.sum(F.col("length").cast("bigint")), F.count(F.lit(1))).collect()
+    assert sorted(map(tuple, pages)) == [
+        ("big", "page", 200_001, 200_000 * SIZE, sizes["big"], 200_001), ("even", "page", 2, SIZE, 2 * SIZE, 2), ("short", "page", 1, 0, 1, 1)
+    ]
+    assert index.where("path = 'big'").select(F.spark_partition_id()).distinct().count() > 1

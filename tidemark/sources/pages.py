@@ -12,7 +12,7 @@ from ..functions.naming import is_incremental_file
 from ..operators.blocks import combine_chain
 from ..session import materialize
 from .codecs import _decoder
-from .objects import _open_store, spread_by_bytes
+from .objects import _open_store, _tasks, spread_by_bytes
 
 PAGE_BYTES = 8192
 # Fixed marker at the start of an incremental file, as a little-endian number.
@@ -76,6 +76,8 @@ def target_path(path) -> Column:
 _INDEX = "path STRING, chain_pos INT, location STRING, codec STRING, kind STRING, block_no BIGINT, offset BIGINT, length INT, truncation_block_length BIGINT, error STRING"
 # Page numbers a task gives on at once.
 _NUMBERS = 1 << 15
+# Pages of whole files a task numbers.
+_PAGES_PER_TASK = 1 << 21
 
 
 def scan_page_index(files: DataFrame, root: str, size: int = PAGE_BYTES) -> DataFrame:
@@ -83,8 +85,9 @@ def scan_page_index(files: DataFrame, root: str, size: int = PAGE_BYTES) -> Data
 
     ``files`` is ``(path, chain_pos, location, codec, size)`` with the plain size
     as the manifest has it. Of an incremental file the header is read, of another
-    nothing at all: its pages follow from its size. ``path`` comes back as the
-    path of the file the pages belong to.
+    nothing at all: its pages follow from its size, and no Python task sees it.
+    What is read of small files goes on together. ``path`` comes back as the path
+    of the file the pages belong to.
     """
     open_store, decoder = _open_store(), _decoder()
     magic, header = INCREMENTAL_MAGIC, _HEADER_BYTES
@@ -125,39 +128,64 @@ def scan_page_index(files: DataFrame, root: str, size: int = PAGE_BYTES) -> Data
         decoded = decoder
         types = [pa.string(), pa.int32(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.string()]
         names = [x.split()[0] for x in _INDEX.split(", ")]
-
-        def batch(known, kind, n, numbers, offsets, lengths, limit, error):
-            page = kind == "page"
-            columns = [*([v] * n for v in known), [kind] * n, numbers if page else [None] * n, offsets if page else [None] * n, lengths if page else [None] * n, [limit] * n, [error] * n]
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+        held = [[] for _ in types]
+
+        def hold(known, kind, n, numbers, offsets, lengths, limit, error):
+            page, none = kind == "page", [None] * n
+            columns = [*([v] * n for v in known), [kind] * n, numbers if page else none, offsets if page else none, lengths if page else none, [limit] * n, [error] * n]
+            for column, values in zip(held, columns, strict=True):
+                column.extend(values)
+
+        def batch():
+            full = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(held, types, strict=True)], names=names)
+            for column in held:
+                column.clear()
+            return full
+
+        def parts(location, codec, plain_size):
+            try:
+                with store.open_input_stream(f"{base}/{location}", compression=None) as stored:
+                    if codec in (None, "", "none"):
+                        yield from of_file(stored, plain_size or 0)
+                    else:
+                        with decoded(codec, stored) as stream:
+                            yield from of_file(stream, plain_size or 0)
+            except FileNotFoundError:
+                yield rows("error", error="not found")
+            except KeyError:
+                yield rows("error", error=f"unknown codec {codec}")
+            except (OSError, pa.ArrowInvalid) as exc:
+                yield rows("error", error=f"decompress: {exc}")
 
         for files in batches:
-            for path, pos, location, codec, plain_size, whole in zip(*(files.column(c).to_pylist() for c in ("path", "chain_pos", "location", "codec", "size", "_whole")), strict=True):
-                known = (path, pos, location, codec)
-                if whole:
-                    pages = -(-(plain_size or 0) // size)
-                    for at in range(0, pages, _NUMBERS):
-                        numbers = list(range(at, min(pages, at + _NUMBERS)))
-                        offsets = [n * size for n in numbers]
-                        yield batch(known, *rows("page", numbers, offsets, [min(size, plain_size - o) for o in offsets]))
-                    continue
-                try:
-                    with store.open_input_stream(f"{base}/{location}", compression=None) as stored:
-                        if codec in (None, "", "none"):
-                            yield from (batch(known, *r) for r in of_file(stored, plain_size or 0))
-                        else:
-                            with decoded(codec, stored) as stream:
-                                yield from (batch(known, *r) for r in of_file(stream, plain_size or 0))
-                except FileNotFoundError:
-                    yield batch(known, *rows("error", error="not found"))
-                except KeyError:
-                    yield batch(known, *rows("error", error=f"unknown codec {codec}"))
-                except (OSError, pa.ArrowInvalid) as exc:
-                    yield batch(known, *rows("error", error=f"decompress: {exc}"))
+            for path, pos, location, codec, plain_size in zip(*(files.column(c).to_pylist() for c in ("path", "chain_pos", "location", "codec", "size")), strict=True):
+                for part in parts(location, codec, plain_size):
+                    hold((path, pos, location, codec), *part)
+                    if len(held[0]) >= _NUMBERS:
+                        yield batch()
+        if held[0]:
+            yield batch()
 
     whole = ~is_incremental_file("path")
-    listed = files.select(target_path(F.col("path")).alias("path"), F.col("chain_pos").cast("int").alias("chain_pos"), "location", "codec", F.col("size").cast("bigint").alias("size"), whole.alias("_whole"))
-    return spread_by_bytes(materialize(listed), "location").mapInArrow(scan, _INDEX)
+    listed = materialize(files.select(target_path(F.col("path")).alias("path"), F.col("chain_pos").cast("int").alias("chain_pos"), "location", "codec", F.col("size").cast("bigint").alias("size"), whole.alias("_whole")))
+    read = spread_by_bytes(listed.where("NOT _whole").drop("_whole"), "location").mapInArrow(scan, _INDEX)
+    return _whole_pages(listed.where("_whole"), size).unionByName(read)
+
+
+def _whole_pages(listed: DataFrame, size: int) -> DataFrame:
+    """The pages of whole files, dealt by stretches of a file, so that a large one is shared by tasks."""
+    last = int_div(F.col("size") - 1, size)
+    full = listed.where(F.col("size") > 0).select("path", "chain_pos", "location", "codec", "size", last.alias("_last"))
+    pages = full.agg(F.coalesce(F.sum(F.col("_last") + 1), F.lit(0)).cast("bigint")).first()[0]
+    tasks = max(_tasks(listed.sparkSession, per_core=4), -(-pages // _PAGES_PER_TASK))
+    zero = F.lit(0).cast("bigint")
+    cut = full.select("*", F.explode(F.sequence(zero, F.col("_last"), F.lit(_NUMBERS).cast("bigint"))).alias("_from")).repartition(tasks, "location", "_from")
+    numbers = cut.select("*", F.explode(F.sequence("_from", F.least("_last", F.col("_from") + (_NUMBERS - 1)))).alias("block_no"))
+    offset, none = F.col("block_no") * F.lit(size).cast("bigint"), F.lit(None)
+    return numbers.select(
+        "path", "chain_pos", "location", "codec", F.lit("page").alias("kind"), "block_no", offset.alias("offset"),
+        F.least(F.lit(size).cast("bigint"), F.col("size") - offset).cast("int").alias("length"), none.cast("bigint").alias("truncation_block_length"), none.cast("string").alias("error"),
+    )
 
 
 def fetch_pages(wanted: DataFrame, root: str, stretch: int = 32 << 20) -> DataFrame:

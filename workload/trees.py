@@ -29,6 +29,7 @@ def _write_files(files: DataFrame, root: str) -> DataFrame:
         import pyarrow as pa
 
         _, base = open_store(root)
+        made = set()
         for rows in batches:
             for path, body, codec, cut in zip(*(rows.column(c).to_pylist() for c in ("path", "content", "codec", "cut")), strict=True):
                 if codec == "gzip":
@@ -39,7 +40,10 @@ def _write_files(files: DataFrame, root: str) -> DataFrame:
                         stream.write(body)
                     body = sink.getvalue().to_pybytes()
                 target = os.path.join(base, path)
-                os.makedirs(os.path.dirname(target), exist_ok=True)
+                folder = os.path.dirname(target)
+                if folder not in made:
+                    os.makedirs(folder, exist_ok=True)
+                    made.add(folder)
                 with open(target, "wb") as out:
                     out.write(body[: len(body) // 2] if cut else body)
             yield rows.select(["path"])
