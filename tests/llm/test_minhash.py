@@ -3,6 +3,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.llm import minhash
 from tidemark.llm.graph import components
@@ -111,3 +112,24 @@ def test_least_and_greatest_ids(documents):
     rows = [(i, "a b c d e f g h") for i in (-(2**63), 2**63 - 1, 0)] + [(5, "other words than those")]
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(rows)).collect()}
     assert got == {-(2**63): -(2**63), 2**63 - 1: -(2**63), 0: -(2**63), 5: 5}
+
+def test_a_large_unsettled_bucket_moves_few_copies_of_its_members(spark):
+    """A bucket of 1024 members, half of them outside its main component: each member goes to few tiles."""
+    import numpy as np
+
+    ids = spark.range(1024).select(F.col("id").alias("rep"), F.lit(1).cast("bigint").alias("key"), F.when(F.col("id") < 512, 0).otherwise(F.col("id")).alias("comp"))
+    # Outside, each second member equals the one inside that is 512 before it.
+    value = F.when((F.col("id") >= 512) & (F.col("id") % 2 == 0), F.col("id") - 512).otherwise(F.col("id"))
+    row = spark.range(1024).select(F.col("id").alias("rep"), F.lit(0).cast("bigint").alias("d1"), F.lit(0).cast("bigint").alias("d2"), F.lit(100).cast("bigint").alias("n"),
+        *[F.xxhash64(value, F.lit(i)).alias(f"s{i}") for i in range(15)], F.array(F.lit(1).cast("bigint")).alias("keys"))
+    longer = spark.range(1024).select(F.col("id").alias("rep"), F.lit(0).cast("bigint").alias("d1"), F.lit(0).cast("bigint").alias("d2"), F.array(*[F.xxhash64(value, F.lit(-i)) for i in range(128)]).alias("longer"))
+    store, new = spark._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList
+    stages = lambda: store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), new())
+    written = lambda: sum(s.shuffleWriteBytes() for s in (lambda x: [x.apply(i) for i in range(x.size())])(stages()))
+    members, longer, before = row.cache(), longer.cache(), None
+    members.count(), longer.count()
+    before = written()
+    got = sorted(map(tuple, minhash._tiles(ids, members, longer, 80, 240, 15, 4).collect()))
+    moved = written() - before
+    assert got == [(i, i + 512) for i in range(0, 512, 2)]
+    assert moved < 7 << 20, moved

@@ -37,7 +37,7 @@ from .text import batch, hashes, memo, mix, pair, stretches, utf8, words
 
 BANDS, ROWS, BITS = 48, 5, 4
 HUB_ROUNDS = 2
-TILE, LONGER = 128, 2048
+TILE, LONGER = 512, 2048
 _SEED = 20240311
 
 
