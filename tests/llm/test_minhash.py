@@ -133,3 +133,20 @@ def test_a_large_unsettled_bucket_moves_few_copies_of_its_members(spark):
     moved = written() - before
     assert got == [(i, i + 512) for i in range(0, 512, 2)]
     assert moved < 7 << 20, moved
+
+
+def test_members_of_many_unsettled_buckets_move_their_signatures_once(spark):
+    """64 members that share 64 buckets; the first bucket gives each pair."""
+    rep = spark.range(64).select(F.col("id").alias("rep"), F.lit(0).cast("bigint").alias("d1"), F.lit(0).cast("bigint").alias("d2"))
+    value = F.when((F.col("rep") >= 32) & (F.col("rep") % 2 == 0), F.col("rep") - 32).otherwise(F.col("rep"))
+    row = rep.select("*", F.lit(100).cast("bigint").alias("n"), *[F.xxhash64(value, F.lit(i)).alias(f"s{i}") for i in range(15)], F.expr("sequence(1L, 64L)").alias("keys"))
+    longer = rep.select("*", F.array(*[F.xxhash64(value, F.lit(-i)) for i in range(128)]).alias("longer"))
+    buckets = row.select("rep", F.explode("keys").alias("key"), F.when(F.col("rep") < 32, 0).otherwise(F.col("rep")).alias("comp"))
+    store, new = spark._jsc.sc().statusStore(), spark._jvm.java.util.ArrayList
+    stages = lambda: store.stageList(None, False, False, spark._sc._gateway.new_array(spark._jvm.double, 0), new())
+    written = lambda: sum(s.shuffleWriteBytes() for s in (lambda x: [x.apply(i) for i in range(x.size())])(stages()))
+    before = written()
+    got = sorted(map(tuple, minhash._tiles(buckets, row, longer, 80, 240, 15, 4).collect()))
+    moved = written() - before
+    assert got == [(i, i + 32) for i in range(0, 32, 2)]
+    assert moved < 1 << 20, moved

@@ -38,6 +38,8 @@ from .text import batch, hashes, memo, mix, pair, stretches, utf8, words
 BANDS, ROWS, BITS = 48, 5, 4
 HUB_ROUNDS = 2
 TILE, LONGER = 512, 2048
+#: Texts to confirm that are broadcast, in either of two joins.
+TEXT_BYTES = 16 << 20
 _SEED = 20240311
 
 
@@ -171,6 +173,8 @@ def confirm(pairs: DataFrame, docs: DataFrame, width: int, percent: int) -> Data
                 same.append(common > 0 and 100 * common >= percent * (len(x) + len(y) - common))
             yield table.select(["a", "b"]).filter(pa.array(same, pa.bool_()))
 
+    # A side that measures small goes to the pairs; else the pairs' texts go through two shuffles.
+    left, right = (bounded_broadcast(x, TEXT_BYTES) for x in (left, right))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "text_a", "text_b")
     return joined.mapInArrow(run, "a bigint, b bigint").distinct()
 
@@ -261,24 +265,55 @@ def _tiles(buckets: DataFrame, members: DataFrame, longer: DataFrame, percent: i
         F.transform(F.sequence(F.lit(0), F.col("down") - 1), lambda o: step(1, F.least(o, F.col("t")), F.greatest(o, F.col("t")))),
     )
     spread = placed.withColumn("tile", F.explode(F.when(F.col("out"), outside).otherwise(inside)))
-    of_rep = members.select("rep", "d1", "d2", "n", *[f"s{i}" for i in range(longs)], "keys").join(longer, ["rep", "d1", "d2"]).drop("d1", "d2")
-    spread = spread.join(of_rep, "rep").select("key", "tile.*", F.struct("rep", "comp", "out", "t", *of_rep.columns[1:]).alias("e"))
-    met = spread.groupBy("key", "kind", "i", "j").agg(F.collect_list("e").alias("all"))
-    sides = met.select("key", "kind", "j", "i", F.explode("all").alias("x"), "all").where("x.out and x.t = i")
-
-    def close(y):
-        placed = F.when(F.col("kind") == 0, ~y["out"]).otherwise(y["out"] & (y["t"] == F.col("j")) & (y["comp"] != F.col("x.comp")) & ((F.col("i") < F.col("j")) | (F.col("x.rep") < y["rep"])))
-        first = F.element_at(F.array_intersect(F.col("x.keys"), y["keys"]), 1) == F.col("key")
-        each = F.zip_with(F.col("x.longer"), y["longer"], lambda a, b: F.bit_count(_differing(a.bitwiseXOR(b), bits)))
-        near = F.aggregate(each, F.lit(0), lambda a, b: a + b) <= _most(percent, LONGER, bits)
-        plausible = _plausible(_fields("x"), lambda c: y[c], percent, size, longs, bits)
-        out = F.lit(True)
-        for condition in (near, first, plausible, placed):  # the cheapest is asked first
-            out = F.when(condition, out).otherwise(F.lit(False))
-        return out
-
-    pairs = sides.select("x.rep", F.explode(F.transform(F.filter("all", close), lambda y: y["rep"])).alias("other"))
-    return pairs.select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b"))
+    low = F.array(*[f"s{i}" for i in range(longs)]).alias("low")
+    of_rep = members.select("rep", "d1", "d2", "n", low, "keys").join(longer, ["rep", "d1", "d2"]).drop("d1", "d2")
+    # Dealt before the signatures join: where those measure small, only names are shuffled.
+    spread = spread.select("rep", "comp", "out", "t", "key", "tile.*").repartition("key", "kind", "i", "j")
+    spread = spread.join(bounded_broadcast(materialize(of_rep)), "rep")
+    most = _most(percent, size, bits), _most(percent, LONGER, bits)
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def close(of_tile, rows):
+        import pyarrow.compute as pc
+
+        key, kind, i, j = (x.as_py() for x in of_tile)
+        out, t = (rows.column(x).combine_chunks() for x in ("out", "t"))
+        x = rows.filter(pc.and_(out, pc.equal(t, i)))
+        y = rows.filter(pc.and_(out, pc.equal(t, j)) if kind else pc.invert(out))
+        (rep_x, comp_x, n_x, *long_x), (rep_y, comp_y, n_y, *long_y) = (
+            [*(side.column(c).to_numpy() for c in ("rep", "comp", "n")), *(_lists(side.column(c)) for c in ("keys", "low", "longer"))] for side in (x, y)
+        )
+        a, b = [], []
+        for k in range(len(rep_x)):
+            near = np.minimum(n_y, n_x[k]) * 100 >= np.maximum(n_y, n_x[k]) * percent
+            if kind:
+                near &= comp_y != comp_x[k]
+                near &= (rep_y > rep_x[k]) | (i < j)
+            at = np.flatnonzero(near)
+            shared = long_y[0][at] == long_x[0][k]
+            at = at[long_x[0][k][shared.argmax(axis=1)] == key] if len(at) else at
+            for z, mine, limit in zip(long_y[1:], long_x[1:], most, strict=True):
+                at = at[_lanes(z[at] ^ mine[k], bits) <= limit]
+            a.append(np.minimum(rep_y[at], rep_x[k]))
+            b.append(np.maximum(rep_y[at], rep_x[k]))
+        return pa.Table.from_arrays([pa.array(np.concatenate([*c, rep_x[:0]]), pa.int64()) for c in (a, b)], schema=schema)
+
+    return spread.groupBy("key", "kind", "i", "j").applyInArrow(close, "a bigint, b bigint").distinct()
+
+
+def _lists(column: pa.ChunkedArray) -> np.ndarray:
+    """Lists of longs, all of one length, as the rows of a matrix."""
+    column = column.combine_chunks()
+    return column.flatten().to_numpy().reshape(len(column), -1) if len(column) else np.zeros((0, 1), np.int64)
+
+
+def _lanes(z: np.ndarray, bits: int) -> np.ndarray:
+    """For each row, lanes of ``bits`` bits with any bit set; the twin of ``_differing`` for numpy."""
+    z = z.view(np.uint64)
+    for shift in (s for s in (1, 2, 4) if s < bits):
+        z = z | z >> np.uint64(shift)
+    lanes = np.uint64(int("".join(["0" * (bits - 1) + "1"] * (64 // bits)), 2))
+    return np.bitwise_count(z & lanes).sum(axis=1, dtype=np.int64)
 
 
 def keep_first(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
