@@ -113,3 +113,23 @@ def test_other_work_drops_what_packing_kept():
     assert text.memo("packing")
     text.memo("quality")
     assert not text.memo("packing")
+
+
+def test_few_words_are_encoded_at_once_and_the_memo_keeps_to_its_bytes(monkeypatch):
+    texts = [" ".join(f"w{i * j % 97}x{i}, Word{i}." for j in range(60)).encode() for i in range(120)]
+    whole = list(packing.WordIds(tokenizer_path()).of(texts))
+    monkeypatch.setattr(packing, "_ENCODED", 32)
+    small, most = packing.WordIds(tokenizer_path(), memo_bytes=50_000), []
+    tokenizer = small.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, items, **options):
+            most.append(len(items))
+            return tokenizer.encode_batch_fast(items, **options)
+
+    small.tokenizer = Counted()
+    got, held = [], []
+    for lo in range(0, len(texts), 7):
+        got += small.of(texts[lo : lo + 7])
+        held.append(small.held)
+    assert got == whole and max(most) <= 32 and max(held) < 250_000

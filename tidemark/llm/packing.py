@@ -34,6 +34,8 @@ END_ID = 1
 PIECES_PER_PARTITION = 100_000
 #: Bytes of words and ids in a generation of a worker's memo, each counted with what keeping it takes.
 _MEMO_BYTES, _ENTRY_BYTES = 100 << 20, 200
+#: Words handed to the tokenizer at once: what it returns takes a few KB each.
+_ENCODED = 2048
 
 PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 _PARTS = re.compile(rb"[A-Za-z]+|[0-9]|[^A-Za-z0-9]+")
@@ -51,9 +53,10 @@ class WordIds:
     move to the new one, and the rest go when that is full as well.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, memo_bytes: int | None = None):
         from tokenizers import Tokenizer
 
+        self.memo_bytes = memo_bytes or _MEMO_BYTES
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
         self.older: dict[bytes, bytes] = {}
@@ -64,9 +67,10 @@ class WordIds:
         self.held += sum(map(len, items)) + sum(map(len, items.values())) + _ENTRY_BYTES * len(items)
 
     def encode(self, items: list[bytes]) -> None:
-        if items:
-            found = self.tokenizer.encode_batch_fast([x.decode() for x in items], add_special_tokens=False)
-            self.keep({x: packed(f"<{len(y.ids)}I", *y.ids) for x, y in zip(items, found, strict=True)})
+        for lo in range(0, len(items), _ENCODED):
+            part = items[lo : lo + _ENCODED]
+            found = self.tokenizer.encode_batch_fast([x.decode() for x in part], add_special_tokens=False)
+            self.keep({x: packed(f"<{len(ids)}I", *ids) for x, ids in zip(part, (y.ids for y in found), strict=True)})
 
     def learn(self, items: set[bytes]) -> None:
         split, ended, direct = {}, [], set()
@@ -91,7 +95,7 @@ class WordIds:
 
     def of(self, texts: list[bytes]) -> Iterator[bytes]:
         split = [plain(x).split(b" ") for x in texts]
-        if self.held > _MEMO_BYTES:
+        if self.held > self.memo_bytes:
             self.known, self.older, self.held = {}, self.known, 0
         new = set().union(*split).difference(self.known) if split else set()
         if self.older:
@@ -115,16 +119,20 @@ def plain(text: bytes) -> bytes:
     return text.replace(b"\n", b" ")
 
 
-def encoder(path: str) -> WordIds:
+def encoder(path: str, memo_bytes: int | None = None) -> WordIds:
     """One per Python worker, which serves many tasks."""
     encoders = memo("packing")
     if path not in encoders:
         encoders[path] = WordIds(path)
+    encoders[path].memo_bytes = memo_bytes or _MEMO_BYTES
     return encoders[path]
 
 
-def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    """(doc_id, piece, start, length, ids_crc32): the pieces of every document."""
+def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, memo_bytes: int | None = None) -> DataFrame:
+    """(doc_id, piece, start, length, ids_crc32): the pieces of every document.
+
+    A worker keeps the ids of words in two generations of about ``memo_bytes`` (100 MiB); fewer bytes only cost time.
+    """
     end = np.array([end_id], "<u4").tobytes()
     schema = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 
@@ -132,7 +140,7 @@ def tokenize(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id:
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        ids_of = encoder(tokenizer)
+        ids_of = encoder(tokenizer, memo_bytes)
         for rows in batches:
             for lo in range(0, rows.num_rows, 500):
                 part = rows.slice(lo, 500)
@@ -255,5 +263,5 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY, per_partition: int = PIECE
     return packed.select(*columns, "sequence_id", "offset")
 
 
-def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
-    return pack(materialize(tokenize(docs, tokenizer, capacity, end_id)), capacity)
+def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, end_id: int = END_ID, memo_bytes: int | None = None) -> DataFrame:
+    return pack(materialize(tokenize(docs, tokenizer, capacity, end_id, memo_bytes)), capacity)
