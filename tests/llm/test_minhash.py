@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.llm import minhash
+from tidemark.llm import graph, minhash
 from tidemark.llm.graph import components
 
 
@@ -108,6 +108,30 @@ def test_components_of_paths_stars_and_circles(spark):
         assert {got[i] for i in nodes} == {min(nodes)}
 
 
+def test_components_of_several_pieces(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PIECE", 40)
+    rng = random.Random(4)
+    links = [(min(x), max(x)) for x in ([rng.randrange(300), 300 + rng.randrange(300)] for _ in range(350))]
+    got = dict(map(tuple, components(spark.createDataFrame(links, "a bigint, b bigint").repartition(9)).collect()))
+    least = {x: x for pair in links for x in pair}
+    for _ in least:
+        for a, b in links:
+            least[a] = least[b] = min(least[a], least[b])
+    assert got == least
+
+
+def test_components_of_few_links_take_few_jobs(spark):
+    sc = spark.sparkContext
+    order = random.Random(5).sample(range(400), 400)
+    links = spark.createDataFrame(list(zip(order, order[1:], strict=False)), "a bigint, b bigint").localCheckpoint()
+    sc.setJobGroup("components", "")
+    found = components(links)
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    # Each step of a search by joins is several jobs of as many tasks as a shuffle has.
+    assert len(sc.statusTracker().getJobIdsForGroup("components")) <= 4
+    assert {tuple(r) for r in found.collect()} == {(i, 0) for i in range(400)}
+
+
 def test_least_and_greatest_ids(documents):
     rows = [(i, "a b c d e f g h") for i in (-(2**63), 2**63 - 1, 0)] + [(5, "other words than those")]
     got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(documents(rows)).collect()}
