@@ -203,3 +203,17 @@ def test_current_rows_of_a_plan_without_compaction_are_not_shuffled(spark, workd
     push(spark, f"{workdir}/a", "0", [(1, n, "a", 1) for n in names(5)])
     plan = read_archive(spark, f"{workdir}/a")._jdf.queryExecution().executedPlan().toString()
     assert "SortMergeJoin" not in plan
+
+
+def test_a_push_lists_its_own_names_and_reads_each_file_once(workdir):
+    """What a push costs beyond its names is reading the files of its range as tables, each once."""
+    files = arc._range_files(f"{workdir}/once", None)()
+    read, paths = files.read, []
+    files.read = lambda path: paths.append(path) or read(path)
+    push = lambda names, owner: arc._settle(files, "tli=1/range=r0", [(n, owner, 1) for n in names], owner, 2)
+    assert push("AB", "x") == {n: ("x", "x") for n in "AB"}
+    # The second file closes the generation; the next one holds what was read already.
+    assert push("BC", "y") == {"B": ("x", "x"), "C": ("y", "y")}
+    assert len(paths) == len(set(paths)) and not any("gen=1" in p for p in paths)
+    assert push("AD", "z") == {"A": ("x", "x"), "D": ("z", "z")}
+    assert sorted(read("tli=1/range=r0/gen=1/00000000.parquet")["name"].to_pylist()) == list("ABC")

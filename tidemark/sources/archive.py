@@ -135,10 +135,12 @@ def _newest(files, folder: str) -> tuple[int, int]:
 
 
 def _settle(files, folder: str, pushed: list[tuple], owner: str, compact_after: int) -> dict:
-    """Stores the pushed (name, sha256, size) whose name is new; {name: (sha256, owner)} of all names of the range."""
+    """Stores the pushed (name, sha256, size) whose name is new; {name: (sha256, owner)} of the pushed names."""
     import pyarrow as pa
+    import pyarrow.compute as pc
 
     rows = pa.schema([("name", pa.string()), ("sha256", pa.string()), ("size", pa.int64()), ("batch", pa.string())])
+    names = pa.array([r[0] for r in pushed], pa.string())
     at, read, known, kept = -1, 0, {}, []
     while True:
         gen, versions = _newest(files, folder)
@@ -149,10 +151,15 @@ def _settle(files, folder: str, pushed: list[tuple], owner: str, compact_after:
             table = files.read(f"{folder}/gen={gen}/{number:08d}.parquet")
             closed = not table.num_rows
             kept.append(table)
+            # Rows of other names are only handed on, as a table.
+            table = table.filter(pc.is_in(table["name"], value_set=names))
             known.update(zip(table["name"].to_pylist(), zip(table["sha256"].to_pylist(), table["batch"].to_pylist(), strict=True), strict=True))
         read = versions
         if closed:
-            files.create(f"{folder}/gen={gen + 1}/{0:08d}.parquet", pa.concat_tables(kept))
+            kept = [pa.concat_tables(kept)]
+            files.create(f"{folder}/gen={gen + 1}/{0:08d}.parquet", kept[0])
+            # Whoever wrote that file, it holds the rows that are known here.
+            at, read = gen + 1, 1
             continue
         fresh = [r for r in pushed if r[0] not in known]
         if fresh:
