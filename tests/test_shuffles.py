@@ -76,3 +76,17 @@ def test_summary_gaps_takes_tasks_by_cores_not_by_rows(spark):
     tracker = sc.statusTracker()
     stages = [tracker.getStageInfo(s) for job in tracker.getJobIdsForGroup("gaps") for s in tracker.getJobInfo(job).stageIds]
     assert max(s.numTasks for s in stages if s is not None) <= 8 * sc.defaultParallelism
+
+
+def test_chain_with_runs_of_holes_writes_no_numbers(spark):
+    blocks = spark.createDataFrame([("a", 5, 1, 1.0), ("a", 7, 2, 2.0), ("b", 0, 2, 3.0), ("b", 1 << 41, 2, 4.0)], "path STRING, block_no BIGINT, chain_pos INT, value DOUBLE")
+    limits = spark.createDataFrame([("a", 2, 10), ("b", 2, 1 << 40), ("c", 2, 3), ("d", 2, 0)], "path STRING, chain_pos INT, truncation_block_length BIGINT")
+    found = op.combine_chain_runs(blocks, limits, base_pos=1).select("path", "block_no", "n_blocks", "value", "chain_pos").collect()
+    want = [("a", 0, 5, None, None), ("a", 5, 1, 1.0, 1), ("a", 6, 1, None, None), ("a", 7, 1, 2.0, 2), ("a", 8, 2, None, None)]
+    want += [("b", 0, 1, 3.0, 2), ("b", 1, (1 << 40) - 1, None, None), ("b", 1 << 41, 1, 4.0, 2), ("c", 0, 3, None, None)]
+    assert sorted(map(tuple, found), key=lambda r: r[:2]) == want
+    # The same blocks as the filled chain, where that can be written out.
+    small = limits.where("path <> 'b'")
+    numbers = op.combine_chain_runs(blocks, small, base_pos=1).select("path", F.explode(F.sequence(F.col("block_no"), F.col("block_no") + F.col("n_blocks") - 1)).alias("block_no"), "value", "chain_pos")
+    filled = op.combine_chain(blocks, small, base_pos=1, fill=True)
+    assert sorted(map(str, numbers.collect())) == sorted(map(str, filled.select(*numbers.columns).collect()))

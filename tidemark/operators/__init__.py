@@ -3,6 +3,7 @@ from .blocks import (
     changed_in_window,
     changed_in_windows,
     combine_chain,
+    combine_chain_runs,
     page_check,
     page_fingerprint16,
     summary_gaps,

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -77,6 +77,40 @@ def newest_limits(limits: DataFrame) -> DataFrame:
     return latest_by(limits.withColumn("limit_pos", F.col("chain_pos")), ["path"], ["chain_pos"], ["truncation_block_length", "limit_pos"])
 
 
+def _merged_chain(blocks: DataFrame, lim: DataFrame, base_pos: int) -> DataFrame:
+    """The newest version of each block, with the columns of ``combine_chain``."""
+    key = ["path", "block_no"]
+    payload = [c for c in blocks.columns if c not in (*key, "backup_id")]
+    in_range = (
+        F.col("truncation_block_length").isNull()
+        | (F.col("block_no") < F.col("truncation_block_length"))
+        | (F.col("chain_pos") >= F.col("limit_pos"))
+    )
+    live = lookup(blocks, lim, ["path"]).where(in_range).select(*key, *payload)
+    increments = live.where(F.col("chain_pos") > base_pos)
+    values = [c for c in payload if c != "chain_pos"]
+    latest = latest_by(increments, key, ["chain_pos"], values + ["chain_pos"]).withColumn("_gone", F.lit(False))
+    return overlay(live.where(F.col("chain_pos") == base_pos), latest, key, "_gone").select(*key, *values, "chain_pos")
+
+
+def _hole_runs(merged: DataFrame, lim: DataFrame) -> DataFrame:
+    """``(path, _from, _to)``: runs of numbers below a path's limit that ``merged`` lacks."""
+    within = lim.where(F.col("truncation_block_length") > 0).select("path", "truncation_block_length")
+    ends = F.explode(F.array(F.lit(-1).cast("bigint"), F.col("truncation_block_length").cast("bigint")))
+    below = lookup(merged.select("path", "block_no"), within, ["path"], "inner").where(F.col("block_no") < F.col("truncation_block_length"))
+    known = below.select("path", F.col("block_no").cast("bigint").alias("block_no")).unionByName(within.select("path", ends.alias("block_no")))
+    runs = segment_gaps(known.select(F.col("path").alias("tli"), F.col("block_no").alias("seg_no"), F.lit("segment").alias("kind")))
+    return runs.select(F.col("tli").alias("path"), F.col("from_seg").alias("_from"), F.col("to_seg").alias("_to"))
+
+
+def _fillers(merged: DataFrame, zero_page: bytes | None) -> list[Column]:
+    """The columns of a hole besides its key."""
+    filler = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in merged.schema.fields if f.name not in ("path", "block_no")}
+    if "data" in filler:
+        filler["data"] = F.lit(bytearray(zero_page if zero_page is not None else 8192)).alias("data")
+    return list(filler.values())
+
+
 def combine_chain(
     blocks: DataFrame,
     limits: DataFrame,
@@ -92,41 +126,38 @@ def combine_chain(
     the increment that states it: what that increment carries itself was written
     after the file had been that short. Only increments are aggregated; blocks
     of the full that no increment touches pass through.
-    ``fill`` adds ``zero_page`` for the holes below a path's limit. The other
+    ``fill`` adds ``zero_page`` for the holes below a path's limit, a row for
+    each; ``combine_chain_runs`` has a row for each run of holes. The other
     columns move with the rows: give places of pages rather than pages, as
     ``sources.combine_files`` does.
     """
-    key = ["path", "block_no"]
-    payload = [c for c in blocks.columns if c not in (*key, "backup_id")]
     lim = newest_limits(limits)
-    in_range = (
-        F.col("truncation_block_length").isNull()
-        | (F.col("block_no") < F.col("truncation_block_length"))
-        | (F.col("chain_pos") >= F.col("limit_pos"))
-    )
-    live = lookup(blocks, lim, ["path"]).where(in_range).select(*key, *payload)
-    increments = live.where(F.col("chain_pos") > base_pos)
-    values = [c for c in payload if c != "chain_pos"]
-    latest = latest_by(increments, key, ["chain_pos"], values + ["chain_pos"]).withColumn("_gone", F.lit(False))
-    merged = overlay(live.where(F.col("chain_pos") == base_pos), latest, key, "_gone").select(*key, *values, "chain_pos")
+    merged = _merged_chain(blocks, lim, base_pos)
     if not fill:
         return merged
     # The holes are runs between blocks; only runs are shuffled, and numbers are written out where they are used.
-    within = lim.where(F.col("truncation_block_length") > 0).select("path", "truncation_block_length")
-    ends = F.explode(F.array(F.lit(-1).cast("bigint"), F.col("truncation_block_length").cast("bigint")))
-    below = lookup(merged.select(*key), within, ["path"], "inner").where(F.col("block_no") < F.col("truncation_block_length"))
-    known = below.select("path", F.col("block_no").cast("bigint").alias("block_no")).unionByName(within.select("path", ends.alias("block_no")))
-    runs = segment_gaps(known.select(F.col("path").alias("tli"), F.col("block_no").alias("seg_no"), F.lit("segment").alias("kind")))
-    runs = materialize(runs.select(F.col("tli").alias("path"), F.col("from_seg").alias("_from"), F.col("to_seg").alias("_to")))
+    runs = materialize(_hole_runs(merged, lim))
     total = runs.agg(F.coalesce(F.sum(F.col("_to") - F.col("_from") + 1), F.lit(0)).cast("bigint")).first()[0]
     # Long runs are cut so that their numbers spread over the tasks; the cuts are few beside the runs.
     tasks = 8 * runs.sparkSession.sparkContext.defaultParallelism
     pieces = _cut(_cut(runs, max(chunk, -(-total // tasks))).repartition(tasks, "path", "_from"), chunk)
     holes = pieces.select("path", F.explode(F.sequence("_from", "_to")).alias("block_no"))
-    filler = {f.name: F.lit(None).cast(f.dataType).alias(f.name) for f in merged.schema.fields if f.name not in key}
-    if "data" in filler:
-        filler["data"] = F.lit(bytearray(zero_page if zero_page is not None else 8192)).alias("data")
-    return merged.unionByName(holes.select(*key, *filler.values()))
+    return merged.unionByName(holes.select("path", "block_no", *_fillers(merged, zero_page)))
+
+
+def combine_chain_runs(blocks: DataFrame, limits: DataFrame, base_pos: int = 0, zero_page: bytes | None = None) -> DataFrame:
+    """``combine_chain`` with its holes as runs: a row stands for the ``n_blocks`` equal blocks from ``block_no`` on.
+
+    A written block is a row with ``n_blocks`` 1. Paths have far more holes than
+    blocks as both grow, but no more than a run of holes before each block and one
+    after the last, so the rows grow with the blocks alone.
+    """
+    lim = materialize(newest_limits(limits))
+    # Read twice: as rows, and for the runs between them.
+    merged = materialize(_merged_chain(blocks, lim, base_pos))
+    runs = _hole_runs(merged, lim)
+    holes = runs.select("path", F.col("_from").alias("block_no"), (F.col("_to") - F.col("_from") + 1).alias("n_blocks"), *_fillers(merged, zero_page))
+    return merged.withColumn("n_blocks", F.lit(1).cast("bigint")).unionByName(holes)
 
 
 def _cut(runs: DataFrame, length: int) -> DataFrame:
