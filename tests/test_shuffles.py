@@ -90,3 +90,15 @@ def test_chain_with_runs_of_holes_writes_no_numbers(spark):
     numbers = op.combine_chain_runs(blocks, small, base_pos=1).select("path", F.explode(F.sequence(F.col("block_no"), F.col("block_no") + F.col("n_blocks") - 1)).alias("block_no"), "value", "chain_pos")
     filled = op.combine_chain(blocks, small, base_pos=1, fill=True)
     assert sorted(map(str, numbers.collect())) == sorted(map(str, filled.select(*numbers.columns).collect()))
+
+
+@pytest.mark.parametrize("broadcast", [True, False])
+def test_missing_runs_shuffle_gaps_and_ranges_not_pairs(spark, shuffled, monkeypatch, broadcast):
+    if not broadcast:
+        monkeypatch.setattr(op.intervals, "bounded_broadcast", lambda df: df)
+    segments = spark.range(0, 2_000_000, 20_000).select(F.lit(1).cast("bigint").alias("tli"), F.lit("segment").alias("kind"), F.col("id").alias("seg_no"))
+    backups = spark.range(500).select(F.col("id").alias("backup_id"), F.lit(1).cast("bigint").alias("timeline"), (F.col("id") * (16 << 20)).alias("start_lsn"), F.lit(1 << 62).alias("stop_lsn"))
+    counts, records = shuffled(lambda: [r[1] for r in op.missing_runs(backups, segments).groupBy("backup_id").count().collect()])
+    assert counts == [100] * 500
+    # Before, each range was shuffled with each of 122 stretches.
+    assert records < (20_000 if broadcast else 500 * 60 * 16)
