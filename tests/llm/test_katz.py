@@ -93,3 +93,24 @@ def test_empty_table_and_no_training_documents(documents):
     (row,) = katz.score(documents([(held, "only held out words")])).collect()
     assert (row["held_out"], row["n_tokens"], row["n_known"], row["train_tokens"]) == (True, 5, 0, 0)
     assert row["base_score"] == 0 and math.isfinite(row["score"])
+
+
+def test_pairs_of_rare_words_count_as_they_are(documents):
+    rng = np.random.default_rng(6)
+    lexicon = np.array([f"W{i}" for i in range(2000)])
+    weights = 1 / np.arange(1, 2001)
+    rows = [(100 + i, " ".join(rng.choice(lexicon, 50, p=weights / weights.sum()))) for i in range(80)]
+    # Words far below the share that is kept in every task, always in this order.
+    rows += [(1000 + i, "seldom heard of words " + " ".join(rng.choice(lexicon, 20, p=weights / weights.sum()))) for i in range(4)]
+    rows += [(2000 + i, "seldom heard of others " + " ".join(f"new{i}x{j}" for j in range(5)) + " words W0 seldom") for i in range(30)]
+    want, *_ = brute(rows, 0)
+    assert rows_of(katz.score(documents(rows), cache=0.02)) == want
+    assert rows_of(katz.score(documents(rows))) == want
+
+
+def test_rare_pairs_in_many_parts(documents, monkeypatch):
+    monkeypatch.setattr(katz, "BYTES_PER_PART", 500)
+    monkeypatch.setattr(katz, "_HELD_KEYS", 100)
+    rng = np.random.default_rng(7)
+    rows = [(i, " ".join(f"w{j}" for j in rng.zipf(1.3, 30) % 997)) for i in range(150)]
+    assert rows_of(katz.score(documents(rows), cache=0.01)) == brute(rows, 0)[0]
