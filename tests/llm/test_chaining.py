@@ -141,3 +141,17 @@ def test_only_runs_that_may_stand_in_smaller_documents_ask(spark):
     got = {r["doc_id"]: r for r in chaining.open_runs(spark.createDataFrame(shared, "doc bigint, pos int, other bigint, other_pos int"), found).collect()}
     assert all((r["from"], r["to"]) == ([0], [112]) for r in got.values()) and len(got) == 3
     assert {k: (r["open_from"], r["open_to"]) for k, r in got.items()} == {1: ([], []), 2: ([0], [112]), 3: ([0, 56], [41, 112])}
+
+
+def test_fuzzy_passage_whose_seeds_stand_elsewhere_first(documents):
+    rng = np.random.default_rng(21)
+    passage = prose(rng, 96)
+    changed = list(passage)
+    for at in range(15, 96, 16):
+        changed[at] = "changed"
+    # Each piece between the changes stands in a smaller document, alone.
+    rows = [(k, " ".join([*prose(rng, 40), *passage[16 * k : 16 * k + 15], *prose(rng, 40)])) for k in range(6)]
+    rows += [(10, " ".join([*prose(rng, 20), *passage, *prose(rng, 25)])), (11, " ".join([*prose(rng, 33), *changed, *prose(rng, 5)]))]
+    got = [tuple(r) for r in chaining.passages(documents(rows)).collect()]
+    assert [(r[0], r[3]) for r in got] == [(11, 10)]
+    assert got[0][1] >= 33 and got[0][2] <= 33 + 96 and got[0][6] >= 80 and got[0][7] > 0.9
